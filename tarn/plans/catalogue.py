@@ -1,0 +1,6 @@
+"""Named queries over the test tables, each with its SQL counterpart."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
