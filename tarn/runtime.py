@@ -50,11 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        made = tempfile.mkdtemp(prefix="tarn-shared-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        found = "file://" + os.path.abspath(made)
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        context = spark.sparkContext
+        found = context.getCheckpointDir()
+        if not found:
+            made = tempfile.mkdtemp(prefix="tarn-shared-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            context.setCheckpointDir("file://" + os.path.abspath(made))
+            found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
