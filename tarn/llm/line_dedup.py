@@ -6,10 +6,10 @@ threshold go back to their document, which is then cut and joined by position.
 
 Skew: the distinct count first aggregates by (hash, document), so a line that a
 third of all documents share is spread, and then sums partial counts. The table
-of repeated lines has a row per hash; where it is not small enough to be
-broadcast under the session's threshold, the join is a sort-merge join whose
-skewed partitions adaptive execution splits. Positions are gathered per
-document, so a group is never larger than its document.
+of repeated lines has a row per hash and grows with the corpus, so the joins are
+sort-merge joins at every size, whose skewed partitions adaptive execution
+splits. Positions are gathered per document, so a group is never larger than its
+document.
 """
 
 from __future__ import annotations
@@ -68,8 +68,11 @@ def dedup_lines(
         .filter(F.col("n") >= min_documents)
         .select("hash", "keeper")
     )
+    # Written, so that both sides of the join are plain exchanges, which adaptive
+    # execution can split where a hash is hot.
+    repeated = materialise(repeated, "repeated-lines")
     cut = (
-        keyed.join(repeated, "hash")
+        keyed.join(repeated.hint("merge"), "hash")
         .filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
         .groupBy("doc_id", "print")
         .agg(F.sort_array(F.collect_set("pos")).alias("cut"))
@@ -83,7 +86,7 @@ def dedup_lines(
         lambda x: F.slice("lines", x["a"] + 2, x["b"] - x["a"] - 1),
     )
     joined = docs.alias("d").join(
-        cut.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.print") == F.col("c.print")), "left"
+        cut.alias("c").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.print") == F.col("c.print")), "left"
     )
     return (
         joined.select("d.doc_id", "d.text", "d.kept", "c.cut")
