@@ -23,7 +23,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -112,22 +111,26 @@ def bucket_keys(distance: int) -> list[int]:
     return [a | b for a, b in combinations(block_masks(distance + 2), 2)]
 
 
-def close_pairs(fps: np.ndarray, home: np.ndarray, refs: np.ndarray, distance: int, counts: dict | None = None):
-    """Pairs (i, j) of rows within ``distance``, at least one of them at home.
+def close_pairs(fps: np.ndarray, group: np.ndarray, home: np.ndarray, refs: np.ndarray, distance: int, counts: dict | None = None):
+    """Pairs (i, j) of rows of one group within ``distance``, at least one of them at home.
 
-    Yields arrays in chunks. Rows are sorted by the first pivot's distance; a row
-    is held against the following rows whose first coordinate differs by at most
-    ``distance``, then against the other coordinates, then verified.
+    Yields arrays in chunks, for all groups at once. Rows are sorted by group and
+    the first pivot's distance; a row is held against the following rows of its
+    group whose first coordinate differs by at most ``distance``, then against
+    the other coordinates, then verified. ``counts`` gathers how many pairs were
+    in the windows and how many the whole table left.
     """
     table = distance_table(fps, refs)
-    order = np.argsort(table[:, 0], kind="stable")
-    table, fps_o = table[order], fps[order]
-    last = np.searchsorted(table[:, 0], table[:, 0] + distance, side="right")
-    width = last - np.arange(len(fps)) - 1
+    key = group.astype(np.int64) * (4 * BITS) + table[:, 0]
+    order = np.argsort(key, kind="stable")
+    key, table, fps_o = key[order], table[order], fps[order]
+    width = np.searchsorted(key, key + distance, side="right") - np.arange(len(key)) - 1
+    upto = np.cumsum(width)
     at = 0
-    while at < len(fps):
+    while at < len(key):
         # As many rows as make about a million candidates.
-        end = at + max(1, int(np.searchsorted(np.cumsum(width[at:]), 1_000_000)))
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + 1_000_000, side="right")))
         w = width[at:end]
         i = np.repeat(np.arange(at, end), w)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
@@ -197,16 +200,20 @@ def links(distinct: DataFrame, *, distance: int = 4, n_pivots: int = 16, slab_ro
         ).alias("cell"),
     ).select("k", "bits", "fp", "cell.slab", "cell.home")
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
-        pdf = pdf.sort_values("fp")
-        fps = pdf["fp"].to_numpy(dtype=np.int64)
-        root = forest(len(fps), close_pairs(fps.view(np.uint64), pdf["home"].to_numpy(dtype=bool), refs, distance))
-        linked = np.flatnonzero(root != np.arange(len(fps)))
-        return pd.DataFrame({"a": fps[root[linked]], "b": fps[linked]})
+    gathered = cells.groupBy("k", "bits", "slab").agg(F.collect_list(F.struct("fp", "home")).alias("rows")).filter(F.size("rows") > 1)
 
-    return cells.groupBy("k", "bits", "slab").applyInPandas(within, "a long, b long").distinct()
+    def within(batches):
+        for batch in batches:
+            rows = batch.column(0)
+            flat = rows.flatten()
+            fps = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            home = flat.field(1).to_numpy(zero_copy_only=False).astype(bool)
+            group = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+            root = forest(len(fps), close_pairs(fps.view(np.uint64), group, home, refs, distance))
+            linked = np.flatnonzero(root != np.arange(len(fps)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[root[linked]]), pa.array(fps[linked])], ["a", "b"])
+
+    return gathered.select("rows").mapInArrow(within, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
