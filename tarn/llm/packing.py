@@ -10,6 +10,9 @@ window. No row is shuffled and no task needs another's rows.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 from itertools import accumulate
 
 import numpy as np
@@ -25,42 +28,76 @@ from tarn.runtime import materialise
 class WordEncoder:
     """Ids of texts by a ``tokenizers`` file, as bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its parts between spaces and line ends, one after another. Parts
-    recur, and are encoded once while they are held: at most ``hold`` parts of
-    up to ``part_chars`` characters each.
+    The tokenizer drops white space, cuts the rest into pieces by a pattern and
+    encodes each piece by itself. Pieces recur, and are encoded once while they
+    are held. A text of Latin script, where lower case and normal form are a
+    matter of single characters, is cut into pieces here; new pieces are encoded
+    in one call and told apart by the tokens that end a piece. Any other text is
+    cut at spaces and line ends, which the tokenizer never joins across, and its
+    new parts are encoded one by one. About ``hold`` pieces are held at most, of
+    up to ``piece_chars`` characters each.
     """
 
-    def __init__(self, path: str, hold: int = 400_000, part_chars: int = 64):
+    #: Characters beyond plain Latin script.
+    OTHER = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
+    #: The tokenizer's pattern, written out for lower-cased Latin script.
+    PIECE = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼½¾]+")
+
+    def __init__(self, path: str, hold: int = 500_000, piece_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.hold, self.part_chars = hold, part_chars
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.hold, self.piece_chars = hold, piece_chars
         self.held: dict[str, bytes] = {"": b""}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    @classmethod
+    def of_worker(cls, path: str) -> WordEncoder:
+        """One encoder per Python worker and file, kept from task to task."""
+        cache = sys.modules.setdefault("_tarn_word_encoders", types.ModuleType("_tarn_word_encoders")).__dict__
+        if path not in cache:
+            cache[path] = cls(path)
+        return cache[path]
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in got]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = text.replace("\n", " ").split(" ")
-        held = self.held
-        new = {p for p in parts if p not in held}
-        if new:
-            if len(held) + len(new) > self.hold:
-                held.clear()
-                held[""] = b""
-                new = {*parts} - {""}
-            short = [p for p in new if len(p) <= self.part_chars]
-            for a in range(0, len(short), 10_000):
-                held.update(zip(short[a : a + 10_000], self._ids(short[a : a + 10_000])))
-            if len(short) < len(new):
-                long = {p: self._ids([p])[0] for p in new if len(p) > self.part_chars}
-                return b"".join([held[p] if p in held else long[p] for p in parts])
-        return b"".join([held[p] for p in parts])
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=self.dtype)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+        if len(stops) != len(pieces):
+            return self._direct(pieces)
+        data, stops = ids.tobytes(), stops.tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.held) > self.hold:
+            self.held.clear()
+            self.held[""] = b""
+        cut, plain, other = [], set(), set()
+        for text in texts:
+            if not text:
+                cut.append(())
+            elif "<|" in text or self.OTHER.search(text):
+                cut.append(text.replace("\n", " ").split(" "))
+                other.update(cut[-1])
+            else:
+                cut.append(self.PIECE.findall(text.lower()))
+                plain.update(cut[-1])
+        long: dict[str, bytes] = {}
+        for asked, encode in ((plain, self._together), (other, self._direct)):
+            new = list(asked - self.held.keys())
+            for a in range(0, len(new), 20_000):
+                some = new[a : a + 20_000]
+                for piece, ids in zip(some, encode(some)):
+                    (self.held if len(piece) <= self.piece_chars else long)[piece] = ids
+        if not long:
+            return [b"".join(map(self.held.__getitem__, pieces)) for pieces in cut]
+        return [b"".join([self.held[p] if p in self.held else long[p] for p in pieces]) for pieces in cut]
 
 
 def encoded(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -69,13 +106,13 @@ def encoded(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str,
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def encode(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder.of_worker(tokenizer_path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                ids = [encoder.encode(t.as_py()) + end for t in piece.column(1)]
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                ids = [x + end for x in encoder.encode_all(piece.column(1).to_pylist())]
                 n = [len(x) // encoder.dtype.itemsize for x in ids]
                 starts = list(accumulate(n, initial=before))
                 before = starts.pop()
