@@ -1,6 +1,486 @@
-"""Named queries over the test tables, each with its SQL counterpart."""
+"""Named queries over the test tables, each with its SQL counterpart where SQL has one.
+
+Search queries take every benchmark text as a query, vector queries every row
+whose id is divisible by 50; both run against whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.functions import text as fn
+from tarn.operators import bm25, dense, evaluate, feedback, fuse, search, stores
+from tarn.operators.chunk import chunk_documents, hard_split
+from tarn.plans.oracles import ORACLES  # noqa: F401
+from tarn.runtime import shared_dir, table
+from tarn.sources import files
+from tarn.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+K = 10
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Inputs ---------------------------------------------------------------------
+
+
+def documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+def vector_queries(spark, d):
+    return vectors(spark, d).filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "vector")
+
+
+def user_turns(spark, d):
+    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", fn.normalize_query("text").alias("normalized"))
+
+
+def same_label(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "label")
+    return q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("doc_id <> query_id").select("query_id", "doc_id")
+
+
+def events(spark, d):
+    """The event table as feedback: a user's day is a query."""
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events")
+    kind = F.create_map(*(F.lit(x) for p in (("click", "click"), ("view", "skip"), ("purchase", "dwell"), ("error", "exit"), ("signup", "skip")) for x in p))
+    typed = e.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("query_id"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query_text"),
+        F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("doc_id"),
+        kind[F.col("event_type")].alias("event_type"),
+        "value",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        "event_id",
+    )
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "event_id")) - 1
+    return typed.select(
+        "query_id", "query_text", "doc_id", rank.alias("rank"), "event_type",
+        F.when(F.col("event_type") == "dwell", F.floor(F.col("value") * 100).cast("int")).alias("dwell_ms"),
+        (F.col("at") / 1e6).alias("timestamp"),
+    )
+
+
+def scratch(spark, label):
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+# Text -----------------------------------------------------------------------
+
+
+@query
+def tokenize(spark, d):
+    t = documents(spark, d).select("doc_id", fn.tokenize(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query
+def approx_tokens(spark, d):
+    return documents(spark, d).select("doc_id", fn.approx_tokens(F.col("text")).cast("long").alias("n_tokens"))
+
+
+@query
+def sentence_split(spark, d):
+    s = documents(spark, d).select("doc_id", fn.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
+
+
+@query
+def chunk_documents_512(spark, d):
+    return chunk_documents(documents(spark, d)).select("chunk_id", "doc_id", "pos", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+QUERIES["chunk_documents"] = QUERIES.pop("chunk_documents_512")
+
+
+@query
+def chunk_small_budget(spark, d):
+    return chunk_documents(documents(spark, d), 24, 6).select("chunk_id", "doc_id", "pos", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def hard_split_words(spark, d):
+    plain = F.regexp_replace("text", r"[.!?]", "")
+    return documents(spark, d).select("doc_id", F.posexplode(hard_split(plain, 32)).alias("pos", "piece")).select("doc_id", "pos", F.length("piece").alias("n_chars"), F.md5("piece").alias("digest"))
+
+
+QUERIES["hard_split"] = QUERIES.pop("hard_split_words")
+
+
+@query
+def normalize_query(spark, d):
+    return user_turns(spark, d)
+
+
+@query
+def classify_intent(spark, d):
+    return user_turns(spark, d).select("conv_id", "turn", fn.classify_intent(F.col("normalized")).alias("intent"))
+
+
+@query
+def expand_query(spark, d):
+    v = asked(spark, d).select("query_id", fn.expand_query(F.col("text")).alias("v"))
+    return v.select("query_id", F.size("v").cast("long").alias("n_variants"), F.element_at("v", 1).alias("variant"))
+
+
+@query
+def html_doc_id(spark, d):
+    return table(spark, d, "pages").select("page_id", fn.html_id(F.col("html")).alias("doc_id"))
+
+
+@query
+def html_extract(spark, d):
+    from tarn.functions.html import extract_html
+
+    return table(spark, d, "pages").select("page_id", extract_html(F.col("html")).alias("text"))
+
+
+@query
+def jsonl_parse(spark, d):
+    line = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "text": "'), F.col("event_type"), F.lit('", "props": '), F.col("props"), F.lit("}"))
+    parsed = files.parse_json_lines(table(spark, d, "events").select(line.alias("value")))
+    return parsed.select("doc_id", "text", F.get_json_object(F.col("metadata")["props"], "$.k").alias("k"))
+
+
+@query
+def cache_key(spark, d):
+    key = fn.cache_key(F.struct(F.lit("search").alias("a"), fn.normalize_query("text").alias("b"), F.lit(K).alias("c"), F.lit("hybrid").alias("d"), F.lit(True).alias("e")))
+    return asked(spark, d).select("query_id", key.alias("cache_key"))
+
+
+# Vectors --------------------------------------------------------------------
+
+
+@query
+def l2_normalize(spark, d):
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(fn.l2_normalize(scaled)).alias("pos", "x"))
+    return rounded(e, "x")
+
+
+@query
+def embed_hashing(spark, d):
+    e = search.encode(documents(spark, d), "doc_id").select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
+    return rounded(e.filter("weight <> 0"), "weight")
+
+
+@query
+def flat_topk(spark, d):
+    return rounded(dense.flat_search(vector_queries(spark, d), vectors(spark, d), K), "score")
+
+
+@query
+def flat_search(spark, d):
+    one = vector_queries(spark, d).filter("query_id = 0")
+    return rounded(dense.flat_search(one, vectors(spark, d), K), "score")
+
+
+@query
+def ivf_full_probe(spark, d):
+    v = vectors(spark, d)
+    centers = dense.ivf_train(v, 16)
+    return rounded(dense.ivf_search(vector_queries(spark, d), v, centers, K, n_probe=len(centers)), "score")
+
+
+@query
+def hnsw_recall(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    found = dense.hnsw_search(dense.hnsw_build(v), q, K)
+    exact = dense.flat_search(q, v, K).select("query_id", "doc_id")
+    return evaluate.recall_at_k(found, exact, K)
+
+
+@query
+def hnsw_levels(spark, d):
+    m = 16
+    level = F.floor(-F.log(F.greatest(F.rand(0), F.lit(1e-12))) / F.log(F.lit(float(m)))).cast("int")
+    return vectors(spark, d).select("doc_id", level.alias("level"))
+
+
+@query
+def hnsw_dedupe(spark, d):
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    new = old.select((F.col("doc_id") * 2).alias("doc_id"), (F.col("label") + 100).alias("label"))
+    return stores.keep_first(old, new.unionByName(new.withColumn("label", F.col("label") + 100)), ["doc_id"], F.col("label"))
+
+
+@query
+def ingest_union(spark, d):
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return old.unionByName(old.withColumn("label", F.col("label") + 100))
+
+
+@query
+def index_size(spark, d):
+    v = ingest_union(spark, d)
+    sizes = [
+        v.agg(F.lit("flat").alias("backend"), F.count("*").alias("n")),
+        v.agg(F.lit("hnsw").alias("backend"), F.count_distinct("doc_id").alias("n")),
+        documents(spark, d).agg(F.lit("bm25").alias("backend"), F.count("*").alias("n")),
+    ]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+
+
+# BM25 and search ------------------------------------------------------------
+
+
+@query
+def bm25_doc_lengths(spark, d):
+    return bm25.build(documents(spark, d)).lengths.select("doc_id", F.col("dl").cast("long").alias("dl"))
+
+
+@query
+def bm25_corpus_stats(spark, d):
+    return rounded(bm25.corpus_statistics(bm25.build(documents(spark, d))), "avgdl", "mean_idf")
+
+
+@query
+def bm25_term_stats(spark, d):
+    return rounded(bm25.build(documents(spark, d)).terms.select("term", "df", "idf"), "idf")
+
+
+def sparse_list(spark, d, k):
+    return bm25.search(bm25.build(documents(spark, d)), asked(spark, d), k)
+
+
+def dense_list(spark, d, k):
+    return search.search_dense(search.encode(documents(spark, d), "doc_id"), asked(spark, d), k)
+
+
+@query
+def bm25_topk(spark, d):
+    return rounded(sparse_list(spark, d, K), "score")
+
+
+@query
+def rrf_fuse(spark, d):
+    return rounded(fuse.rrf_fuse([dense_list(spark, d, K), sparse_list(spark, d, K)]), "score", digits=9)
+
+
+@query
+def rrf_top_k(spark, d):
+    return rounded(fuse.rrf_fuse([dense_list(spark, d, K), sparse_list(spark, d, K)], top=5), "score", digits=9)
+
+
+def searched(spark, d, **how):
+    docs = documents(spark, d)
+    return search.search(search.encode(docs, "doc_id"), bm25.build(docs), asked(spark, d), k=K, **how)
+
+
+@query
+def search_dense(spark, d):
+    return rounded(searched(spark, d, strategy="dense", rerank=False), "score")
+
+
+@query
+def search_sparse(spark, d):
+    return rounded(searched(spark, d, strategy="sparse", rerank=False), "score")
+
+
+@query
+def search_hybrid(spark, d):
+    return rounded(searched(spark, d, strategy="hybrid", rerank=False), "score", digits=9)
+
+
+@query
+def search_hybrid_overfetch(spark, d):
+    return rounded(searched(spark, d, strategy="hybrid", rerank=True), "score", digits=9)
+
+
+@query
+def search_fallback(spark, d):
+    hits = dense_list(spark, d, K)
+    return rounded(fuse.hybrid(hits, hits.filter(F.lit(False)), K), "score")
+
+
+@query
+def rerank_topk(spark, d):
+    docs = documents(spark, d)
+    return rounded(fuse.rerank(searched(spark, d, strategy="hybrid", rerank=False), asked(spark, d), docs, top=K), "score")
+
+
+# Stores ---------------------------------------------------------------------
+
+
+@query
+def doc_store_lookup(spark, d):
+    store = documents(spark, d).withColumnRenamed("doc_id", "chunk_id")
+    known = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"))
+    found = stores.text_lookup(known.unionByName(known.select((-F.col("chunk_id") - 1).alias("chunk_id"))), store)
+    return found.select("chunk_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def doc_store_upsert(spark, d):
+    store = documents(spark, d).withColumnRenamed("doc_id", "chunk_id")
+    new = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("text"))
+    return stores.upsert(store, new, ["chunk_id"]).select("chunk_id", F.md5("text").alias("digest"))
+
+
+def keyed(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.text_key(F.col("text")).alias("key"), F.lit(64).alias("dim"))
+
+
+@query
+def embed_cache_lookup(spark, d):
+    k = keyed(spark, d)
+    cache = k.filter("doc_id % 2 = 0").select("key", "dim").distinct()
+    return stores.embedding_lookup(k, cache, 64)
+
+
+@query
+def embed_cache_upsert(spark, d):
+    k = keyed(spark, d).select("key", F.col("doc_id").alias("version"))
+    stored = stores.keep_last(k.filter("version % 2 = 0"), ["key"], F.col("version"))
+    new = stores.keep_last(k.filter("version % 3 = 0"), ["key"], F.col("version"))
+    return stores.upsert(stored, new, ["key"])
+
+
+@query
+def query_cache_ttl(spark, d):
+    cache = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return stores.live(cache, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+@query
+def limit_docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(100)
+
+
+# Evaluation -----------------------------------------------------------------
+
+
+def ranked(spark, d):
+    return dense.flat_search(vector_queries(spark, d), vectors(spark, d), K)
+
+
+@query
+def recall_at_k(spark, d):
+    return rounded(evaluate.recall_at_k(ranked(spark, d), same_label(spark, d), K), "recall")
+
+
+@query
+def mrr_at_k(spark, d):
+    return rounded(evaluate.mrr_at_k(ranked(spark, d), same_label(spark, d), K), "rr")
+
+
+@query
+def ndcg_at_k(spark, d):
+    return rounded(evaluate.ndcg_at_k(ranked(spark, d), same_label(spark, d), K), "ndcg")
+
+
+@query
+def benchmark_report(spark, d):
+    return rounded(evaluate.benchmark_report(ranked(spark, d), same_label(spark, d), K), "recall", "mrr", "ndcg")
+
+
+@query
+def latency_percentiles(spark, d):
+    return rounded(evaluate.latency_percentiles(table(spark, d, "events"), "value"), "p50", "p90", "p95", "p99", "mean")
+
+
+@query
+def metrics_histogram(spark, d):
+    seconds = table(spark, d, "events").select("event_type", (F.col("value") / 1000).alias("s"))
+    return rounded(evaluate.histogram(seconds, "s", labels=("event_type",)), "sum")
+
+
+# Feedback -------------------------------------------------------------------
+
+
+@query
+def feedback_scan(spark, d):
+    return events(spark, d).orderBy("query_id", "rank")
+
+
+@query
+def feedback_groups(spark, d):
+    g = feedback.groups(events(spark, d))
+    item = lambda e: F.concat_ws(":", e["rank"].cast("string"), e["doc_id"], e["event_type"])
+    return g.select("query_id", F.size("events").cast("long").alias("n"), F.array_join(F.transform("events", item), ",").alias("events"))
+
+
+@query
+def feedback_event_counts(spark, d):
+    return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query
+def feedback_min_clicks(spark, d):
+    return feedback.min_clicks(events(spark, d), 2)
+
+
+@query
+def feedback_triples(spark, d):
+    return feedback.triples(events(spark, d))
+
+
+@query
+def training_pairs(spark, d):
+    return feedback.training_pairs(feedback.triples(events(spark, d)))
+
+
+@query
+def pairwise_mrr(spark, d):
+    number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("double")
+    t = feedback.triples(events(spark, d)).select(number("pos_doc_id").alias("pos_score"), number("neg_doc_id").alias("neg_score"))
+    return rounded(feedback.pairwise_mrr(t), "mrr")
+
+
+@query
+def train_eval_split(spark, d):
+    return feedback.split(feedback.triples(events(spark, d))).select("query_id", "pos_doc_id", "neg_doc_id", "part")
+
+
+@query
+def synth_clicks(spark, d):
+    return feedback.synthetic_clicks(spark, 500)
+
+
+# Streams --------------------------------------------------------------------
+
+
+def stream_of(spark, d, name):
+    """The table's files as a stream."""
+    path = f"{d}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+@query
+def stream_ingest(spark, d):
+    out = scratch(spark, "stream-chunks")
+    docs = stream_of(spark, d, "documents").select("doc_id", "text")
+    ingest.chunk_stream(docs, out, scratch(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select("chunk_id", "doc_id", "pos", F.md5("text").alias("digest"))
+
+
+@query
+def stream_feedback(spark, d):
+    out = scratch(spark, "stream-feedback")
+    rows = stream_of(spark, d, "events").select("event_id", F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("doc_id"), "event_type", "value")
+    ingest.feedback_stream(rows, out, scratch(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out)
