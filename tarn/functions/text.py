@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 NAVIGATIONAL = ("site:", "page", "homepage", "official", "url")
 QUESTION = ("what", "why", "how", "when", "who", "where", "explain", "define", "compare")
 TRANSACTIONAL = ("download", "buy", "install", "get", "purchase", "subscribe")
-CACHE_PREFIX = "vektor:"
+CACHE_PREFIX = "tarn:"
 #: White space as Python has it: Java's Unicode class and four separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 

@@ -1,0 +1,140 @@
+"""Text functions and the chunker against plain Python models."""
+
+import hashlib
+import json
+import re
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.functions import text as fn
+from tarn.functions.html import html_text
+from tarn.operators.chunk import chunk_documents, hard_split
+from tarn.runtime import table
+
+
+def column(spark, values, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[0] for r in df.select("i", expression(F.col("v")).alias("o")).orderBy("i").select("o").collect()]
+
+
+NORMAL = ["  Hello   World  ", "café", "STRASSE", "Straße", "a  b", "", None]
+
+
+def test_normalize_query(spark):
+    want = [v if v is None else re.sub(r"\s+", " ", unicodedata.normalize("NFC", v).strip()).casefold() for v in NORMAL]
+    assert column(spark, NORMAL, fn.normalize_query) == want
+    assert want[2] == want[3] == "strasse"
+
+
+@pytest.mark.parametrize(
+    "text, intent",
+    [
+        ("curl tutorial", "navigational"),
+        ("howl download", "informational"),
+        ("forget me", "informational"),
+        ("get page", "navigational"),
+        ("buy shoes", "transactional"),
+        ("what is it", "informational"),
+    ],
+)
+def test_intent(spark, text, intent):
+    assert column(spark, [text], lambda c: fn.classify_intent(fn.normalize_query(c))) == [intent]
+
+
+def test_tokenize(spark):
+    assert column(spark, ["a_b 12½ Foo-bar", "😀", ""], fn.tokenize) == [["a_b", "12½", "foo", "bar"], [], []]
+
+
+def test_sentences(spark):
+    got = column(spark, ["A. B. C", "fin. École", "x.Y", "?! Yes", " \n "], fn.sentences)
+    assert got == [["A.", "B.", "C"], ["fin. École"], ["x.Y"], ["?!", "Yes"], []]
+
+
+def test_approx_tokens(spark):
+    assert column(spark, ["", "abc", "a" * 9], fn.approx_tokens) == [1, 1, 2]
+
+
+def test_cache_key(spark):
+    df = spark.createDataFrame([("é x", 10, True)], "q string, k int, r boolean")
+    got = df.select(fn.cache_key(F.struct(F.lit("search"), "q", "k", "r"))).first()[0]
+    assert got == fn.CACHE_PREFIX + hashlib.sha256(json.dumps(["search", "é x", 10, True]).encode()).hexdigest()[:32]
+
+
+def test_html():
+    page = "<title>T</title><nav>x<b>y</b></nav>a &amp; b<!-- c -->d<p>e<script>var t='</p>';</script>"
+    assert html_text(page) == "T\na & b\nd\ne"
+    assert html_text("<nav>never closed") == "" and html_text(None) == ""
+
+
+class Chunker:
+    """The fold, one sentence at a time."""
+
+    def __init__(self, size, overlap):
+        self.size, self.overlap = size, overlap
+
+    def tokens(self, s):
+        return max(1, len(s) // 4)
+
+    def carry(self, held):
+        out, total = [], 0
+        if self.overlap > 0:
+            for s in reversed(held):
+                if out and total + self.tokens(s) > self.overlap:
+                    break
+                out.insert(0, s)
+                total += self.tokens(s)
+        return out
+
+    def pieces(self, sentence):
+        line = ""
+        out, n = [], 0
+        for w in sentence.split():
+            if line and n + len(w) + 1 > 4 * self.size:
+                out.append(line)
+                line, n = "", 0
+            line = f"{line} {w}" if line else w
+            n += len(w) + 1
+        return out + [line] if line else out
+
+    def chunks(self, text):
+        flat = " ".join(text.split())
+        sentences = [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", flat) if s]
+        out, held = [], []
+        for s in sentences:
+            total = sum(map(self.tokens, held))
+            if self.tokens(s) > self.size:
+                if held:
+                    out.append(" ".join(held))
+                    held = self.carry(held)
+                out += self.pieces(s)
+                continue
+            if total + self.tokens(s) > self.size:
+                out.append(" ".join(held))
+                held = self.carry(held)
+            held.append(s)
+        return out + [" ".join(held)] if held else out
+
+
+EDGE = ["", " ", "One. Two.", "Short. " + "x" * 200 + " y. Then more words here.", "w " * 300, "A b. " * 40, "Ab cd ef. " + "Long " * 60 + ". " + "More " * 70]
+
+
+@pytest.mark.parametrize("size, overlap", [(512, 32), (24, 6), (10, 0), (15, 5)])
+def test_chunks(spark, sf_dir, size, overlap):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edge = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(EDGE)], docs.schema)
+    texts = dict(docs.unionByName(edge).collect())
+    got = {r.chunk_id: r.text for r in chunk_documents(docs.unionByName(edge), size, overlap).collect()}
+    model = Chunker(size, overlap)
+    assert got == {f"{d}::{i}": c for d, t in texts.items() for i, c in enumerate(model.chunks(t))}
+
+
+def test_hard_split(spark):
+    got = column(spark, ["word " * 100, "x" * 99, ""], lambda c: hard_split(c, 10))
+    assert got == [Chunker(10, 0).pieces("word " * 100), ["x" * 99], []]
+
+
+def test_overlap_must_be_smaller(spark):
+    with pytest.raises(ValueError):
+        chunk_documents(spark.createDataFrame([("a", "b")], "doc_id string, text string"), 5, 5)
