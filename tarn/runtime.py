@@ -71,3 +71,17 @@ def materialise(df: DataFrame, label: str = "table", codec: str = "zstd") -> Dat
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after bounding the rows of an Arrow batch for its session.
+
+    Python workers and their JVM hold a few batches at a time. The default of
+    10,000 rows is meant for numbers; with whole texts it is tens of megabytes a
+    batch. A session that has set its own bound keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
+    return df
