@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.runtime import text_batches
+
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noframes".split())
@@ -34,15 +36,17 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead topbar header cookie cookies consent gdpr notice notification popup modal overlay alert comment comments reply replies "
     "respond disqus discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login search widget "
-    "pagination pager toolbar copyright legal disclaimer contentinfo complementary dialog form".split()
+    "pagination pager toolbar copyright legal disclaimer contentinfo complementary dialog form teaser response responses guestbook anzeige".split()
 )
+#: Beginnings of such words, for names that are written together.
+BAD_STEMS = tuple("advert cookie comment sponsor newsletter sidebar breadcrumb promo subscri navig kommentar comentario werbung publicid publicit".split())
 GOOD_WORDS = frozenset("article content entry post story main body text prose".split())
 #: Tags that an opening tag ends when they are still open above their container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 # Weights of the classifier, in units of the smoothness capacities below.
-W_MAIN, W_LANDMARK, W_BAD, W_GOOD, W_HEADING, W_BIAS = 4.0, -12.0, -8.0, 2.0, 0.5, -0.6
+W_MAIN, W_LANDMARK, W_BAD, W_GOOD, W_HEADING, W_BIAS = 4.0, -16.0, -12.0, 2.0, 0.5, -0.6
 W_LENGTH, W_SENTENCE, W_LINKS = 1.5, 0.8, -4.0
 NEAR, SAME_PARENT, APART = 0.4, 0.4, 0.05
 
@@ -104,7 +108,8 @@ def _marks(attributes: str) -> tuple[bool, bool]:
     for key, a, b, c in _ATTR.findall(attributes):
         if key.lower() in ("class", "id", "role"):
             words.update(w.lower() for w in _WORD.findall(a or b or c))
-    return bool(words & BAD_WORDS) or bool(_HIDDEN.search(attributes)), bool(words & GOOD_WORDS)
+    bad = bool(words & BAD_WORDS) or any(w.startswith(BAD_STEMS) for w in words) or bool(_HIDDEN.search(attributes))
+    return bad, bool(words & GOOD_WORDS)
 
 
 class Block:
@@ -320,7 +325,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     or empty page has an empty text. Whole pages are read. Repeated rows each
     keep a row; other columns are neither read nor returned.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = text_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches):
         for batch in batches:
