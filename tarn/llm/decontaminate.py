@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.runtime import text_batches
+
 #: Bytes to bytes: A-Z to a-z, ASCII other than letters and digits to a space.
 #: UTF-8 bytes from 0x80 up are parts of words, so bytes split as code points do.
 _FOLD = bytes(
@@ -168,7 +170,7 @@ def decontaminate(
     neither read nor returned. Empty tables give an empty result, or no hits.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    docs = text_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
     windows = _benchmark_windows(benchmark, window_words, item_col, item_text_col)
     blocks = max(1, -(-windows.count() // block_windows))
     hits = [T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))]

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.runtime import text_batches
+
 UNKNOWN = "und"
 
 
@@ -188,7 +190,7 @@ def identify(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     after the result's own.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, id_col=id_col, text_col=text_col, lang_col=lang_col, **parameters))
-    rows = documents.select(
+    rows = text_batches(documents).select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("body"), *(F.col(c) for c in keep)
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.runtime import materialise
+from tarn.runtime import materialise, text_batches
 
 
 class WordEncoder:
@@ -43,7 +43,7 @@ class WordEncoder:
     #: The tokenizer's pattern, written out for lower-cased Latin script.
     PIECE = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼½¾]+")
 
-    def __init__(self, path: str, hold: int = 500_000, piece_chars: int = 64):
+    def __init__(self, path: str, hold: int = 300_000, piece_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,15 +103,15 @@ class WordEncoder:
 def encoded(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, ids, n, part, before``: ids with the end id, their number, the
     partition, and the tokens before the document in it."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = text_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def encode(batches):
         encoder = WordEncoder.of_worker(tokenizer_path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
                 ids = [x + end for x in encoder.encode_all(piece.column(1).to_pylist())]
                 n = [len(x) // encoder.dtype.itemsize for x in ids]
                 starts = list(accumulate(n, initial=before))

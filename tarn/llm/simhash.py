@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.runtime import materialise
+from tarn.runtime import materialise, text_batches
 
 BITS = 64
 #: A-Z to a-z; the blanks that separate words to a space.
@@ -79,7 +79,7 @@ def fingerprint(words: list[bytes], size: int) -> int:
 
 def fingerprints(documents: DataFrame, *, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint of each document row as a signed long."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    docs = text_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
     def make(batches):
         for batch in batches:
