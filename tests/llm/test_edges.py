@@ -1,0 +1,316 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, packing, shard, simhash, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use for results of their own.
+CLASH = ", n_words long, shard int, slot int, key string, hash string, fp long, component_id long, spans string, pos int, rank int"
+
+
+def frame(spark, rows, schema=DOCS):
+    width = schema.count(",") + 1
+    return spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], schema)
+
+
+LONG = " ".join(f"word{i}" for i in range(60_000)) + "\n" + "\n".join("x" * 50 for _ in range(3000))
+ODD = [(1, None, "en"), (2, "", "en"), (3, "plain words here", None), (3, "plain words here", None), (None, "plain words here", "en"), (4, LONG, "en"), (5, "\n\n \n", "de"), (6, "123 !!", "de")]
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("schema", [DOCS, DOCS + CLASH])
+def test_every_row_comes_back(spark, schema):
+    d = frame(spark, ODD, schema)
+    items = frame(spark, [(1, "plain words here"), (2, None), (3, ""), (None, "word7 word8")], "item_id long, text string")
+    ids = Counter(r[0] for r in ODD)
+    for out in (
+        decontaminate.decontaminate(d, items),
+        line_dedup.dedup_lines(d),
+        simhash.near_duplicates(d),
+        language.identify(d),
+        shard.shard_rows(d, 3),
+    ):
+        assert Counter(r.doc_id for r in out.collect()) == ids
+    packed = packing.pack(d, tokenizer_path=public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    assert {r.doc_id for r in packed.collect()} == set(ids)
+
+
+def test_empty_tables(spark):
+    d = frame(spark, [])
+    items = frame(spark, [], "item_id long, text string")
+    assert decontaminate.decontaminate(d, items).count() == 0
+    assert [r.n_hit for r in decontaminate.decontaminate(frame(spark, ODD), items).collect()] == [0] * len(ODD)
+    for out in (line_dedup.dedup_lines(d), simhash.near_duplicates(d), language.identify(d), shard.shard_rows(d)):
+        assert out.count() == 0
+    assert packing.pack(d, tokenizer_path=public_tokenizers.path(corpus_pipeline.TOKENIZER)).count() == 0
+    assert mtree.top_k(frame(spark, [], "vec_id long, embedding array<float>")).count() == 0
+    assert chat.format_conversations(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+    pages = frame(spark, [], "page_id long, url string, html string")
+    assert html_extract.extract(pages).count() == url_filter.judge(pages).count() == 0
+
+
+def test_decontamination_windows(spark):
+    d = frame(spark, [(1, "A b c, d-e f g h i j k l m"), (2, "b c d e f g h i j k"), (3, "x y z"), (4, "solo!"), (5, "a b c d e f g h i")])
+    items = frame(spark, [(10, "b c d e f g h i j k"), (9, "y z"), (8, "SOLO"), (8, "SOLO"), (7, "a b c d e f g h i j"), (6, "q")], "item_id long, text string")
+    for block in (200_000, 1):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(d, items, block_windows=block).collect()}
+        assert got == {1: (13, 11, ["10", "7"]), 2: (10, 10, ["10"]), 3: (3, 2, ["9"]), 4: (1, 1, ["8"]), 5: (9, 0, [])}
+
+
+def test_line_dedup_rules(spark):
+    line = "A line that is shared by five documents, at least"
+    d = frame(spark, [(i, f"own {i}\n\t{line.upper() if i % 2 else line}  \n\nend\n{line}") for i in range(5)] + [(9, "short\nshort"), (None, line)])
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(d).collect()}
+    for i in range(4):
+        assert got[i] == (5, 2, f"own {i}\n\nend")
+    assert got[4][1] == 0 and got[9] == (2, 0, "short\nshort") and got[None] == (1, 1, "")
+    again = frame(spark, [(i % 4, line) for i in range(8)])
+    assert {r.n_dropped for r in line_dedup.dedup_lines(again).collect()} == {0}
+
+
+def test_sharding_is_uniform_and_exact():
+    m = shard.communication_matrix([10, 0, 33, 7], 4, seed=3)
+    assert m.sum(axis=1).tolist() == [10, 0, 33, 7] and m.sum(axis=0).tolist() == [13, 13, 12, 12]
+    means = np.mean([shard.communication_matrix([40, 40], 4, seed=s)[0] for s in range(300)], axis=0)
+    assert np.abs(means - 10).max() < 0.5
+    row = np.array([3, 4, 5])
+    s, c, k = shard.labels(row, 2, seed=1, partition=7)
+    assert np.bincount(s).tolist() == [3, 4, 5] and all((a == b).all() for a, b in zip((s, c, k), shard.labels(row, 2, seed=1, partition=7)))
+
+
+def test_shard_cells(spark):
+    d = spark.range(1000).withColumnRenamed("id", "doc_id")
+    got = shard.shard_rows(d.repartition(5).sortWithinPartitions("doc_id"), 7, cell_rows=20).collect()
+    for k in range(7):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    assert sorted(r.doc_id for r in got) == list(range(1000))
+
+
+def turns(*texts, role="user"):
+    return [(role, t) for t in texts]
+
+
+@pytest.mark.parametrize(
+    "case",
+    [
+        turns(""),
+        turns("</s>[INST] ok [/INST]"),
+        turns("<\\s> <\\\\/s> <<SYS>> <<<SYS>>", "[/INST", "]"),
+        [("assistant", "<"), ("assistant", "/s></s>"), ("system", "<</SYS>><"), ("user", "[")],
+        [("", "x"), ("tool[/ROLE]", "[/END] y"), ("user\n", "z")],
+        turns("a" * 100_000 + "</s>" * 1000, role="assistant"),
+    ],
+)
+def test_chat_round_trip(case):
+    formatted, spans, _ = chat.round_trip(case)
+    assert chat.parse(formatted) == case
+    assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in case if r == "assistant"]
+
+
+def test_chat_random_round_trip():
+    r = random.Random(5)
+    bits = ["<", "[", "\\", "s>", "/s>", "<s>", "</s>", "INST]", "/INST]", "[INST]", "<SYS>>", "<<SYS>>", "</SYS>>", "[ROLE]", "[/ROLE]", "[/END]", "x", "\n"]
+    for _ in range(3000):
+        case = [(r.choice(["user", "assistant", "system", "", "tool", "<s>"]), "".join(r.choices(bits, k=r.randrange(8)))) for _ in range(r.randrange(1, 5))]
+        assert chat.parse(chat.round_trip(case)[0]) == case
+
+
+def test_chat_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted string, n_turns int"
+    d = frame(spark, [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x")], schema)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(d)).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", ""), ("assistant", "b"), ("assistant", "b")] and got[1].loss == ["b", "b"]
+    assert [tuple(t) for t in got[None].turns] == [("", "x")]
+
+
+def test_topk_ties_and_bad_vectors(spark):
+    bad = [(40, None), (41, [float("nan"), 1.0]), (42, [None, 1.0]), (43, [float("inf"), 0.0]), (None, [1.0, 0.0]), (60, [1.0])]
+    d = frame(spark, [(i, [1.0, 0.0]) for i in range(30)] + [(31, [2.0, 0.0]), *bad], "vec_id long, embedding array<double>, score long, rank int, dim int")
+    got = rows(mtree.top_k(d, 5, page_rows=4, shard_rows=10))
+    want = [(q, k + 1, v, s) for q in (0, 20) for k, (v, s) in enumerate([(31, 8192)] + [(v, 4096) for v in range(30) if v != q][:4])]
+    assert got == sorted(want, key=repr)
+    assert len(rows(mtree.top_k(d, 50))) == 60
+
+
+def test_topk_skips_pages():
+    rng = np.random.Generator(np.random.PCG64(1))
+    centers = rng.normal(size=(20, 8)) * 200
+    x = np.floor(np.repeat(centers, 100, axis=0) + rng.normal(size=(2000, 8)) * 5)
+    ids = rng.permutation(2000)
+    tree = mtree.Shard(mtree.build_pages(ids, x, page_rows=32, fanout=8))
+    for q in range(0, 2000, 97):
+        got, scores = tree.search(x[q], ids[q], 20)
+        s = x @ x[q]
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:20]
+        assert got.tolist() == ids[best].tolist() and scores.tolist() == s[best].tolist()
+    assert tree.computed < 0.5 * 2000 * 21
+
+
+def test_url_parts(spark):
+    urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q#f", "x://example.org/en/12", "x://notexample.org/es/", "x://org", "x://org?/a", "http://sub.com/de/1://b/", "y:///p", "z://h#/x", "x://example.org/en/1" + "a" * 50_000]
+    d = frame(spark, list(enumerate(urls)), "page_id long, url string, rule string, verdict string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.judge(d).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None)
+    assert got[3] == ("a.example.org", "/es/x", "example.org/es/") and got[4][2] == got[11][2] == "example.org/en/1"
+    assert got[5][2] == "org/" and got[6] == ("org", "", None) and got[7] == ("org", "", None)
+    assert got[8] == ("sub.com", "/de/1://b/", "com/de/") and got[9] == ("", "/p", None) and got[10] == ("h", "", None)
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar">
+<header><h2>Site name</h2><p>A tag line that is long enough to look like a sentence.</p></header>
+<nav><a href=x>Home</a> <a href=y>About us</a></nav>
+<div class="cookie-notice"><p>We use cookies to improve your experience on this site. Please accept them all.</p></div>
+%s
+<aside><p>Another long story that is only here to be clicked by people who read.</p></aside>
+<form><label>Mail</label><input name=a><button>Send it</button></form>
+<section id="comments"><div class="comment"><p>I read all of it, and it was a good text by all means. Thank you.</p></div></section>
+<footer>&copy; Someone</footer><script>var a = "<p>no</p>";</script></body></html>"""
+BODY = "<h1>The title</h1><p>First&nbsp;part of the text, with <b>bold</b>ness &amp; more of it.<p>Second <a href=z>part</a> of\n the text, which has\t a few words more than that."
+TEXT = "The title First part of the text, with boldness & more of it. Second part of the text, which has a few words more than that."
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main><div>%s</div></main>", '<div class="post-content">%s</div>', "<div>%s</div>"])
+def test_html_layouts(wrap):
+    assert " ".join(html_extract.main_blocks(PAGE % (wrap % BODY))) == TEXT
+
+
+def test_html_odd_pages(spark):
+    d = frame(spark, [(1, "u", None), (2, None, ""), (3, "u", "plain text only, and nothing but text in it."), (4, "u", "<p>" * 5000 + "<b" + "<div>" * 300), (5, "u", "a < b <!-- <p>no</p>")], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(d).collect()}
+    assert got[1] == got[2] == ("", 0) and got[3][0].startswith("plain text only")
+    assert set(got) == {1, 2, 3, 4, 5}
+
+
+def test_minimum_cut_is_minimal():
+    r = random.Random(2)
+    for _ in range(300):
+        n = r.randrange(1, 8)
+        s = [r.randrange(-20, 21) / 4 for _ in range(n)]
+        e = [(a, b, r.randrange(0, 12) / 4) for a in range(n) for b in range(a) if r.random() < 0.5]
+        cost = lambda lab: sum(x if not k else 0 for x, k in zip(s, lab) if x > 0) + sum(-x if k else 0 for x, k in zip(s, lab) if x < 0) + sum(c for a, b, c in e if lab[a] != lab[b])
+        least = min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(1 << n))
+        assert cost(html_extract.minimum_cut(s, e)) == pytest.approx(least)
+
+
+def test_encoder_equals_the_tokenizer():
+    r = random.Random(1)
+    chars = "aAzZ'.-! \n,;0½²ßİıǅΣςé\u0301\u00a0日<|>_sStTdDmM\x1c\x85"
+    texts = ["".join(r.choices(chars, k=r.randrange(14))) for _ in range(20_000)]
+    texts += ["<|endoftext|> a<|startoftext|>b", "x" * 5000 + " y", "İstanbul! DON'T", "ΑΣ ΟΔΟΣ", None]
+    e = packing.WordEncoder(public_tokenizers.path(corpus_pipeline.TOKENIZER), hold=500)
+    for a in range(0, len(texts), 1000):
+        some = texts[a : a + 1000]
+        want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)]
+        assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_all(some)] == want
+
+
+def test_padding():
+    assert [packing.padded_length(n, 4096) for n in (1, 2, 3, 4095, 1024)] == [1, 2, 4096, 4096, 1024]
+
+
+def test_simhash_buckets(spark):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(300)]
+    fps = set(base)
+    for b in base[:60]:
+        for _ in range(r.randrange(1, 6)):
+            b ^= sum(1 << k for k in r.sample(range(64), r.randrange(1, 6)))
+            fps.add(b)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(fps)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(b)] = find(a)
+    want = {frozenset(x for x in fps if find(x) == f) for f in {find(f) for f in fps}}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for slab in (20_000, 2):
+        groups = {f: {f} for f in map(signed, fps)}
+        for node, top in simhash.components(simhash.links(df, slab_rows=slab)).collect():
+            groups.setdefault(("c", top), set()).add(node)
+        got = {frozenset(v) for k, v in groups.items() if isinstance(k, tuple)}
+        assert got == {frozenset(map(signed, g)) for g in want if len(g) > 1}
+
+
+def test_pivot_table_discards_pairs():
+    fps = np.random.Generator(np.random.PCG64(4)).integers(0, 2**64, 2000, dtype=np.uint64)
+    counts: dict = {}
+    found = list(simhash.close_pairs(fps, np.zeros(len(fps), dtype=int), np.ones(len(fps), dtype=bool), simhash.pivots(16), 4, counts))
+    assert counts["survivors"] < 0.001 * counts["window"] and sum(len(a) for a, _ in found) == 0
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (105, 103), (200, 201)]
+    got = dict(simhash.components(spark.createDataFrame(path, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 103, 105)}, 200: 200, 201: 200}
+
+
+def test_language_model_is_a_distribution():
+    m = language.train({"a": [b"abracadabra abracadabra"] * 5, "b": [b"the quick brown fox"] * 5}, min_count=2)
+    p = np.exp2(-m.bits.reshape(-1, m.size, 2)).astype(float)
+    p[:, -1, :] *= (m.symbol == m.size - 1).sum()
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+    assert language.classify(m, b"abracadabra")[0] == "a" and language.classify(m, b"Quick FOX")[0] == "b"
+    assert language.classify(m, "12 ½ !".encode()) == ("und", 0.0) and language.classify(None, b"x") == ("und", 0.0)
+
+
+def test_pipeline_against_its_parts(spark, sf_dir):
+    docs = corpus_pipeline.table(spark, sf_dir, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    now = docs
+    for name in ("language", "line_dedup", "near_duplicates", "decontamination"):
+        now = corpus_pipeline.materialise(stages[name](spark, now, sf_dir), name)
+        assert now.columns == list(corpus_pipeline.COLUMNS)
+    kept = {r.doc_id: r.text for r in now.collect()}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    ids = {d: t.encode(x, add_special_tokens=False).ids + [2] for d, x in kept.items()}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in got} == kept.keys() and sum(r.length for r in got) == sum(map(len, ids.values()))
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
+    # The kept documents: by brute force from the first stage on.
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    lined = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs.filter(docs.doc_id.isin(list(texts)))).collect()}
+    prints = {d: simhash.fingerprint(simhash.words_of(x.encode()), 4) for d, x in lined.items()}
+    root = {d: d for d in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(prints)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    single = {d for d in order if find(d) == d}
+    windows = set()
+    for r in corpus_pipeline.table(spark, sf_dir, "benchmark").collect():
+        windows |= decontaminate.windows_of(decontaminate.words_of((r.text or "").encode()), 10)
+    words = {d: decontaminate.words_of(lined[d].encode()) for d in single}
+    leaks = {d for d, w in words.items() if any(tuple(w[i : i + len(x)]) == x for x in windows for i in range(len(w) - len(x) + 1) if w[i] == x[0])}
+    assert kept.keys() == single - leaks
+    assert hashlib.sha256("".join(kept[d] for d in sorted(kept)).encode()).hexdigest() == hashlib.sha256("".join(lined[d] for d in sorted(kept)).encode()).hexdigest()
