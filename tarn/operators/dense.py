@@ -59,19 +59,15 @@ def _scorer(held, k: int, exclude_self: bool):
             scores = matrix @ m.T
             if exclude_self:
                 scores[ids[:, None] == docs[None, :]] = -np.inf
-            keys = np.round(scores, 9)
-            for i, q in enumerate(ids):
-                # All ties of the k-th score stay in: the final ranking settles them.
-                if len(docs) > k:
-                    cut = np.partition(keys[i], len(docs) - k)[len(docs) - k]
-                    at = np.flatnonzero(keys[i] >= cut)
-                    if len(at) > k:
-                        at = at[np.lexsort((docs[at], -keys[i][at]))[:k]]
-                else:
-                    at = np.arange(len(docs))
-                at = at[np.isfinite(scores[i][at])]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(docs[at]), pa.array(scores[i][at])], ["query_id", "doc_id", "score"])
+            # Rows by id, then a stable sort by score: ties go to the smaller id.
+            by_id = np.argsort(docs, kind="stable")
+            best = by_id[np.argsort(-np.round(scores[:, by_id], 9), axis=1, kind="stable")[:, :k]]
+            found = np.take_along_axis(scores, best, axis=1)
+            real = np.isfinite(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), pa.array(docs[best][real]), pa.array(found[real])],
+                ["query_id", "doc_id", "score"],
+            )
 
     return run
 

@@ -465,9 +465,13 @@ def synth_clicks(spark, d):
 
 
 def stream_of(spark, d, name):
-    """The table's files as a stream."""
+    """The table's files as a stream; the table is a file or a folder of files."""
     path = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema)
+    if any(f"/{name}.parquet/" in f for f in batch.inputFiles()[:1]):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 @query

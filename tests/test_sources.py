@@ -70,8 +70,7 @@ def test_streams_equal_batches(spark, sf_dir):
 
 
 def test_running_counts(spark, sf_dir, tmp_path):
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = catalogue.stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = ingest.running_counts(stream, "ts", "event_type", window="1 day")
     run = counted.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     run.awaitTermination()
