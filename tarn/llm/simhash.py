@@ -228,9 +228,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour.
         both = links_now.select("a", "b").unionByName(links_now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        low = materialise(low, "stars")  # so that a join with a hot centre can be split
         large = both.join(low, both.a == low.n).filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        small_low = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
+        large = materialise(large, "stars")
+        small_low = materialise(large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m")), "stars")
         small = (
             large.join(small_low, large.b == small_low.n)
             .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("l"))
