@@ -76,6 +76,57 @@ _SENTENCES = rf"""sent AS (
 )"""
 ORACLES["sentence_split"] = f"""WITH {_SENTENCES}
 SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM sent"""
+
+def _tokens(text: str) -> str:
+    return f"greatest(1, len({text}) // 4)::BIGINT"
+
+
+def _pieces(words: str, size: int) -> str:
+    """A fold over words: ``out`` the full pieces, ``held`` the words of the last one."""
+    first = f"list_transform({words}, lambda w: struct_pack(out := []::VARCHAR[], held := [w], n := len(w) + 1))"
+    return f"""list_reduce({first}, lambda a, e: CASE
+      WHEN a.n + e.n > {4 * size} THEN struct_pack(out := list_append(a.out, array_to_string(a.held, ' ')), held := e.held, n := e.n)
+      ELSE struct_pack(out := a.out, held := list_concat(a.held, e.held), n := a.n + e.n) END)"""
+
+
+def chunked(size: int, overlap: int, columns: str) -> str:
+    """The chunker as a fold over sentences. ``p`` holds the pieces of a sentence over the budget."""
+    none = "[]::VARCHAR[]"
+    suffix = f"list_sum(list_transform(a.held[len(a.held) - m + 1 :], lambda h: {_tokens('h')}))"
+    carry = f"a.held[len(a.held) - greatest(1, len(list_filter(range(1, len(a.held) + 1), lambda m: {suffix} <= {overlap}))) + 1 :]"
+    carry_n = f"coalesce(list_sum(list_transform({carry}, lambda h: {_tokens('h')}))::BIGINT, 0)"
+    flushed = "list_append(a.out, array_to_string(a.held, ' '))"
+    words = "list_filter(string_split(x, ' '), lambda w: w <> '')"
+    return f"""
+WITH {_SENTENCES},
+big AS (SELECT DISTINCT x FROM (SELECT unnest(s) AS x FROM sent) WHERE {_tokens('x')} > {size}),
+cut AS (SELECT x, list_append(r.out, array_to_string(r.held, ' ')) AS p FROM (SELECT x, {_pieces(words, size)} AS r FROM big)),
+el AS (
+  SELECT doc_id, list(struct_pack(out := {none}, held := [u.x], n := {_tokens('u.x')}, p := coalesce(cut.p, {none})) ORDER BY u.i) AS l
+  FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM sent) u LEFT JOIN cut ON cut.x = u.x GROUP BY doc_id
+),
+st AS (
+  SELECT doc_id, list_reduce(l, lambda a, e: CASE
+    WHEN e.n > {size} AND len(a.held) > 0 THEN struct_pack(out := list_concat({flushed}, e.p), held := {carry}, n := {carry_n}, p := {none})
+    WHEN e.n > {size} THEN struct_pack(out := list_concat(a.out, e.p), held := a.held, n := a.n, p := {none})
+    WHEN a.n + e.n > {size} THEN struct_pack(out := {flushed}, held := list_concat({carry}, e.held), n := {carry_n} + e.n, p := {none})
+    ELSE struct_pack(out := a.out, held := list_concat(a.held, e.held), n := a.n + e.n, p := {none}) END,
+    struct_pack(out := {none}, held := {none}, n := 0::BIGINT, p := {none})) AS r FROM el
+),
+done AS (SELECT doc_id, CASE WHEN len(r.held) > 0 THEN list_append(r.out, array_to_string(r.held, ' ')) ELSE r.out END AS c FROM st)
+SELECT {columns} FROM (SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) AS i FROM done)"""
+
+
+_CHUNK = "doc_id || '::' || (i - 1) AS chunk_id, doc_id, (i - 1)::INTEGER AS pos, md5(text) AS digest"
+ORACLES["chunk_documents"] = chunked(512, 32, _CHUNK + ", length(text)::INTEGER AS n_chars")
+ORACLES["chunk_small_budget"] = chunked(24, 6, _CHUNK + ", length(text)::INTEGER AS n_chars")
+ORACLES["stream_ingest"] = chunked(512, 32, _CHUNK)
+_PLAIN = rf"list_filter(string_split(regexp_replace(regexp_replace(text, '[.!?]', '', 'g'), '{WHITE}', ' ', 'g'), ' '), lambda w: w <> '')"
+ORACLES["hard_split"] = f"""
+WITH w AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+c AS (SELECT doc_id, list_append(r.out, array_to_string(r.held, ' ')) AS c FROM (SELECT doc_id, {_pieces('w', 32)} AS r FROM w WHERE len(w) > 0))
+SELECT doc_id, (i - 1)::INTEGER AS pos, length(piece)::INTEGER AS n_chars, md5(piece) AS digest
+FROM (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) AS i FROM c)"""
 _NORMAL = rf"replace(lower(trim(regexp_replace(nfc_normalize(text), '{WHITE}', ' ', 'g'))), 'ß', 'ss')"
 ORACLES["normalize_query"] = f"SELECT conv_id, turn, {_NORMAL} AS normalized FROM conversations WHERE role = 'user'"
 ORACLES["classify_intent"] = f"""
