@@ -48,7 +48,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.hold, self.piece_chars = hold, piece_chars
@@ -149,33 +149,25 @@ def pack(documents: DataFrame, *, tokenizer_path: str, length: int = 4096, end_i
     documents like any other, in the order in which the partitions hold them.
     Other columns are neither read nor returned; an empty table has no pieces.
     """
+    spark = documents.sparkSession
     stream = materialise(encoded(documents, tokenizer_path, end_id, id_col, text_col), "tokens")
-    totals = {r.part: r.n for r in stream.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n")).collect()}
-    order = sorted(totals)
-    sums = list(accumulate((totals[p] for p in order), initial=0))
-    base, total = dict(zip(order, sums)), sums[-1]
+    totals = sorted((r.part, r.n) for r in stream.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n")).collect())
+    sums = list(accumulate((n for _, n in totals), initial=0))
+    total = sums[-1]
     final = padded_length(total % length, length) if total % length else length
-
-    def cut(batches):
-        for batch in batches:
-            rows: list[tuple] = []
-            at: list[int] = []
-            columns = (batch.column(i).to_pylist() for i in range(1, 5))
-            for row, (ids, n, part, before) in enumerate(zip(*columns)):
-                wide = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                first = base[part] + before
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(first + start, length)
-                    size = min(length - offset, n - start)
-                    at.append(row)
-                    rows.append((start, size, wide[4 * start : 4 * (start + size)], n, sequence, offset, final if sequence == total // length else length))
-                    start += size
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
-
-    fields = [("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("padded", T.IntegerType())]
-    schema = T.StructType([stream.schema["doc_id"], *(T.StructField(n, k) for n, k in fields)])
-    names = schema.names
-    return stream.mapInArrow(cut, schema)
+    # A row per partition of the first pass.
+    bases = spark.createDataFrame([(p, base) for (p, _), base in zip(totals, sums)], "part int, base long")
+    placed = stream.join(F.broadcast(bases), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("before")).alias("first"))
+
+    first, end = F.col("first"), F.col("first") + F.col("n")
+    windows = F.sequence(F.floor(first / length), F.floor((end - 1) / length))
+
+    def piece(s):
+        low, high = F.greatest(first, s * length), F.least(end, (s + 1) * length)
+        ids = F.substring("ids", ((low - first) * 4 + 1).cast("int"), ((high - low) * 4).cast("int"))
+        padded = F.when(s == total // length, final).otherwise(length)
+        return F.struct((low - first).alias("start"), (high - low).alias("length"), ids.alias("ids"), s.alias("sequence_id"), (low - s * length).alias("offset"), padded.cast("int").alias("padded"))
+
+    # Cut inside the array, so that a long document is copied once, not once a piece.
+    cut = placed.select("doc_id", F.col("n").alias("doc_tokens"), F.explode(F.transform(windows, piece)).alias("p"))
+    return cut.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset", "p.padded")
