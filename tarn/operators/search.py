@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import classify_intent, hashing_vector, normalize_query
 from tarn.operators import bm25, dense, fuse, stores
 from tarn.operators.chunk import chunk_documents
+from tarn.runtime import materialise
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,11 @@ def search(vectors: DataFrame | None, index: bm25.Bm25Index | None, queries: Dat
     empty = queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     by_vector = search_dense(vectors, queries, fetch, dim) if vectors is not None and strategy != "sparse" else empty
     by_term = bm25.search(index, queries, fetch) if index is not None and strategy != "dense" else empty
-    hits = fuse.hybrid(by_vector, by_term, fetch) if strategy == "hybrid" else by_vector if strategy == "dense" else by_term
+    if strategy == "hybrid":
+        # Fusing reads each list several times: a list is a few rows per query.
+        hits = fuse.hybrid(materialise(by_vector, "dense-hits"), materialise(by_term, "sparse-hits"), fetch)
+    else:
+        hits = by_vector if strategy == "dense" else by_term
     if rerank and reranker is not None and documents is not None:
         return fuse.rerank(hits, queries, documents, top=k, scorer=reranker)
     return hits.filter(F.col("rank") < k)

@@ -16,7 +16,7 @@ from tarn.functions import text as fn
 from tarn.operators import bm25, dense, evaluate, feedback, fuse, search, stores
 from tarn.operators.chunk import chunk_documents, hard_split
 from tarn.plans.oracles import ORACLES  # noqa: F401
-from tarn.runtime import shared_dir, table
+from tarn.runtime import shared_dir, spread, table
 from tarn.sources import files
 from tarn.streaming import ingest
 
@@ -37,7 +37,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def asked(spark, d):

@@ -42,6 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan that has fewer partitions than the session has cores, dealt out by ``key``.
+
+    For work that is heavy for each row over inputs of one or a few files. A scan
+    with enough partitions, as any large one, stays as it is. ``df`` must be a
+    scan with projections or filters: its partitions are counted by planning it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for durable intermediates.
 
