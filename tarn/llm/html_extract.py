@@ -41,16 +41,23 @@ BAD_WORDS = frozenset(
 #: Beginnings of such words, for names that are written together.
 BAD_STEMS = tuple("advert cookie comment sponsor newsletter sidebar breadcrumb promo subscri navig kommentar comentario werbung publicid publicit".split())
 GOOD_WORDS = frozenset("article content entry post story main body text prose".split())
+#: Phrases that short blocks of boilerplate hold, lower-cased.
+PHRASES = (
+    "©", "(c) ", "copyright", "all rights reserved", "cookies", "privacy policy", "terms of use", "terms of service", "subscribe", "sign up", "log in",
+    "newsletter", "advertisement", "sponsored", "share this", "read more", "leave a comment", "leave a reply", "alle rechte vorbehalten", "tous droits réservés",
+    "todos los derechos reservados",
+)
 #: Tags that an opening tag ends when they are still open above their container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 # Weights of the classifier, in units of the smoothness capacities below.
 W_MAIN, W_LANDMARK, W_BAD, W_GOOD, W_HEADING, W_BIAS = 4.0, -16.0, -12.0, 2.0, 0.5, -0.6
-W_LENGTH, W_SENTENCE, W_LINKS = 1.5, 0.8, -4.0
+W_LENGTH, W_SENTENCE, W_LINKS, W_PHRASE = 1.5, 0.8, -4.0, -4.0
 NEAR, SAME_PARENT, APART = 0.4, 0.4, 0.05
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_END = re.compile(r"""(?:[^>=]++|=(?>\s*"[^"]*"|\s*'[^']*')?+)*+>""")
 _ATTR = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -80,14 +87,12 @@ def tokens(page: str):
             yield "text", "<", ""
             at = lt + 1
             continue
-        close = page.find(">", m.end())
+        # A ">" in a quoted value is part of it; a value that isn't closed soon is none.
+        found = _TAG_END.match(page, m.end(), m.end() + 50_000)
+        close = found.end() - 1 if found else page.find(">", m.end())
         if close < 0:
             return
         inside = page[m.end() : close]
-        # A ">" inside quotes is part of the attribute.
-        while inside.count('"') % 2 and (more := page.find(">", close + 1)) >= 0 and more - lt < 20_000:
-            close = more
-            inside = page[m.end() : close]
         name = m.group().lower()
         at = close + 1
         if nxt == "/":
@@ -224,6 +229,9 @@ def score(b: Block) -> float:
     n = len(b.text)
     s = W_BIAS + W_LENGTH * min(n / 120, 2.0) + W_LINKS * b.links
     s += W_SENTENCE * (b.text[-1] in ".!?…:;\"'”»")
+    if n < 200 and not b.main:
+        low = b.text.lower()
+        s += W_PHRASE * any(p in low for p in PHRASES)
     s += W_MAIN * b.main + W_LANDMARK * b.landmark + W_BAD * b.bad + W_GOOD * b.good + W_HEADING * b.heading
     return s
 
