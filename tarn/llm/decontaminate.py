@@ -157,8 +157,9 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document row: ``doc_id, n_words, n_hit, spans, items``.
+    """One row per document row: ``doc_id, n_words, n_hit, spans, items`` (and ``keep``).
 
     ``spans`` are the merged word ranges ``[first, end)`` covered by windows of
     the benchmark, ``n_hit`` the words inside them, ``items`` the sorted ids (as
@@ -166,16 +167,21 @@ def decontaminate(
 
     Null or empty texts have no words and no hits. A null item id counts as an
     empty string; items without words have no window. Repeated document rows
-    each get their row, repeated benchmark rows count once. Other columns are
-    neither read nor returned. Empty tables give an empty result, or no hits.
+    each get their row, repeated benchmark rows count once. Columns outside ``keep``
+    are neither read nor returned. Empty tables give an empty result, or no hits.
     """
     spark = documents.sparkSession
-    docs = text_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    docs = text_batches(documents).select(F.col(text_col).cast("binary").alias("body"))
     windows = _benchmark_windows(benchmark, window_words, item_col, item_text_col)
     blocks = max(1, -(-windows.count() // block_windows))
-    hits = [T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
     id_field, body_field = T.StructField("doc_id", documents.schema[id_col].dataType), T.StructField("body", T.BinaryType())
-    state = docs.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in hits))
+    # One struct carries what is kept, so that its names can't clash with the result's.
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("boolean")
+    hits = [T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
+    state = text_batches(documents).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in hits), kept.alias("kept")
+    )
+    kept_field = state.schema["kept"]
 
     for block in range(blocks):
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else windows
@@ -185,11 +191,11 @@ def decontaminate(
         wanted = spark.sparkContext.broadcast({s for w in held for s in shingles_of(w)})
         index = spark.sparkContext.broadcast(prefix_index(held, _count_shingles(docs, wanted)))
         last = block == blocks - 1
-        fields = [id_field, T.StructField("n_words", T.LongType()) if last else body_field, *hits]
+        fields = [id_field, T.StructField("n_words", T.LongType()) if last else body_field, *hits, kept_field]
         state = state.mapInArrow(_prober(index, last), T.StructType(fields))
 
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["first"])
-    return state.select("doc_id", "n_words", covered.alias("n_hit"), "spans", "items")
+    return state.select("doc_id", "n_words", covered.alias("n_hit"), "spans", "items", *(F.col("kept")[c].alias(c) for c in keep))
 
 
 def _prober(index, last: bool):
@@ -213,8 +219,9 @@ def _prober(index, last: bool):
                     pa.array(total, pa.int64()) if last else batch.column(1),
                     pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span_type),
                     pa.array(items, pa.list_(pa.string())),
+                    batch.column(4),
                 ],
-                ["doc_id", "n_words" if last else "body", "spans", "items"],
+                ["doc_id", "n_words" if last else "body", "spans", "items", "kept"],
             )
 
     return probe
