@@ -107,21 +107,21 @@ def l2_normalize(vector: Column) -> Column:
 def hashing_vector(text: Column, dim: int = 64) -> Column:
     """Token counts in ``dim`` buckets by MD5 (first seven hex digits), L2-normalised."""
 
-    def encode(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bucket: dict[str, int] = {}
-        for series in tokens:
-            out = []
-            for row in series:
-                counts = np.zeros(dim)
-                for t in row if row is not None else ():
-                    at = bucket.get(t)
-                    if at is None:
-                        if len(bucket) > 500_000:
-                            bucket.clear()
-                        at = bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % dim
-                    counts[at] += 1
-                length = np.sqrt((counts * counts).sum())
-                out.append(counts / length if length else counts)
-            yield pd.Series(out)
+        for series in batches:
+            sizes = series.map(lambda t: 0 if t is None else len(t)).to_numpy(dtype=np.int64)
+            every = np.concatenate([t for t in series if t is not None and len(t)] or [np.empty(0, dtype=object)])
+            # Each distinct token of a batch is hashed once, and remembered.
+            codes, distinct = pd.factorize(every)
+            if len(bucket) > 500_000:
+                bucket.clear()
+            for t in distinct:
+                if t not in bucket:
+                    bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % dim
+            at = np.repeat(np.arange(len(series)), sizes) * dim + np.array([bucket[t] for t in distinct], dtype=np.int64)[codes]
+            counts = np.bincount(at, minlength=len(series) * dim).reshape(len(series), dim).astype(np.float64)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            yield pd.Series(list(counts / np.where(length > 0, length, 1.0)), index=series.index)
 
     return F.pandas_udf(encode, T.ArrayType(T.DoubleType()))(tokenize(text))

@@ -18,7 +18,8 @@ HITS = "query_id long, doc_id long, score double"
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("query_id", "rank", "doc_id", "score")
+    # The limit is on the bare row number, so that it also holds before the exchange.
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", (F.col("place") - 1).alias("rank"), "doc_id", "score")
 
 
 def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

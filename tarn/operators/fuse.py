@@ -27,10 +27,10 @@ def rrf_fuse(lists: list[DataFrame], *, k: int = RRF_K, top: int | None = None)
         .agg(F.sum(1.0 / (F.lit(k) + F.col("rank") + 1)).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen")
-    ranked = summed.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = summed.withColumn("place", F.row_number().over(order))
     if top is not None:
-        ranked = ranked.filter(F.col("rank") < top)
-    return ranked.select("query_id", "rank", "doc_id", "score")
+        ranked = ranked.filter(F.col("place") <= top)
+    return ranked.select("query_id", (F.col("place") - 1).alias("rank"), "doc_id", "score")
 
 
 def fetch_size(k: int, rerank: bool) -> int:
@@ -70,10 +70,10 @@ def rerank(candidates: DataFrame, queries: DataFrame, documents: DataFrame, *, t
         .withColumn("score", scorer(F.col("query_text"), F.coalesce("doc_text", F.lit(""))))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
-    ranked = scored.withColumn("new_rank", F.row_number().over(order) - 1)
+    ranked = scored.withColumn("place", F.row_number().over(order))
     if top is not None:
-        ranked = ranked.filter(F.col("new_rank") < top)
-    return ranked.select("query_id", F.col("new_rank").alias("rank"), "doc_id", "score")
+        ranked = ranked.filter(F.col("place") <= top)
+    return ranked.select("query_id", (F.col("place") - 1).alias("rank"), "doc_id", "score")
 
 
 @dataclass(frozen=True)
