@@ -21,6 +21,10 @@ TABLES = (
 ).split()
 
 
+#: Paths of intermediates written by this process.
+_WRITTEN: list[str] = []
+
+
 def session(app: str = "tarn", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the package relies on."""
     builder = SparkSession.builder.appName(app)
@@ -80,10 +84,22 @@ def materialise(df: DataFrame, label: str = "table", codec: str = "zstd") -> Dat
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediates that this process has written, once results that
+    read them are stored. Returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after bounding the rows of an Arrow batch for its session.
 
