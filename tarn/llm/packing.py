@@ -35,7 +35,8 @@ class WordEncoder:
     in one call and told apart by the tokens that end a piece. Any other text is
     cut at spaces and line ends, which the tokenizer never joins across, and its
     new parts are encoded one by one. About ``hold`` pieces are held at most, of
-    up to ``piece_chars`` characters each.
+    up to ``piece_chars`` characters each, in two generations: when the younger is
+    half of that, it becomes the older, from which pieces come back when asked.
     """
 
     #: Characters beyond plain Latin script.
@@ -43,7 +44,7 @@ class WordEncoder:
     #: The tokenizer's pattern, written out for lower-cased Latin script.
     PIECE = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼½¾]+")
 
-    def __init__(self, path: str, hold: int = 300_000, piece_chars: int = 64):
+    def __init__(self, path: str, hold: int = 400_000, piece_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,6 +54,7 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.hold, self.piece_chars = hold, piece_chars
         self.held: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
@@ -75,9 +77,8 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *stops], stops)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.held) > self.hold:
-            self.held.clear()
-            self.held[""] = b""
+        if len(self.held) > self.hold // 2:
+            self.older, self.held = self.held, {"": b""}
         cut, plain, other = [], set(), set()
         for text in texts:
             if not text:
@@ -90,7 +91,10 @@ class WordEncoder:
                 plain.update(cut[-1])
         long: dict[str, bytes] = {}
         for asked, encode in ((plain, self._together), (other, self._direct)):
-            new = list(asked - self.held.keys())
+            new = asked - self.held.keys()
+            again = new & self.older.keys()
+            self.held.update((p, self.older[p]) for p in again)
+            new = list(new - again)
             for a in range(0, len(new), 20_000):
                 some = new[a : a + 20_000]
                 for piece, ids in zip(some, encode(some)):
