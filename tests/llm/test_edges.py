@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, packing, shard, simhash, url_filter
+from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, near_copies, packing, shard, simhash, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for results of their own.
@@ -314,3 +314,65 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     leaks = {d for d, w in words.items() if any(tuple(w[i : i + len(x)]) == x for x in windows for i in range(len(w) - len(x) + 1) if w[i] == x[0])}
     assert kept.keys() == single - leaks
     assert hashlib.sha256("".join(kept[d] for d in sorted(kept)).encode()).hexdigest() == hashlib.sha256("".join(lined[d] for d in sorted(kept)).encode()).hexdigest()
+
+
+def planted_copies():
+    """Texts of 60 to 200 words with edited copies of each, and a crowd of copies of one."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    texts = []
+    for base in range(60):
+        words = [word() for _ in range(r.randrange(60, 200))]
+        texts.append(" ".join(words))
+        for _ in range(30 if base == 0 else 3):
+            edited = list(words)
+            for _ in range(r.randrange(1, 6)):
+                edited[r.randrange(len(words))] = word()
+            texts.append(" ".join(edited))
+    return [*texts, "", "", "two words", "two words", "two"]
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_near_copies_are_all_pairs(spark, small):
+    texts = planted_copies()
+    sets = [set(near_copies.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                prints = [simhash.fingerprint(simhash.words_of(texts[k].encode()), 4) for k in (i, j)]
+                far += (prints[0] ^ prints[1]).bit_count() > 4
+    assert far > 50  # copies that the fingerprints of op9 don't bring together
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {x.row: x.doc_id for x in df.select("doc_id", near_copies.row_key(["doc_id", "text"]).alias("row")).collect()}
+    got: dict = {}
+    for x in near_copies.near_copies(df, small=small).collect():
+        got.setdefault(x.component, set()).add(keys[x.row])
+    want: dict = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pipeline_drops_edited_copies(spark, sf_dir):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    words = [word() for _ in range(200)]
+    texts = [" ".join(words), " ".join(word() for _ in range(200))]
+    for _ in range(12):
+        # Three words give a similarity of (196 - 15) / (196 + 15) at least.
+        edited = list(words)
+        for k in r.sample(range(200), 3):
+            edited[k] = word()
+        texts.append(" ".join(edited))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, sf_dir).collect()) == [0, 1]
