@@ -39,8 +39,8 @@ class WordEncoder:
     half of that, it becomes the older, from which pieces come back when asked.
     """
 
-    #: Characters beyond plain Latin script.
-    OTHER = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
+    #: Characters beyond plain Latin script, and those that are so in lower case.
+    OTHER = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff%s]" % "".join(c for c in map(chr, range(0x80, 0x250)) if max(c.lower()) >= "\u0250"))
     #: The tokenizer's pattern, written out for lower-cased Latin script.
     PIECE = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼½¾]+")
 

@@ -376,3 +376,11 @@ def test_pipeline_drops_edited_copies(spark, sf_dir):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, sf_dir).collect()) == [0, 1]
+
+
+def test_every_latin_character_is_encoded_as_by_the_tokenizer():
+    chars = [chr(c) for c in range(0x250)]
+    texts = [t for c in chars for t in (c, f"a{c}b", f"Mr {c}liyev spoke", f"B{c}N")]
+    e = packing.WordEncoder(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_all(texts)] == want
