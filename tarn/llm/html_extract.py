@@ -131,6 +131,7 @@ def blocks_of(page: str) -> list[Block]:
     # Open elements: [name, landmark, bad by class, good by class, number]
     stack: list[list] = [["#root", False, False, False, 0]]
     parts: list[str] = []
+    wrappers: set[int] = set()
     links = 0
     number = 0
     skip = mains = in_link = 0
@@ -144,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
                 block_level = [e for e in stack if e[0] not in INLINE]
                 out.append(
                     Block(
-                        text, mains > 0, any(e[1] for e in stack), any(e[2] for e in stack), any(e[3] for e in stack),
+                        text, mains > 0, [e[4] for e in stack if e[1]], [e[4] for e in stack if e[2]], any(e[3] for e in stack),
                         block_level[-1][0] in HEADING, min(1.0, links / len(text)), block_level[-1][4], block_level[-2][4] if len(block_level) > 1 else 0,
                     )
                 )
@@ -200,11 +201,13 @@ def blocks_of(page: str) -> list[Block]:
                 if mains == 1:
                     # What holds the main text is no sidebar, whatever it is called.
                     for e in stack:
-                        e[2] = False
+                        e[1] = e[2] = False
                 else:
                     bad = _marks(attributes)[0]
             landmark = name in LANDMARK or name == "header" and not mains
             stack.append([name, landmark, bad, good, number])
+            if name == "form":
+                wrappers.add(number)
             skip += name in SKIP
             in_link += name == "a"
             continue
@@ -221,9 +224,47 @@ def blocks_of(page: str) -> list[Block]:
             if name not in INLINE and not skip:
                 flush()
     flush()
+    clear_wrappers(out, wrappers)
     return out
 
 
+def clear_wrappers(blocks: list[Block], forms: set[int]) -> None:
+    """Turns the marked ancestors of each block into two flags.
+
+    A form, or an element marked by a class word, that holds most of the page's
+    text, while nothing unmarked scores as content, is the page's wrapper and
+    marks nothing. Wrappers in wrappers are found from the outside inwards.
+    """
+    void: set[int] = set()
+    while True:
+        # Only a block's outermost mark counts its text: what is marked inside is judged next.
+        size: dict[int, int] = {}
+        plain = 0
+        for b in blocks:
+            marks = [m for m in {*b.landmark, *b.bad} if m not in void]
+            if marks:
+                size[min(marks)] = size.get(min(marks), 0) + len(b.text)
+            else:
+                plain += len(b.text)
+                held, b.landmark, b.bad = (b.landmark, b.bad), False, False
+                content = score(b) > 0
+                b.landmark, b.bad = held
+                if content:
+                    break
+        else:
+            content = False
+        if content:
+            break
+        total = plain + sum(size.values())
+        named = {m for b in blocks for m in b.bad} - {m for b in blocks for m in b.landmark} | forms
+        found = {m for m, n in size.items() if m in named and 2 * n > total}
+        if not found:
+            break
+        void |= found
+    for b in blocks:
+        b.landmark, b.bad = any(m not in void for m in b.landmark), any(m not in void for m in b.bad)
+
+
 def score(b: Block) -> float:
     """The classifier: above zero for content."""
     n = len(b.text)

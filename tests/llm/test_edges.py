@@ -384,3 +384,19 @@ def test_every_latin_character_is_encoded_as_by_the_tokenizer():
     e = packing.WordEncoder(public_tokenizers.path(corpus_pipeline.TOKENIZER))
     want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_all(texts)] == want
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main><div>%s</div></main>", "<div>%s</div>"])
+@pytest.mark.parametrize("around", ["<form action=x>%s</form>", "<div class='with-sidebar'>%s</div>", "<div class='nav-open'><form>%s</form></div>"])
+def test_html_wrappers_keep_the_text(wrap, around):
+    long = "<p>" + "More of the text that is told here at some length, one word after another. " * 12 + "</p>"
+    start, end = PAGE.split("%s")
+    head, body = start.split("<header>")
+    page = head + around % ("<header>" + body + wrap % (BODY + long) + end.replace("<form>", "<div class=signup>").replace("</form>", "</div>").replace("</body></html>", "")) + "</body></html>"
+    got = " ".join(html_extract.main_blocks(page))
+    assert got.startswith(TEXT) and got.endswith("one word after another.") and "cookies" not in got and "Thank you" not in got
+
+
+def test_html_long_comments_are_no_wrapper():
+    comments = "<div class=comments>" + "<p>A comment that is longer than it should be, by one word after another, and so on.</p>" * 20 + "</div>"
+    assert " ".join(html_extract.main_blocks(f"<body><div>{BODY}</div>{comments}</body>")) == TEXT
