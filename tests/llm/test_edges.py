@@ -400,3 +400,11 @@ def test_html_wrappers_keep_the_text(wrap, around):
 def test_html_long_comments_are_no_wrapper():
     comments = "<div class=comments>" + "<p>A comment that is longer than it should be, by one word after another, and so on.</p>" * 20 + "</div>"
     assert " ".join(html_extract.main_blocks(f"<body><div>{BODY}</div>{comments}</body>")) == TEXT
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, sf_dir):
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(7, texts[0]), (7, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, df, sf_dir).collect()]
+    assert len(got) == 2 and set(got) == {(7, texts[0]), (None, texts[2])}
