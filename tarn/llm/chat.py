@@ -110,18 +110,18 @@ def format_conversations(conversations: DataFrame, *, id_col: str = "conv_id", t
 
     Turns are ordered by ``turn``; ties, null turns (first) and repeated rows
     keep a row each, ordered by role and text. Null texts and roles are empty;
-    an empty or unknown role is written by name. Rows with a null id form one
-    conversation. ``loss_spans`` are code point ranges ``[start, end)``. Other
+    an empty or unknown role is written by name; bytes that are not UTF-8 become
+    U+FFFD. A null id names no conversation: such rows are conversations of one
+    turn each. ``loss_spans`` are code point ranges ``[start, end)``. Other
     columns are neither read nor returned; an empty table gives an empty result.
     """
-    turn = F.struct(
-        F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    grouped = conversations.select(F.col(id_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(
-        F.transform(F.sort_array(F.collect_list("t")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")
+    valid = lambda c: F.make_valid_utf8(F.coalesce(F.col(c), F.lit("")))
+    rows = conversations.select(
+        F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), valid(role_col).alias("role"), valid(text_col).alias("text")).alias("t")
     )
+    told = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
+    named = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("t")), told).alias("turns"))
+    grouped = named.unionByName(rows.filter("conv_id is null").select("conv_id", F.array(told(F.col("t"))).alias("turns")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def write(batches):

@@ -4,17 +4,22 @@ Each language has a tree of byte contexts of order 0 to ``order``. The
 probability of a byte is that of the longest context that has been followed by
 it, times the escape probabilities of the longer contexts (method C: a context
 that was seen n times with q different bytes escapes with q / (n + q)), down to
-a uniform order -1 over 256 bytes. Statistics are frozen after training. A
-text's exact code length under a language is the sum of -log2 of these
-probabilities; the language with the shortest code wins.
-
-The contexts of all languages that were seen often enough form one table of
-states, so that scoring a text is two lookups per byte: the longest stored
-context of the last bytes, and the code lengths of the next byte after it under
-all languages.
-
-Training texts are a sample of at most about ``sample_rows`` rows for each label,
-taken by a hash of the id; the bound is a parameter. Every text is scored whole.
+a uniform order -1 over 256 bytes. Bytes that a context has been followed by are
+left out of what it escapes to. Statistics are frozen after training. A text's
+exact code length under a language is the sum of -log2 of these probabilities;
+the language with the shortest code wins.
+
+The trees of all languages are stored together, order by order: the byte strings
+of a context and its next byte that any language has seen, with their code
+lengths under every language, and the contexts with the bits that an escape from
+them costs. A byte is scored at the longest order at which its string is stored,
+and pays the escapes of the orders above. No context, byte or count is left out,
+and nothing is rounded or clipped.
+
+Training texts are a sample of about ``sample_rows`` rows for each label at most,
+taken by a hash of the id; the bound is a parameter. They are counted where they
+lie, and only counts of byte strings come to the driver. Every text is scored
+whole.
 """
 
 from __future__ import annotations
@@ -28,15 +33,8 @@ from pyspark.sql import types as T
 from tarn.runtime import text_batches
 
 UNKNOWN = "und"
-
-
-def _alphabet(counts: np.ndarray, size: int) -> np.ndarray:
-    """Symbol of each byte: the most frequent have their own, the others share the last."""
-    order = np.lexsort((np.arange(256), -counts))
-    symbol = np.full(256, size - 1, dtype=np.int64)
-    own = [b for b in order[: size - 1] if counts[b]]
-    symbol[own] = np.arange(len(own))
-    return symbol
+#: Bytes of a text that are scored at a time.
+CHUNK = 1 << 16
 
 
 def fold(text: bytes) -> bytes:
@@ -44,114 +42,143 @@ def fold(text: bytes) -> bytes:
     return text.lower()
 
 
-class Model:
-    """Frozen statistics: ``states`` (context of three symbols to state) and
-    ``bits`` (state and symbol to code lengths by language)."""
+def strings(text: bytes, order: int) -> np.ndarray:
+    """Every byte of a text with the ``order`` bytes before it, as a number; blanks stand before the text."""
+    data = np.frombuffer(b" " * order + text, dtype=np.uint8).astype(np.uint64)
+    n = len(data) - order
+    code = np.zeros(n, dtype=np.uint64)
+    for k in range(order + 1):
+        code = code << np.uint64(8) | data[k : k + n]
+    return code
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, size: int, states: np.ndarray, bits: np.ndarray):
-        self.languages, self.symbol, self.size, self.states, self.bits = languages, symbol, size, states, bits
 
-    def code_lengths(self, text: bytes) -> np.ndarray:
-        """Bits of a text under each language."""
-        total = np.zeros(len(self.languages))
-        size = self.size
-        data = self.symbol[np.frombuffer(text, dtype=np.uint8)]
-        data = np.concatenate([np.full(3, self.symbol[32]), data])
-        for at in range(0, len(data) - 3, 1 << 16):
-            s = data[at : at + (1 << 16) + 3]
-            context = (s[:-3] * size + s[1:-2]) * size + s[2:-1]
-            total += self.bits[self.states[context] * size + s[3:]].sum(axis=0, dtype=np.float64)
-        return total
+def place(table: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each asked value in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+    return at, table[at] == asked
 
 
-def train(texts: dict[str, list[bytes]], *, size: int = 96, min_count: int = 8) -> Model:
-    """A model of order 3 from the texts of each language.
+def direct_index(every: np.ndarray, contexts: np.ndarray, order: int, most: int = 1 << 22) -> tuple | None:
+    """The row of each string of the longest order by two lookups in place of a search:
+    symbols of the bytes, the place of each context, and the row by place and last symbol.
 
-    Contexts of two and three bytes that were seen fewer than ``min_count`` times
-    in all languages together are left to their shorter context.
+    Bytes that no text has share a symbol, as they share all that is asked here.
+    None if the table of contexts would have more than ``most`` cells.
     """
-    languages = sorted(texts)
-    bytes_seen = np.zeros(256, dtype=np.int64)
-    for t in texts.values():
-        for x in t:
-            bytes_seen += np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256)
-    symbol = _alphabet(bytes_seen, size)
-    shared = int((symbol == size - 1).sum()) or 1
-
-    # Counts of (context, next) for each order, dense up to order 2.
-    grams = {}
-    for lang in languages:
-        parts = [np.concatenate([np.full(3, symbol[32]), symbol[np.frombuffer(x, dtype=np.uint8)]]) for x in texts[lang] if x]
-        codes = [((s[:-3] * size + s[1:-2]) * size + s[2:-1]) * size + s[3:] for s in parts]
-        grams[lang] = np.unique(np.concatenate(codes) if codes else np.empty(0, dtype=np.int64), return_counts=True)
-
-    def of_order(lang: str, order: int):
-        code, n = grams[lang]
-        short = code % size ** (order + 1)
-        keys, back = np.unique(short, return_inverse=True)
-        return keys, np.bincount(back, weights=n, minlength=len(keys))
-
-    # States: the empty context, one symbol, then pairs and triples that are frequent enough.
-    state_of = {0: np.zeros(1, dtype=np.int64), 1: np.arange(size) + 1}
-    contexts = {0: np.zeros(1, dtype=np.int64), 1: np.arange(size)}
-    n_states = 1 + size
-    for order in (2, 3):
-        seen = np.zeros(size**order)
+    seen = np.unique(np.concatenate([every >> np.uint64(8 * k) & np.uint64(255) for k in range(order + 1)])).astype(np.int64)
+    size = len(seen) + 1
+    if size**order > most:
+        return None
+    symbol = np.full(256, size - 1, dtype=np.int32)
+    symbol[seen] = np.arange(len(seen))
+
+    def number(codes: np.ndarray, length: int) -> np.ndarray:
+        out = np.zeros(len(codes), dtype=np.int64)
+        for k in range(length - 1, -1, -1):
+            out = out * size + symbol[(codes >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]
+        return out
+
+    places = np.full(size**order, len(contexts), dtype=np.int32)
+    places[number(contexts, order)] = np.arange(len(contexts))
+    rows = np.full((len(contexts) + 1) * size, -1, dtype=np.int32)
+    last = symbol[(every & np.uint64(255)).astype(np.int64)]
+    rows[np.searchsorted(contexts, every >> np.uint64(8)) * size + last] = np.arange(len(every))
+    return symbol, size, places, rows
+
+
+def train(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = 3) -> tuple:
+    """The model of the counted strings of each language: languages, order, for each
+    order from 0 up strings, their bits, contexts and the bits of an escape, and an
+    index of the longest strings.
+
+    It is made of arrays, numbers and names only, so that workers need no code to read it.
+    """
+    if not 0 <= order <= 7:
+        raise ValueError("the order must be from 0 to 7")
+    languages = sorted(counts)
+    layers = []
+    for o in range(order + 1):
+        mask = np.uint64(2 ** (8 * (o + 1)) - 1)
+        own = {}
         for lang in languages:
-            keys, n = of_order(lang, order)
-            np.add.at(seen, keys // size, n)
-        contexts[order] = np.flatnonzero(seen >= min_count)
-        table = state_of[order - 1][np.arange(size**order) % size ** (order - 1)]
-        table[contexts[order]] = n_states + np.arange(len(contexts[order]))
-        n_states += len(contexts[order])
-        state_of[order] = table
-
-    bits = np.empty((n_states, size, len(languages)), dtype=np.float32)
-    own = np.where(np.arange(size) == size - 1, shared, 1) / 256.0
-    for k, lang in enumerate(languages):
-        q = np.zeros((n_states, size))
-        for order in range(4):
-            keys, n = of_order(lang, order)
-            states = state_of[order][keys // size] if order else np.zeros(len(keys), dtype=np.int64)
-            if order > 1:
-                exact = states >= n_states_before(contexts, size, order)
-                keys, n, states = keys[exact], n[exact], states[exact]
-            rows = len(contexts[order])
-            base = n_states_before(contexts, size, order)
-            counts = np.zeros((rows, size))
-            np.add.at(counts, (states - base, keys % size), n)
-            total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-            shorter = q[state_of[order - 1][contexts[order] % size ** (order - 1)]] if order else own[None, :]
-            # A byte that was seen has its share; others share the escape by the shorter context.
-            unseen = np.where(counts > 0, 0.0, shorter)
-            rest = unseen.sum(axis=1, keepdims=True)
-            prob = np.where(counts > 0, counts / np.maximum(total + kinds, 1), np.where(rest > 0, escape * unseen / np.maximum(rest, 1e-300), 0.0))
-            # Nothing left to escape to: the seen bytes take all.
-            prob /= prob.sum(axis=1, keepdims=True)
-            q[base : base + rows] = prob
-        bits[:, :, k] = -np.log2(np.maximum(q, 1e-12))
-    # The symbol of rare bytes stands for several: each is one of them.
-    bits[:, size - 1, :] += np.float32(np.log2(shared))
-    return Model(languages, symbol, size, state_of[3].astype(np.int32), bits.reshape(n_states * size, len(languages)))
-
-
-def n_states_before(contexts: dict[int, np.ndarray], size: int, order: int) -> int:
-    return sum(len(contexts[o]) for o in range(order))
+            code, n = counts[lang]
+            keys, back = np.unique(code & mask, return_inverse=True)
+            own[lang] = keys, np.bincount(back, weights=n, minlength=len(keys))
+        every = np.unique(np.concatenate([own[lang][0] for lang in languages]))
+        contexts = np.unique(every >> np.uint64(8))
+        of = np.searchsorted(contexts, every >> np.uint64(8))
+        if o:
+            shorter = layers[-1][1][np.searchsorted(layers[-1][0], every & np.uint64(2 ** (8 * o) - 1))]
+        else:
+            shorter = np.full((len(every), len(languages)), 8.0)
+        bits, escape = np.empty((len(every), len(languages))), np.empty((len(contexts), len(languages)))
+        for k, lang in enumerate(languages):
+            n = np.zeros(len(every))
+            n[np.searchsorted(every, own[lang][0])] = own[lang][1]
+            total, kinds = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, weights=n > 0, minlength=len(contexts))
+            # What the shorter context gives to the bytes that were not seen here.
+            left = 1.0 - np.bincount(of, weights=np.where(n > 0, np.exp2(-shorter[:, k]), 0.0), minlength=len(contexts))
+            # A context that all 256 bytes have followed has nothing to escape to.
+            full = kinds == 256
+            room = np.where(full, total, total + kinds)
+            escape[:, k] = np.where((kinds > 0) & ~full, -np.log2(np.where(kinds > 0, kinds, 1.0) / np.maximum(room, 1)) + np.log2(np.maximum(left, 1e-300)), 0.0)
+            bits[:, k] = np.where(n > 0, -np.log2(np.maximum(n, 1) / np.maximum(room[of], 1)), escape[of, k] + shorter[:, k])
+        layers.append((every, bits, contexts, escape))
+    return tuple(languages), order, tuple(layers), direct_index(layers[-1][0], layers[-1][2], order)
+
+
+def code_lengths(model: tuple, text: bytes) -> np.ndarray:
+    """Bits of a text under each language."""
+    languages, order, layers, direct = model
+    total = np.zeros(len(languages))
+    for at in range(0, len(text), CHUNK):
+        data = np.frombuffer(b" " * max(0, order - at) + text[max(0, at - order) : at + CHUNK], dtype=np.uint8)
+        n = len(data) - order
+        if direct:
+            symbol, size, places, rows = direct
+            coded = symbol[data]
+            context = np.zeros(n, dtype=np.int32)
+            for k in range(order):
+                context = context * np.int32(size) + coded[k : k + n]
+            row = rows[places[context] * np.int64(size) + coded[order:]]
+            found = row >= 0
+            left = np.flatnonzero(~found)
+            total += layers[-1][1][row[found]].sum(axis=0)
+        else:
+            left = np.arange(n)
+        code = np.zeros(len(left), dtype=np.uint64)
+        for k in range(order + 1):
+            code = code << np.uint64(8) | data[left + k]
+        for o in range(order, -1, -1):
+            every, bits, contexts, escape = layers[o]
+            code = code & np.uint64(2 ** (8 * (o + 1)) - 1)
+            if o < order or not direct:
+                row, found = place(every, code)
+                total += bits[row[found]].sum(axis=0)
+                code = code[~found]
+            if not len(code):
+                break
+            row, known = place(contexts, code >> np.uint64(8))
+            total += escape[row[known]].sum(axis=0)
+        else:
+            total += 8.0 * len(code)
+    return total
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def classify(model: Model | None, text: bytes | None) -> tuple[str, float]:
+def classify(model: tuple | None, text: bytes | None) -> tuple[str, float]:
     """Language and its share of the probability of the text under all languages."""
     if not text or model is None or not has_letter(text.decode("utf-8", "replace")):
         return UNKNOWN, 0.0
-    lengths = model.code_lengths(fold(text))
+    lengths = code_lengths(model, fold(text))
     best = int(np.argmin(lengths))
     share = 1.0 / float(np.exp2(np.maximum(lengths[best] - lengths, -1000.0)).sum())
-    return model.languages[best], share
+    return model[0][best], share
 
 
 def held_out(doc_id) -> object:
@@ -159,10 +186,26 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(documents: DataFrame, *, sample_rows: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **parameters: int) -> Model | None:
-    """Learn from labelled documents that are not held out; None if there are none."""
-    labelled = documents.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+def counted(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of texts and how often each occurs."""
+    found = [np.unique(strings(fold(t), order), return_counts=True) for t in texts if t]
+    if not found:
+        return np.empty(0, dtype=np.uint64), np.empty(0)
+    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate([n for _, n in found]), minlength=len(keys))
+
+
+def fit(documents: DataFrame, *, sample_rows: int = 600, order: int = 3, max_labels: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple | None:
+    """Learn from labelled documents that are not held out; None if there are none.
+
+    The driver holds counts of strings of ``order + 1`` bytes of about
+    ``sample_rows`` texts a label, and never a text. More than ``max_labels``
+    labels are an error: the model has a column for each.
+    """
+    labelled = documents.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(max_labels + 1).collect()}
+    if len(sizes) > max_labels:
+        raise ValueError(f"more than {max_labels} languages to learn")
     if not sizes:
         return None
     spread = 1 << 30
@@ -170,26 +213,41 @@ def fit(documents: DataFrame, *, sample_rows: int = 600, id_col: str = "doc_id",
     chosen = F.lit(False)
     for lang, n in sorted(sizes.items()):
         chosen = chosen | ((F.col(lang_col) == lang) & (draw < min(spread, sample_rows * spread // n)))
-    texts: dict[str, list[bytes]] = {lang: [] for lang in sizes}
     rows = labelled.filter(chosen).select(F.col(lang_col).alias("l"), F.col(text_col).cast("binary").alias("b"))
-    for r in rows.toLocalIterator():
-        if r.b:
-            texts[r.l].append(fold(bytes(r.b)))
-    texts = {k: v for k, v in texts.items() if v}
-    return train(texts, **parameters) if texts else None
 
-
-def identify(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), **parameters: int) -> DataFrame:
+    def count(batches):
+        for batch in batches:
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts.setdefault(lang, []).append(text)
+            for lang, some in texts.items():
+                keys, n = counted(some, order)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "s", "n"])
+
+    found = rows.mapInArrow(count, "l string, s long, n long").groupBy("l", "s").agg(F.sum("n").alias("n")).toArrow()
+    label, code, n = found.column(0).to_numpy(), found.column(1).to_numpy(), found.column(2).to_numpy()
+    counts = {}
+    for lang in np.unique(label.astype(str)) if len(label) else ():
+        own = label == lang
+        counts[str(lang)] = code[own].view(np.uint64), n[own].astype(np.float64)
+    return train(counts, order) if counts else None
+
+
+def identify(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), required: bool = False, **parameters: int) -> DataFrame:
     """One row per document row: ``doc_id, held_out, lang_pred, score`` (and ``keep``).
 
     ``score`` is the share of the winning language in the text's probability,
     from 0 to 1. A text that is null or has no letter is ``und`` with score 0, as
-    is every text if nothing could be learnt. Ties go to the label that sorts
-    first. A null id is not held out and not learnt from. Repeated rows each keep
-    a row; columns outside ``keep`` are not returned; those named in ``keep`` come
-    after the result's own.
+    is every text if nothing could be learnt; with ``required`` that is an error
+    where there are texts. Ties go to the label that sorts first. A null id is not
+    held out and not learnt from. Repeated rows each keep a row; columns outside
+    ``keep`` are not returned; those named in ``keep`` come after the result's own.
+    Bytes that are not UTF-8 are scored like any others and are no letters.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, id_col=id_col, text_col=text_col, lang_col=lang_col, **parameters))
+    learnt = fit(documents, id_col=id_col, text_col=text_col, lang_col=lang_col, **parameters)
+    if learnt is None and required and documents.filter(F.length(text_col) > 0).head(1):
+        raise ValueError("no labelled documents to learn languages from")
+    model = documents.sparkSession.sparkContext.broadcast(learnt)
     rows = text_batches(documents).select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("body"), *(F.col(c) for c in keep)
     )

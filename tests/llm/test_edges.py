@@ -1,9 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -129,8 +132,10 @@ def test_chat_random_round_trip():
 
 def test_chat_rows(spark):
     schema = "conv_id long, turn long, role string, text string, formatted string, n_turns int"
-    d = frame(spark, [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x")], schema)
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(d)).collect()}
+    d = frame(spark, [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (None, 0, None, "x")], schema)
+    back = chat.read_back(chat.format_conversations(d)).collect()
+    assert [r.conv_id for r in back].count(None) == 2
+    got = {r.conv_id: r for r in back}
     assert [tuple(t) for t in got[1].turns] == [("user", ""), ("assistant", "b"), ("assistant", "b")] and got[1].loss == ["b", "b"]
     assert [tuple(t) for t in got[None].turns] == [("", "x")]
 
@@ -193,6 +198,44 @@ def test_html_odd_pages(spark):
     assert set(got) == {1, 2, 3, 4, 5}
 
 
+LONG_P = "<p>A paragraph of the story that goes on for a while, and that says one thing after another until it ends.</p>"
+
+
+def test_the_cut_turns_blocks():
+    def turned(page):
+        blocks, scores, kept = html_extract.labelled(page)
+        return {b.text: k for b, s, k in zip(blocks, scores, kept) if (s > 0) != k}
+
+    # A short block between paragraphs: its own score says boilerplate.
+    assert turned(f"<div>{LONG_P}{LONG_P}<p>1998</p>{LONG_P}{LONG_P}</div>") == {"1998": True}
+    assert turned(f"<article>{LONG_P}<p><a href=x>Our guide</a></p>{LONG_P}{LONG_P}</article>") == {"Our guide": True}
+    # A sentence among links: its own score says content.
+    links = "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(4))
+    told = "A teaser that is told in one sentence."
+    assert turned(f"<div>{LONG_P * 3}</div><div><ul>{links}<li>{told}</li>{links}</ul></div>") == {told: False}
+
+
+def test_html_is_read_as_it_is_written():
+    keep = "Text that is long enough to be content here, with a few words more than it needs."
+    read = lambda page: " ".join(html_extract.main_blocks(page))
+    assert read(f"<!-->{keep}") == read(f"<!--->{keep}") == read(f"<!-- a > b --!>{keep}") == keep
+    assert read(f'<img alt="a > b" src="data:{"x>" * 500_000}">{keep}') == keep
+    assert read(f'<p class="x>{keep}') == keep and read(f"<p title='no > here' alt=\"a hidden gem\">{keep}") == keep
+    assert read(f"<p hidden>Not {keep}</p><p>{keep}") == read(f"<p style='display: none'>Not {keep}</p><p>{keep}") == keep
+    assert read(f"<p>{keep} &#{'9' * 5000}; &#x{'0' * 5000}41;") == f"{keep} \ufffd A"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>word" * 50_000, "<div class=nav>word " * 50_000, "<b>" * 30_000 + "<div>x</div>" * 30_000, "<div>" * 30_000 + "<td>x</td>" * 30_000, "<p " + "a" * 1_000_000 + ">x", "<p " + "= " * 300_000 + ">t", "<p id='y>" * 50_000, "<!-- x -->a " * 50_000],
+    ids=range(8),
+)
+def test_html_takes_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.main_blocks(page)
+    assert time.process_time() - began < 10  # any of these took minutes, or hours, by a path that is quadratic
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(300):
@@ -264,15 +307,83 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 103, 105)}, 200: 200, 201: 200}
 
 
-def test_language_model_is_a_distribution():
-    m = language.train({"a": [b"abracadabra abracadabra"] * 5, "b": [b"the quick brown fox"] * 5}, min_count=2)
-    p = np.exp2(-m.bits.reshape(-1, m.size, 2)).astype(float)
-    p[:, -1, :] *= (m.symbol == m.size - 1).sum()
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+@pytest.mark.parametrize("order", [0, 2, 3, 5])
+def test_language_model_is_a_distribution(order):
+    texts = {"a": [b"abracadabra abracadabra"] * 5, "b": [b"the quick brown fox", bytes(range(256)) * 3]}
+    m = language.train({k: language.counted(v, order) for k, v in texts.items()}, order)
+    for start in (b"", b"abr", b"the", b"zzzz", b"\xff\x00q", b"brown fo"):
+        bits = np.array([language.code_lengths(m, start + bytes([c])) for c in range(256)]) - language.code_lengths(m, start)
+        assert np.allclose(np.exp2(-bits).sum(axis=0), 1)
     assert language.classify(m, b"abracadabra")[0] == "a" and language.classify(m, b"Quick FOX")[0] == "b"
     assert language.classify(m, "12 ½ !".encode()) == ("und", 0.0) and language.classify(None, b"x") == ("und", 0.0)
 
 
+def model_of(texts, order):
+    """Bits of a byte after a context by the definition, one language, with exact fractions."""
+    seen: dict = {}
+    for t in texts:
+        t = b" " * order + t.lower()
+        for i in range(order, len(t)):
+            for o in range(order + 1):
+                seen.setdefault(t[i - o : i], Counter())[t[i]] += 1
+
+    def share(context, byte):
+        if context is None:
+            return Fraction(1, 256)
+        shorter = context[1:] if context else None
+        nexts = seen.get(context)
+        if not nexts:
+            return share(shorter, byte)
+        total = sum(nexts.values())
+        if byte in nexts:
+            return Fraction(nexts[byte], total + len(nexts))
+        left = 1 - sum(share(shorter, c) for c in nexts)
+        return Fraction(len(nexts), total + len(nexts)) * share(shorter, byte) / left
+
+    return share
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_code_lengths_are_those_of_the_definition(monkeypatch, most):
+    r = random.Random(8)
+    texts = {k: ["".join(r.choices(letters, k=r.randrange(1, 40))).encode() for _ in range(12)] for k, letters in (("x", "abc é"), ("y", "abd zß"))}
+    index = language.direct_index
+    monkeypatch.setattr(language, "direct_index", lambda *a: index(*a, most=most))
+    monkeypatch.setattr(language, "CHUNK", 7)
+    m = language.train({k: language.counted(v, 3) for k, v in texts.items()}, 3)
+    for text in [*texts["x"][:3], *texts["y"][:3], "zebra crossing".encode(), b"a", "éß".encode()]:
+        want = []
+        for k in ("x", "y"):
+            share, t = model_of(texts[k], 3), b"   " + text
+            want.append(sum(-math.log2(share(t[i - 3 : i], t[i])) for i in range(3, len(t))))
+        assert np.allclose(language.code_lengths(m, text), want)
+
+
+def test_language_needs_labels(spark, sf_dir):
+    d = frame(spark, [(i, "plain words here") for i in range(9)])
+    assert {r.lang_pred for r in language.identify(d).collect()} == {"und"}
+    with pytest.raises(ValueError, match="no labelled"):
+        language.identify(d, required=True)
+    with pytest.raises(ValueError, match="more than 1"):
+        language.identify(frame(spark, [(i, "text", f"l{i % 2}") for i in range(9)]), max_labels=1)
+    assert language.identify(frame(spark, [(1, None), (2, "")]), required=True).count() == 2
+
+
+def test_bytes_that_are_not_text(spark):
+    """Invalid UTF-8 in every operator over text: no crash, each row comes back."""
+    d = frame(spark, [(1, "AB", "en"), (2, "plain words here", "en")]).selectExpr("doc_id", "if(doc_id = 1, cast(unhex('41FF42') as string), text) AS text", "lang", "source", "n_chars")
+    items = frame(spark, [(1, "plain words here")], "item_id long, text string")
+    for out in (decontaminate.decontaminate(d, items), line_dedup.dedup_lines(d), simhash.near_duplicates(d), language.identify(d)):
+        assert {r.doc_id for r in out.collect()} == {1, 2}
+    packed = {r.doc_id: r.ids for r in packing.pack(d, tokenizer_path=public_tokenizers.path(corpus_pipeline.TOKENIZER)).collect()}
+    e = packing.WordEncoder(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    assert np.frombuffer(packed[1], "<u4").tolist() == [*np.frombuffer(e.encode_all(["A\ufffdB"])[0], "<u4").tolist(), 2]
+    talk = d.selectExpr("doc_id AS conv_id", "0L AS turn", "'user' AS role", "text")
+    assert {r.conv_id: r.turns[0].text for r in chat.read_back(chat.format_conversations(talk)).collect()}[1] == "A\ufffdB"
+    pages = d.selectExpr("doc_id AS page_id", "'u' AS url", "concat('<article><p>', text, '</article>') AS html")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {1: "A\ufffdB", 2: "plain words here"}
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     docs = corpus_pipeline.table(spark, sf_dir, "documents")
     stages = dict(corpus_pipeline.STAGES)
@@ -378,6 +489,16 @@ def test_pipeline_drops_edited_copies(spark, sf_dir):
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, sf_dir).collect()) == [0, 1]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = packing.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["Hello  World\n it's 2024", "", None, "é x"]
+    assert not e.by_piece and [np.frombuffer(b, e.dtype).tolist() for b in e.encode_all(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert packing.WordEncoder(public_tokenizers.path(corpus_pipeline.TOKENIZER)).by_piece
+
+
 def test_every_latin_character_is_encoded_as_by_the_tokenizer():
     chars = [chr(c) for c in range(0x250)]
     texts = [t for c in chars for t in (c, f"a{c}b", f"Mr {c}liyev spoke", f"B{c}N")]
