@@ -11,6 +11,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,8 @@ TABLES = (
 ).split()
 
 
-#: Paths of intermediates written by this process.
-_WRITTEN: list[str] = []
+#: Paths of intermediates, for each thread its own.
+_HERE = threading.local()
 
 
 def session(app: str = "tarn", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -60,14 +61,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for durable intermediates.
 
-    It is ``spark.checkpoint.dir`` where the session has one. Only where it is
-    unset, as in local tests, a temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` where the session has one. Only a local session
+    without one, as in tests, gets a temporary folder; on a cluster, where each
+    executor would write to a disk of its own, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             made = tempfile.mkdtemp(prefix="tarn-shared-")
             atexit.register(shutil.rmtree, made, ignore_errors=True)
             context.setCheckpointDir("file://" + os.path.abspath(made))
@@ -84,22 +88,44 @@ def materialise(df: DataFrame, label: str = "table", codec: str = "zstd") -> Dat
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _written().append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the intermediates that this process has written, once results that
-    read them are stored. Returns their number."""
+def _written() -> list[str]:
+    if not hasattr(_HERE, "written"):
+        _HERE.written = []
+    return _HERE.written
+
+
+def written() -> int:
+    """How many intermediates this thread has written and not released."""
+    return len(_written())
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the intermediates that this thread has written after the first
+    ``since``, but for the last ``keep``, once results that read them are stored.
+    Returns their number."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _written()
+    gone = paths[since : len(paths) - keep]
+    del paths[since : len(paths) - keep]
     done = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         done += bool(path.getFileSystem(conf).delete(path, True))
     return done
 
 
+def settle(df: DataFrame, label: str, since: int) -> DataFrame:
+    """Writes ``df``, then deletes what was written ``since``: the new table stands for it."""
+    made = materialise(df, label)
+    release(df.sparkSession, since, keep=1)
+    return made
+
+
 def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after bounding the rows of an Arrow batch for its session.
 
