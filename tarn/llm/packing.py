@@ -10,6 +10,7 @@ window. No row is shuffled and no task needs another's rows.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -28,26 +29,49 @@ from tarn.runtime import materialise, text_batches
 class WordEncoder:
     """Ids of texts by a ``tokenizers`` file, as bytes.
 
-    The tokenizer drops white space, cuts the rest into pieces by a pattern and
-    encodes each piece by itself. Pieces recur, and are encoded once while they
-    are held. A text of Latin script, where lower case and normal form are a
-    matter of single characters, is cut into pieces here; new pieces are encoded
-    in one call and told apart by the tokens that end a piece. Any other text is
-    cut at spaces and line ends, which the tokenizer never joins across, and its
-    new parts are encoded one by one. About ``hold`` pieces are held at most, of
-    up to ``piece_chars`` characters each, in two generations: when the younger is
-    half of that, it becomes the older, from which pieces come back when asked.
+    A tokenizer that folds case, drops white space, cuts the rest into pieces by a
+    pattern and encodes each piece by itself (``NORMALIZER``, ``SPLITTER`` and a BPE
+    model that marks the ends of pieces) is taken at its pieces: they recur, and are
+    encoded once while they are held. A text of Latin script, where lower case and
+    normal form are a matter of single characters, is cut into pieces here; new
+    pieces are encoded in one call and told apart by the tokens that end a piece.
+    Any other text is cut at spaces and line ends, which the tokenizer never joins
+    across, and its new parts are encoded one by one. About ``hold`` pieces are held
+    at most, of up to ``piece_chars`` characters each, in two generations: when the
+    younger is half of that, it becomes the older, from which pieces come back when
+    asked.
+
+    Any other tokenizer encodes whole texts.
     """
 
+    # The parts of a tokenizer file that the shortcut stands for.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITTER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
     #: Characters beyond plain Latin script, and those that are so in lower case.
     OTHER = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff%s]" % "".join(c for c in map(chr, range(0x80, 0x250)) if max(c.lower()) >= "\u0250"))
-    #: The tokenizer's pattern, written out for lower-cased Latin script.
+    #: The tokenizer's pattern, written out for lower-cased ASCII and Latin script.
+    ASCII = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-z0-9]+")
     PIECE = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼½¾]+")
 
     def __init__(self, path: str, hold: int = 400_000, piece_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        model = parts["model"]
+        added = [t["content"] for t in parts["added_tokens"]]
+        self.by_piece = (
+            (parts["normalizer"], parts["pre_tokenizer"]) == (self.NORMALIZER, self.SPLITTER)
+            and (model["type"], model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+            # Strings that are one token stand for themselves in any text that holds this mark.
+            and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
+        )
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -77,37 +101,48 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *stops], stops)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            return self._direct([t or "" for t in texts])
         if len(self.held) > self.hold // 2:
             self.older, self.held = self.held, {"": b""}
-        cut, plain, other = [], set(), set()
+        held = self.held
+        out, later, plain, other = [], [], set(), set()
         for text in texts:
             if not text:
-                cut.append(())
-            elif "<|" in text or self.OTHER.search(text):
-                cut.append(text.replace("\n", " ").split(" "))
-                other.update(cut[-1])
+                out.append(b"")
+                continue
+            latin = "<|" not in text and not self.OTHER.search(text)
+            if latin:
+                pieces = (self.ASCII if text.isascii() else self.PIECE).findall(text.lower())
             else:
-                cut.append(self.PIECE.findall(text.lower()))
-                plain.update(cut[-1])
+                pieces = text.replace("\n", " ").split(" ")
+            found = list(map(held.get, pieces))
+            if None in found:
+                missing = [p for p, x in zip(pieces, found) if x is None]
+                (plain if latin else other).update(missing)
+                later.append((len(out), found, missing))
+                out.append(None)
+            else:
+                out.append(b"".join(found))
         long: dict[str, bytes] = {}
         for asked, encode in ((plain, self._together), (other, self._direct)):
-            new = asked - self.held.keys()
-            again = new & self.older.keys()
-            self.held.update((p, self.older[p]) for p in again)
-            new = list(new - again)
+            again = asked.intersection(self.older)
+            held.update((p, self.older[p]) for p in again)
+            new = [p for p in asked - again if p not in held]
             for a in range(0, len(new), 20_000):
                 some = new[a : a + 20_000]
                 for piece, ids in zip(some, encode(some)):
-                    (self.held if len(piece) <= self.piece_chars else long)[piece] = ids
-        if not long:
-            return [b"".join(map(self.held.__getitem__, pieces)) for pieces in cut]
-        return [b"".join([self.held[p] if p in self.held else long[p] for p in pieces]) for pieces in cut]
+                    (held if len(piece) <= self.piece_chars else long)[piece] = ids
+        for at, found, missing in later:
+            rest = iter([held[p] if p in held else long[p] for p in missing])
+            out[at] = b"".join([next(rest) if x is None else x for x in found])
+        return out
 
 
 def encoded(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, ids, n, part, before``: ids with the end id, their number, the
     partition, and the tokens before the document in it."""
-    docs = text_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = text_batches(documents).select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
 
     def encode(batches):
         encoder = WordEncoder.of_worker(tokenizer_path)
@@ -149,7 +184,7 @@ def pack(documents: DataFrame, *, tokenizer_path: str, length: int = 4096, end_i
     before the piece, ``padded`` the padded length of its sequence. All sequences
     but the last are full.
 
-    A null or empty text is the end id alone. Repeated rows and null ids are
+    A null or empty text is the end id alone; bytes that are not UTF-8 become U+FFFD. Repeated rows and null ids are
     documents like any other, in the order in which the partitions hold them.
     Other columns are neither read nor returned; an empty table has no pieces.
     """
