@@ -11,15 +11,17 @@ of rows is looked at, other pivots discard pairs by their largest coordinate
 difference, and survivors are verified by their own distance.
 
 A bucket gives a spanning forest of what is connected in it, not its pairs:
-at most one link per fingerprint. A bucket of more than ``slab_rows``
-fingerprints is dealt out by slabs of the first pivot's distance, neighbouring
-slabs sharing their border, so no task holds a bucket without bound. Links never
+at most one link per fingerprint. The fingerprints of a bucket of more than
+``cell_rows`` go on to smaller buckets: the bits that they don't share by being
+in it are cut into six blocks again, and so on. Four times over, at most 14 bits
+are left, so no bucket can hold more than ``max(cell_rows, 2**14)``. Links never
 come to the driver; components are found by contracting stars, each round
 written to the shared folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -101,18 +103,24 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
 
 
-def block_masks(blocks: int) -> list[int]:
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+def bucket_masks(mask: int, distance: int) -> list[int]:
+    """Bits that buckets below a bucket share: its own (``mask``) and two blocks out of
+    ``distance + 2`` of the others, as ``distance`` differing bits leave two alike.
+    None where fewer bits are left than blocks."""
+    left = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [round(i * len(left) / (distance + 2)) for i in range(distance + 3)]
+    if len(left) < distance + 2:
+        return []
+    blocks = [sum(1 << b for b in left[x:y]) for x, y in zip(edges, edges[1:])]
+    return [mask | x | y for x, y in combinations(blocks, 2)]
 
 
-def bucket_keys(distance: int) -> list[int]:
-    """Masks of two blocks out of ``distance + 2``: ``distance`` differing bits leave two blocks alike."""
-    return [a | b for a, b in combinations(block_masks(distance + 2), 2)]
+def signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, home: np.ndarray, refs: np.ndarray, distance: int, counts: dict | None = None):
-    """Pairs (i, j) of rows of one group within ``distance``, at least one of them at home.
+def close_pairs(fps: np.ndarray, group: np.ndarray, refs: np.ndarray, distance: int, counts: dict | None = None):
+    """Pairs (i, j) of rows of one group within ``distance``.
 
     Yields arrays in chunks, for all groups at once. Rows are sorted by group and
     the first pivot's distance; a row is held against the following rows of its
@@ -142,9 +150,7 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, home: np.ndarray, refs: np.n
         if counts is not None:
             counts["survivors"] = counts.get("survivors", 0) + len(i)
         keep = np.bitwise_count(fps_o[i] ^ fps_o[j]) <= distance
-        a, b = order[i[keep]], order[j[keep]]
-        both = home[a] | home[b]
-        yield a[both], b[both]
+        yield order[i[keep]], order[j[keep]]
         at = end
 
 
@@ -168,48 +174,47 @@ def forest(n: int, pairs) -> np.ndarray:
     return root
 
 
-def links(distinct: DataFrame, *, distance: int = 4, n_pivots: int = 16, slab_rows: int = 20_000) -> DataFrame:
+def buckets(distinct: DataFrame, distance: int, cell_rows: int) -> DataFrame:
+    """``fp, mask, bits``: each fingerprint in its buckets, none of which is crowded
+    unless no bits are left to tell its fingerprints apart."""
+
+    def below(rows: DataFrame, masks: list[int]) -> DataFrame:
+        return rows.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+
+    spark = distinct.sparkSession
+    known = {signed(m): m for m in bucket_masks(0, distance)}
+    level, done = below(distinct, list(known.values())), []
+    while True:
+        crowded = level.groupBy("mask", "bits").count().filter(F.col("count") > cell_rows).select("mask", "bits")
+        crowded = materialise(crowded, "crowded")
+        # A row for each set of bits that some crowded bucket shares: 15 to the power of the level at most.
+        masks = [known[r.mask] for r in crowded.select("mask").distinct().collect()]
+        finer = {m: found for m in masks if (found := bucket_masks(m, distance))}
+        if not finer:
+            return reduce(DataFrame.unionByName, done, level)
+        steps = spark.createDataFrame([(signed(m), [signed(x) for x in found]) for m, found in finer.items()], "mask long, finer array<long>")
+        hot = crowded.join(F.broadcast(steps), "mask")
+        done.append(level.join(hot.select("mask", "bits").hint("merge"), ["mask", "bits"], "left_anti"))
+        on = level.join(hot.hint("merge"), ["mask", "bits"]).select("fp", F.explode("finer").alias("mask")).distinct()
+        level = materialise(on.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))), "finer-buckets")
+        known = {signed(x): x for found in finer.values() for x in found}
+
+
+def links(distinct: DataFrame, *, distance: int = 4, n_pivots: int = 16, cell_rows: int = 20_000) -> DataFrame:
     """``a, b`` (a < b): links of fingerprints that connect all within ``distance``.
 
     ``distinct`` has a row per fingerprint in its column ``fp``.
     """
-    masks = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in bucket_keys(distance)]
     refs = pivots(n_pivots)
-    first = int(refs.view(np.int64)[0])
-    keyed = distinct.select(
-        "fp",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))).alias("key"),
-    ).select("fp", "key.k", "key.bits")
-    # Large buckets are cut into slabs of the first pivot's distance.
-    crowded = keyed.groupBy("k", "bits").count().filter(F.col("count") > slab_rows).select("k", "bits", F.lit(True).alias("crowded"))
-    slab = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(first))) / (distance + 1)).cast("int")
-    dealt = keyed.join(materialise(crowded, "crowded"), ["k", "bits"], "left").withColumn(
-        "slab", F.when(F.col("crowded"), slab).otherwise(F.lit(-1))
-    )
-    cells = dealt.select(
-        "k",
-        "bits",
-        "fp",
-        F.explode(
-            F.when(F.col("slab") < 0, F.array(F.struct(F.lit(-1).alias("slab"), F.lit(True).alias("home")))).otherwise(
-                F.array(
-                    F.struct(F.col("slab").alias("slab"), F.lit(True).alias("home")),
-                    F.struct((F.col("slab") + 1).alias("slab"), F.lit(False).alias("home")),
-                )
-            )
-        ).alias("cell"),
-    ).select("k", "bits", "fp", "cell.slab", "cell.home")
-
-    gathered = cells.groupBy("k", "bits", "slab").agg(F.collect_list(F.struct("fp", "home")).alias("rows")).filter(F.size("rows") > 1)
+    cells = buckets(distinct, distance, cell_rows)
+    gathered = cells.groupBy("mask", "bits").agg(F.collect_list("fp").alias("rows")).filter(F.size("rows") > 1)
 
     def within(batches):
         for batch in batches:
             rows = batch.column(0)
-            flat = rows.flatten()
-            fps = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            home = flat.field(1).to_numpy(zero_copy_only=False).astype(bool)
+            fps = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             group = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
-            root = forest(len(fps), close_pairs(fps.view(np.uint64), group, home, refs, distance))
+            root = forest(len(fps), close_pairs(fps.view(np.uint64), group, refs, distance))
             linked = np.flatnonzero(root != np.arange(len(fps)))
             yield pa.RecordBatch.from_arrays([pa.array(fps[root[linked]]), pa.array(fps[linked])], ["a", "b"])
 
@@ -256,7 +261,7 @@ def near_duplicates(
     size: int = 4,
     distance: int = 4,
     n_pivots: int = 16,
-    slab_rows: int = 20_000,
+    cell_rows: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -273,8 +278,11 @@ def near_duplicates(
     """
     made = materialise(fingerprints(documents, size=size, id_col=id_col, text_col=text_col), "fingerprints")
     named = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(named.select("fp"), distance=distance, n_pivots=n_pivots, slab_rows=slab_rows))
+    found = components(links(named.select("fp"), distance=distance, n_pivots=n_pivots, cell_rows=cell_rows))
     rooted = named.join(found, named.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = materialise(rooted, "rooted")
+    # Written, so that both sides of the join are plain exchanges, which adaptive
+    # execution can split where a component is hot.
+    names = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names").hint("merge")
     by_print = materialise(rooted.join(names, "root").select(F.col("fp").alias("p"), "component_id"), "components")
     return made.join(by_print, made.fp == by_print.p).select("doc_id", "fp", "component_id")

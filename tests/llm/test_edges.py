@@ -286,18 +286,39 @@ def test_simhash_buckets(spark):
     want = {frozenset(x for x in fps if find(x) == f) for f in {find(f) for f in fps}}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    for slab in (20_000, 2):
+    for rows_ in (20_000, 10):
         groups = {f: {f} for f in map(signed, fps)}
-        for node, top in simhash.components(simhash.links(df, slab_rows=slab)).collect():
+        for node, top in simhash.components(simhash.links(df, cell_rows=rows_)).collect():
             groups.setdefault(("c", top), set()).add(node)
         got = {frozenset(v) for k, v in groups.items() if isinstance(k, tuple)}
         assert got == {frozenset(map(signed, g)) for g in want if len(g) > 1}
 
 
+def test_buckets_are_bounded(spark):
+    """Fingerprints that share two blocks, and a cluster around one of them."""
+    r = np.random.Generator(np.random.PCG64(6))
+    mask = simhash.bucket_masks(0, 4)[0]
+    shared = (r.integers(0, 2**64, 20_000, dtype=np.uint64) & np.uint64(~mask & 2**64 - 1)) | np.uint64(mask & 0x5555555555555555)
+    near = shared[:1] ^ np.array([1 << int(a) ^ 1 << int(b) for a, b in r.integers(0, 64, (3000, 2))], dtype=np.uint64)
+    fps = np.unique(np.concatenate([shared, near]))
+    df = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")
+    cells = simhash.buckets(df, 4, 100).groupBy("mask", "bits").count()
+    assert cells.agg({"count": "max"}).first()[0] <= 100
+    assert all(64 - m.bit_count() <= 14 for a in simhash.bucket_masks(0, 4) for b in simhash.bucket_masks(a, 4) for c in simhash.bucket_masks(b, 4)[:3] for m in simhash.bucket_masks(c, 4))
+    got: dict = {}
+    for node, root in simhash.components(simhash.links(df, cell_rows=100)).collect():
+        got.setdefault(root, set()).add(node)
+    root = simhash.forest(len(fps), simhash.close_pairs(fps, np.zeros(len(fps), dtype=int), simhash.pivots(16), 4))
+    want: dict = {}
+    for x, k in zip(fps.view(np.int64).tolist(), root.tolist()):
+        want.setdefault(k, set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_pivot_table_discards_pairs():
     fps = np.random.Generator(np.random.PCG64(4)).integers(0, 2**64, 2000, dtype=np.uint64)
     counts: dict = {}
-    found = list(simhash.close_pairs(fps, np.zeros(len(fps), dtype=int), np.ones(len(fps), dtype=bool), simhash.pivots(16), 4, counts))
+    found = list(simhash.close_pairs(fps, np.zeros(len(fps), dtype=int), simhash.pivots(16), 4, counts))
     assert counts["survivors"] < 0.001 * counts["window"] and sum(len(a) for a, _ in found) == 0
 
 
