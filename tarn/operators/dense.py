@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.runtime import materialise
+
 HITS = "query_id long, doc_id long, score double"
 
 
@@ -22,53 +24,93 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", (F.col("place") - 1).alias("rank"), "doc_id", "score")
 
 
+def checked(vectors: DataFrame, dim: int) -> DataFrame:
+    """Rows without a vector leave; a vector of another length fails the query."""
+    vector = F.col("vector")
+    fail = F.raise_error(F.concat(F.lit("a vector of "), F.size(vector).cast("string"), F.lit(f" in an index of {dim}")))
+    return vectors.filter(vector.isNotNull()).withColumn("vector", F.when(F.size(vector) == dim, vector).otherwise(fail.cast(vectors.schema["vector"].dataType)))
+
+
 def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of at most about ``block`` queries at a time."""
+    """Ids and vectors of at most about ``block`` queries at a time; queries without a vector ask nothing."""
+    queries = queries.filter("vector is not null")
     n = queries.count()
     blocks = max(1, -(-n // block))
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = part.collect()
+        if len({len(r.vector) for r in rows}) > 1:
+            raise ValueError("query vectors of several lengths")
         if rows:
             yield np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.vector for r in rows], dtype=np.float64)
 
 
+class Best:
+    """The ``k`` best documents of each query so far. Scores are compared to nine
+    digits; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.query, self.doc, self.score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        self.least = np.full(queries, -np.inf)
+
+    def offer(self, at: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of the queries at places ``at`` (rows) with ``docs`` (columns)."""
+        key = np.round(scores, 9)
+        key[~np.isfinite(key)] = -np.inf
+        floor = self.least[at]
+        if key.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(key, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((key >= floor[:, None]) & (key > -np.inf))
+        query, doc, score = (np.concatenate(x) for x in ((self.query, at[i]), (self.doc, docs[j]), (self.score, scores[i, j])))
+        order = np.lexsort((doc, -np.round(score, 9), query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order, last = order[place < self.k], order[place == self.k - 1]
+        self.least[query[place == self.k - 1]] = np.round(score[last], 9)
+        self.query, self.doc, self.score = query[place < self.k], doc[order], score[order]
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[self.query]), pa.array(self.doc), pa.array(self.score)], ["query_id", "doc_id", "score"])
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), dim)
+
+
 def flat_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block_queries: int = 4096, exclude_self: bool = False) -> DataFrame:
     """``query_id, rank, doc_id, score`` of ``queries`` (query_id, vector) over ``vectors`` (doc_id, vector).
 
-    Vectors stream through a matrix product with a broadcast block of queries;
-    each batch passes on its ``k`` best per query, so the shuffle carries at most
-    ``k`` rows per query and batch. Repeated ids stay repeated.
+    Vectors stream through a matrix product with a broadcast block of queries, in
+    tiles of bounded size; a partition passes on its ``k`` best per query, so the
+    shuffle carries at most ``k`` rows per query and partition. Repeated ids stay
+    repeated. Null vectors are no documents and no queries; a vector of another
+    length than the queries' is an error.
     """
     spark = vectors.sparkSession
     found = None
     for ids, matrix in query_blocks(queries.select("query_id", "vector"), block_queries):
-        part = vectors.select("doc_id", "vector").mapInArrow(_scorer(spark.sparkContext.broadcast((ids, matrix)), k, exclude_self), HITS)
+        held = spark.sparkContext.broadcast((ids, matrix))
+        part = checked(vectors.select("doc_id", "vector"), matrix.shape[1]).mapInArrow(_scorer(held, k, exclude_self), HITS)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], HITS)
     return _ranked(found, k)
 
 
-def _scorer(held, k: int, exclude_self: bool):
+def _scorer(held, k: int, exclude_self: bool, tile: int = 4_000_000):
     def run(batches):
         ids, matrix = held.value
+        best, every = Best(len(ids), k), np.arange(len(ids))
+        rows = max(1, tile // len(ids))
         for batch in batches:
-            docs = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            rows = batch.column(1)
-            m = np.array(rows.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(docs), matrix.shape[1])
-            scores = matrix @ m.T
-            if exclude_self:
-                scores[ids[:, None] == docs[None, :]] = -np.inf
-            # Rows by id, then a stable sort by score: ties go to the smaller id.
-            by_id = np.argsort(docs, kind="stable")
-            best = by_id[np.argsort(-np.round(scores[:, by_id], 9), axis=1, kind="stable")[:, :k]]
-            found = np.take_along_axis(scores, best, axis=1)
-            real = np.isfinite(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), pa.array(docs[best][real]), pa.array(found[real])],
-                ["query_id", "doc_id", "score"],
-            )
+            docs, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), matrix.shape[1])
+            for a in range(0, len(docs), rows):
+                scores = matrix @ m[a : a + rows].T
+                if exclude_self:
+                    scores[ids[:, None] == docs[None, a : a + rows]] = -np.inf
+                best.offer(every, docs[a : a + rows], scores)
+        yield best.rows(ids)
 
     return run
 
@@ -157,7 +199,7 @@ class Hnsw:
         for layer in range(min(level, top), -1, -1):
             found = self.beam(q, at, self.ef_construction, layer)
             limit = self.m if layer else 2 * self.m
-            for other in (chosen := self.spread(found, self.m)):
+            for other in (chosen := self.spread(found, limit)):
                 links = self.near[other][layer]
                 links.append(node)
                 if len(links) > limit:
@@ -202,10 +244,10 @@ class Hnsw:
 GRAPH = "shard int, node int, doc_id long, vector array<float>, neighbors map<int, array<int>>, entry boolean"
 
 
-def hnsw_build(vectors: DataFrame, *, shard_rows: int = 20_000, seed: int = 0, **parameters: int) -> DataFrame:
+def hnsw_build(vectors: DataFrame, *, shard_rows: int = 20_000, seed: int = 0, first_shard: int = 0, **parameters: int) -> DataFrame:
     """Graphs of all vectors, one per shard of bounded size, as one row per node."""
     shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = vectors.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "vector")
+    dealt = vectors.select((F.pmod(F.xxhash64("doc_id"), F.lit(shards)) + first_shard).cast("int").alias("shard"), "doc_id", "vector")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
@@ -218,22 +260,36 @@ def hnsw_build(vectors: DataFrame, *, shard_rows: int = 20_000, seed: int = 0, *
     return dealt.groupBy("shard").applyInPandas(build, GRAPH)
 
 
+def hnsw_levels(ids: DataFrame, *, m: int = 16, seed: int = 0) -> DataFrame:
+    """Adds the ``level`` that an inserted node draws: geometric, a layer up with a chance of one in ``m``."""
+    return ids.withColumn("level", F.floor(-F.log(F.greatest(F.rand(seed), F.lit(1e-12))) / math.log(m)).cast("int"))
+
+
 def hnsw_search(graph: DataFrame, queries: DataFrame, k: int = 10, *, block_queries: int = 4096, **parameters: int) -> DataFrame:
-    """``query_id, rank, doc_id, score``: every shard is searched, the best are merged."""
+    """``query_id, rank, doc_id, score``: every shard is searched, the best are merged.
+
+    The nodes of a shard are brought together once, however many blocks of queries there are.
+    """
     spark = graph.sparkSession
+    shards = graph.groupBy("shard").agg(F.collect_list(F.struct("node", "doc_id", "vector", "neighbors", "entry")).alias("nodes"))
+    if queries.count() > block_queries:
+        shards = materialise(shards, "graph-shards")
     found = None
     for ids, matrix in query_blocks(queries.select("query_id", "vector"), block_queries):
-        part = graph.groupBy("shard").applyInPandas(_walker(spark.sparkContext.broadcast((ids, matrix)), k, parameters), HITS)
+        part = shards.select("nodes").mapInArrow(_walker(spark.sparkContext.broadcast((ids, matrix)), k, parameters), HITS)
         found = part if found is None else found.unionByName(part)
     return _ranked(found if found is not None else spark.createDataFrame([], HITS), k)
 
 
 def _walker(held, k: int, parameters: dict):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         ids, matrix = held.value
-        index = Hnsw.from_rows(pdf.to_dict("records"), matrix.shape[1], **parameters)
-        rows = [(int(q), d, s) for q, v in zip(ids, matrix) for d, s in index.search(v, k)]
-        return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
+        for batch in batches:
+            for nodes in batch.column(0):
+                index = Hnsw.from_rows(nodes.as_py(), matrix.shape[1], **parameters)
+                hits = [(int(q), d, s) for q, v in zip(ids, matrix) for d, s in index.search(v, k)]
+                columns = list(zip(*hits)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -260,40 +316,57 @@ def nearest_cells(vector, centers: list[list[float]], n: int):
     return F.transform(F.slice(F.sort_array(scored), 1, n), lambda s: s["cell"])
 
 
-def ivf_search(queries: DataFrame, vectors: DataFrame, centers: list[list[float]], k: int = 10, *, n_probe: int = 8, block_queries: int = 4096) -> DataFrame:
+def ivf_cells(vectors: DataFrame, centers: list[list[float]]) -> DataFrame:
+    """``doc_id, vector, cell``: the vectors with their nearest cell."""
+    return checked(vectors.select("doc_id", "vector"), len(centers[0])).withColumn("cell", nearest_cells(F.col("vector"), centers, 1)[0])
+
+
+def ivf_save(cells: DataFrame, centers: list[list[float]], path: str) -> None:
+    """The vectors in one folder a cell, and the centres."""
+    cells.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    rows = cells.sparkSession.createDataFrame(list(enumerate(centers)), "cell int, center array<double>")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+
+
+def ivf_load(spark, path: str) -> tuple[DataFrame, list[list[float]]]:
+    return spark.read.parquet(f"{path}/cells"), [list(r.center) for r in spark.read.parquet(f"{path}/centers").orderBy("cell").collect()]
+
+
+def ivf_search(queries: DataFrame, cells: DataFrame, centers: list[list[float]], k: int = 10, *, n_probe: int = 8, block_queries: int = 4096) -> DataFrame:
     """``query_id, rank, doc_id, score`` over the cells nearest to each query.
 
-    Vectors meet a query only in cells that it probes: the vectors of a cell are
-    scored against a broadcast block of the queries that probe it. With all cells
-    probed the result is the exact one.
+    ``cells`` is made by ``ivf_cells``. A block of queries reads the cells that some
+    query of it probes, and no others: of a saved index, only their folders.
+    Vectors meet the queries that probe their cell; a partition passes on its ``k``
+    best per query. With all cells probed the result is the exact one.
     """
-    spark = vectors.sparkSession
-    celled = vectors.select("doc_id", "vector", nearest_cells(F.col("vector"), centers, 1)[0].alias("cell"))
-    probing = queries.select("query_id", "vector", nearest_cells(F.col("vector"), centers, n_probe).alias("cells"))
+    spark = cells.sparkSession
+    probing = checked(queries.select("query_id", "vector"), len(centers[0])).withColumn("cells", nearest_cells(F.col("vector"), centers, n_probe))
     blocks = max(1, -(-queries.count() // block_queries))
     found = None
     for b in range(blocks):
         rows = probing.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        held = spark.sparkContext.broadcast(
-            (np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.vector for r in rows], dtype=np.float64), [frozenset(r.cells) for r in rows])
-        )
-        part = celled.mapInPandas(_cell_scorer(held, k), HITS)
+        ids, matrix = np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.vector for r in rows], dtype=np.float64).reshape(len(rows), len(centers[0]))
+        probed = {c: np.array([i for i, r in enumerate(rows) if c in r.cells]) for c in sorted({c for r in rows for c in r.cells})}
+        held = spark.sparkContext.broadcast((ids, matrix, probed))
+        part = cells.filter(F.col("cell").isin(list(probed))).select("doc_id", "vector", "cell").mapInArrow(_cell_scorer(held, k), HITS)
         found = part if found is None else found.unionByName(part)
     return _ranked(found, k)
 
 
-def _cell_scorer(held, k: int):
-    def run(frames):
-        ids, matrix, cells = held.value
-        for pdf in frames:
-            for cell, group in pdf.groupby("cell"):
-                at = [i for i, c in enumerate(cells) if cell in c]
-                if not at:
-                    continue
-                docs = group["doc_id"].to_numpy()
-                scores = matrix[at] @ np.stack(group["vector"].to_numpy()).astype(np.float64).T
-                for q, s in zip(ids[at], scores):
-                    best = np.lexsort((docs, -np.round(s, 9)))[:k]
-                    yield pd.DataFrame({"query_id": q, "doc_id": docs[best], "score": s[best]})
+def _cell_scorer(held, k: int, tile: int = 4_000_000):
+    def run(batches):
+        ids, matrix, probed = held.value
+        best = Best(len(ids), k)
+        for batch in batches:
+            docs, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), matrix.shape[1])
+            cell = batch.column(2).to_numpy(zero_copy_only=False)
+            for c in np.unique(cell):
+                at, own = probed[int(c)], np.flatnonzero(cell == c)
+                rows = max(1, tile // len(at))
+                for a in range(0, len(own), rows):
+                    some = own[a : a + rows]
+                    best.offer(at, docs[some], matrix[at] @ m[some].T)
+        yield best.rows(ids)
 
     return run

@@ -76,6 +76,13 @@ def rerank(candidates: DataFrame, queries: DataFrame, documents: DataFrame, *, t
     return ranked.select("query_id", (F.col("place") - 1).alias("rank"), "doc_id", "score")
 
 
+def checked_options(k: int, strategy: str) -> None:
+    if not 1 <= k <= 100:
+        raise ValueError("k must be from 1 to 100")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+
+
 @dataclass(frozen=True)
 class Request:
     """A validated search request."""
@@ -88,7 +95,4 @@ class Request:
     def __post_init__(self):
         if not 1 <= len(self.query) <= 1024:
             raise ValueError("query must have 1 to 1024 characters")
-        if not 1 <= self.k <= 100:
-            raise ValueError("k must be from 1 to 100")
-        if self.strategy not in STRATEGIES:
-            raise ValueError(f"strategy must be one of {STRATEGIES}")
+        checked_options(self.k, self.strategy)

@@ -6,13 +6,16 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import classify_intent, hashing_vector, normalize_query
-from tarn.operators import bm25, dense, fuse, stores
+from tarn.operators import bm25, fuse, stores
 from tarn.operators.chunk import chunk_documents
+from tarn.operators.feedback import validated
+from tarn.operators.index import BACKENDS, DenseIndex, FlatIndex, build_index, load_index
 from tarn.runtime import materialise
 
 
@@ -21,21 +24,35 @@ class Settings:
     dim: int = 64
     max_tokens: int = 512
     overlap_tokens: int = 32
-    backend: str = "flat"  # flat or hnsw
+    backend: str = "flat"  # flat, hnsw or ivf
     cache_ttl: int = 3600
 
+    def __post_init__(self):
+        if self.backend not in BACKENDS:
+            raise ValueError(f"backend must be one of {sorted(BACKENDS)}")
+
 
 def encode(rows: DataFrame, id_col: str, text_col: str = "text", dim: int = 64) -> DataFrame:
     """``id_col, vector`` by the hashing encoder."""
     return rows.select(id_col, hashing_vector(F.coalesce(F.col(text_col), F.lit("")), dim).alias("vector"))
 
 
-def search_dense(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 64) -> DataFrame:
-    """Queries without any token have no direction and score zero everywhere."""
-    return dense.flat_search(encode(queries, "query_id", dim=dim), vectors, k)
+def search_dense(vectors: DataFrame | DenseIndex, queries: DataFrame, k: int, dim: int = 64) -> DataFrame:
+    """Hits of an index, or of a table of vectors. Queries without any token have no
+    direction and score zero everywhere."""
+    index = FlatIndex(vectors) if isinstance(vectors, DataFrame) else vectors
+    return index.search(encode(queries, "query_id", dim=dim), k)
+
 
+def valid(rows: DataFrame, column: str, least: int, most: int | None, what: str) -> DataFrame:
+    """Fails the query on a text that is null or of another length than allowed."""
+    n = F.length(F.col(column).cast("string"))
+    ok = (n >= least) if most is None else n.between(least, most)
+    told = f"{what} must have {least} {'or more' if most is None else f'to {most}'} characters"
+    return rows.filter(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(told)).cast("boolean")))
 
-def search(vectors: DataFrame | None, index: bm25.Bm25Index | None, queries: DataFrame, *, k: int = 10, strategy: str = "hybrid", rerank: bool = True, documents: DataFrame | None = None, reranker=None, dim: int = 64) -> DataFrame:
+
+def search(vectors: DataFrame | DenseIndex | None, index: bm25.Bm25Index | None, queries: DataFrame, *, k: int = 10, strategy: str = "hybrid", rerank: bool = True, documents: DataFrame | None = None, reranker=None, dim: int = 64) -> DataFrame:
     """``query_id, rank, doc_id, score`` for a batch of queries (query_id, text).
 
     With ``rerank`` each retriever gives ``max(5k, 50)`` candidates, also where
@@ -45,7 +62,7 @@ def search(vectors: DataFrame | None, index: bm25.Bm25Index | None, queries: Dat
     """
     if vectors is None and index is None:
         raise RuntimeError("no index is loaded")
-    fuse.Request("?", k, strategy, rerank)
+    fuse.checked_options(k, strategy)
     fetch = fuse.fetch_size(k, rerank)
     empty = queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     by_vector = search_dense(vectors, queries, fetch, dim) if vectors is not None and strategy != "sparse" else empty
@@ -60,77 +77,120 @@ def search(vectors: DataFrame | None, index: bm25.Bm25Index | None, queries: Dat
     return hits.filter(F.col("rank") < k)
 
 
+@dataclass(frozen=True)
+class Answered:
+    """Texts that were searched with some options, and their hits, for as long as they count."""
+
+    expires: float
+    options: tuple
+    texts: DataFrame  # text_key
+    hits: DataFrame  # text_key, rank, doc_id, score
+
+
 @dataclass
 class Engine:
     """Handles to the tables of an index; every method works on batches."""
 
     settings: Settings = field(default_factory=Settings)
     documents: DataFrame | None = None
-    vectors: DataFrame | None = None
+    vectors: DenseIndex | None = None
     terms: bm25.Bm25Index | None = None
     reranker: object = None
-    _cache: dict = field(default_factory=dict)
+    _cache: list[Answered] = field(default_factory=list)
 
     @classmethod
     def build(cls, documents: DataFrame, settings: Settings = Settings(), **parts) -> Engine:
         """Chunks, encodes and indexes ``documents`` (doc_id, text). Ids of the
         index are numbers of chunks; ``chunk_id`` stays in the document table."""
-        chunked = chunk_documents(documents, settings.max_tokens, settings.overlap_tokens)
-        stored = chunked.select(F.xxhash64("chunk_id").alias("doc_id"), "chunk_id", F.col("doc_id").alias("parent"), "text")
-        return cls(settings, stored, encode(stored, "doc_id", dim=settings.dim), bm25.build(stored), **parts)
+        stored = stored_chunks(documents, settings)
+        return cls(settings, stored, build_index(settings.backend, encode(stored, "doc_id", dim=settings.dim)), bm25.build(stored), **parts)
 
     def search(self, queries: DataFrame, *, k: int = 10, strategy: str = "hybrid", rerank: bool = True) -> dict:
-        """``hits`` with the raw query, ``intent`` by the normalised one, timings and the cache flag."""
-        asked = queries.select("query_id", "text")
-        texts = tuple(r[0] for r in asked.select(normalize_query("text")).distinct().orderBy(normalize_query("text")).collect()) if self.settings.cache_ttl else ()
-        key = ("search", texts, k, strategy, rerank)
-        held = self._cache.get(key)
-        if held and time.time() < held["expires"]:
-            return held["payload"] | {"cache_hit": True}
+        """``hits`` with the raw query, ``intents`` by the normalised one, timings and cache flags.
+
+        Queries have 1 to 1,024 characters. Hits are kept by normalised text and
+        options for ``cache_ttl`` seconds: a text that was asked before, under
+        whatever id, is answered from there (``cached`` tells which), and the others
+        are searched once each. ``cache_hit`` is true if nothing was searched.
+        """
+        fuse.checked_options(k, strategy)
         began = time.perf_counter()
-        hits = search(self.vectors, self.terms, asked, k=k, strategy=strategy, rerank=rerank, documents=self.documents, reranker=self.reranker, dim=self.settings.dim)
-        intents = asked.select("query_id", classify_intent(normalize_query("text")).alias("intent"))
-        payload = {"search_id": str(uuid.uuid4()), "hits": hits, "intents": intents, "timings_ms": {"plan": 1000 * (time.perf_counter() - began)}, "cache_hit": False}
-        self._cache[key] = {"payload": payload, "expires": time.time() + self.settings.cache_ttl}
-        return payload
+        now, options = time.time(), (k, strategy, rerank)
+        self._cache = [a for a in self._cache if now < a.expires]
+        kept = [a for a in self._cache if a.options == options]
+        asked = valid(queries.select("query_id", "text"), "text", 1, 1024, "a query")
+        asked = materialise(asked.withColumn("text_key", normalize_query("text")), "asked")
+        known = reduce(DataFrame.unionByName, (a.texts for a in kept)) if kept else asked.select("text_key").limit(0)
+        new = asked.join(known, "text_key", "left_anti").groupBy("text_key").agg(F.min_by("text", "query_id").alias("text"), F.min("query_id").alias("query_id"))
+        new = materialise(new, "new-texts")
+        searched = new.count()
+        if searched:
+            found = search(self.vectors, self.terms, new.select("query_id", "text"), k=k, strategy=strategy, rerank=rerank, documents=self.documents, reranker=self.reranker, dim=self.settings.dim)
+            found = materialise(found.join(new.select("query_id", "text_key"), "query_id").select("text_key", "rank", "doc_id", "score"), "hits")
+            kept = [*kept, Answered(now + self.settings.cache_ttl, options, new.select("text_key"), found)]
+            if self.settings.cache_ttl:
+                self._cache.append(kept[-1])
+        elif not kept:
+            kept = [Answered(now, options, known, asked.select("text_key", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0))]
+        hits = asked.join(reduce(DataFrame.unionByName, (a.hits for a in kept)), "text_key")
+        return {
+            "search_id": str(uuid.uuid4()),
+            "hits": hits.select("query_id", "rank", "doc_id", "score"),
+            "intents": asked.select("query_id", classify_intent(F.col("text_key")).alias("intent")),
+            "cached": asked.join(known.withColumn("cache_hit", F.lit(True)), "text_key", "left").select("query_id", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit")),
+            "timings_ms": {"search": 1000 * (time.perf_counter() - began)},
+            "cache_hit": not searched,
+        }
 
     def ingest(self, documents: DataFrame, mode: str = "append") -> Engine:
         """An engine with more documents. ``append`` keeps the first vector of a
-        chunk and replaces its text; ``replace`` first drops what the documents had."""
+        chunk and replaces its text; ``replace`` first drops what the documents had.
+        Ids have 1 to 256 characters, texts at least one."""
         if self.vectors is None:
             raise RuntimeError("no dense index is loaded")
-        new = Engine.build(documents, self.settings)
+        if mode not in ("append", "replace"):
+            raise ValueError("mode must be append or replace")
+        documents = materialise(valid(valid(documents.select("doc_id", "text"), "doc_id", 1, 256, "an id"), "text", 1, None, "a text"), "arrived")
+        new = stored_chunks(documents, self.settings)
         old = self.documents
         if mode == "replace":
             old = old.join(documents.select(F.col("doc_id").alias("parent")), "parent", "left_anti").select(*self.documents.columns)
-        stored = stores.upsert(old, new.documents, ["doc_id"])
-        vectors = self.vectors.join(old.select("doc_id"), "doc_id", "left_semi")
-        vectors = stores.keep_first(vectors, new.vectors, ["doc_id"], F.col("doc_id"))
-        return replace(self, documents=stored, vectors=vectors, terms=bm25.build(stored), _cache={})
+        stored = materialise(stores.upsert(old, new, ["doc_id"]), "documents")
+        if mode == "replace":
+            # What the documents had is gone from the index, so it is built anew.
+            vectors = build_index(self.settings.backend, encode(stored, "doc_id", dim=self.settings.dim))
+        else:
+            vectors = self.vectors.add(encode(new.join(self.documents, "doc_id", "left_anti"), "doc_id", dim=self.settings.dim))
+        return replace(self, documents=stored, vectors=vectors, terms=bm25.build(stored), _cache=[])
+
+    def feedback(self, events: DataFrame, path: str) -> int:
+        """Appends valid events to the table at ``path``; their number."""
+        made = materialise(validated(events), "feedback")
+        made.write.mode("append").parquet(path)
+        return made.count()
 
     def health(self) -> dict:
-        return {
-            "status": "ok",
-            "dense": self.vectors is not None,
-            "sparse": self.terms is not None,
-            "size": self.vectors.count() if self.vectors is not None else 0,
-        }
+        return {"status": "ok", "dense": self.vectors is not None, "sparse": self.terms is not None, "size": self.vectors.size() if self.vectors is not None else 0}
 
     def save(self, path: str) -> None:
-        """Parquet tables and a manifest under ``path``."""
+        """Parquet tables and manifests under ``path``."""
         spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        self.vectors.save(f"{path}/dense")
         self.terms.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.terms.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        manifest = json.dumps({"kind": self.settings.backend, **self.settings.__dict__})
-        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        spark.createDataFrame([(json.dumps(self.settings.__dict__),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **parts) -> Engine:
+        """What ``save`` wrote; the dense index is of the kind that its manifest names."""
         kept = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-        if kept.pop("kind") not in ("flat", "hnsw"):
-            raise ValueError("unknown index kind")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(Settings(**kept), read("documents"), read("vectors"), bm25.Bm25Index(read("postings"), read("lengths"), read("terms")), **parts)
+        return cls(Settings(**kept), read("documents"), load_index(spark, f"{path}/dense"), bm25.Bm25Index(read("postings"), read("lengths"), read("terms")), **parts)
+
+
+def stored_chunks(documents: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id, chunk_id, parent, text``: chunks by number, one row for each chunk."""
+    chunked = chunk_documents(documents, settings.max_tokens, settings.overlap_tokens)
+    return chunked.select(F.xxhash64("chunk_id").alias("doc_id"), "chunk_id", F.col("doc_id").alias("parent"), "text")

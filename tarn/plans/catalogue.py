@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as fn
-from tarn.operators import bm25, dense, evaluate, feedback, fuse, search, stores
+from tarn.operators import bm25, dense, evaluate, feedback, fuse, index, search, stores
 from tarn.operators.chunk import chunk_documents, hard_split
 from tarn.plans.oracles import ORACLES  # noqa: F401
-from tarn.runtime import shared_dir, spread, table
+from tarn.runtime import materialise, shared_dir, spread, table, written
 from tarn.sources import files
 from tarn.streaming import ingest
 
@@ -195,15 +195,24 @@ def flat_topk(spark, d):
 
 @query
 def flat_search(spark, d):
-    one = vector_queries(spark, d).filter("query_id = 0")
-    return rounded(dense.flat_search(one, vectors(spark, d), K), "score")
+    return rounded(dense.flat_search(vector_queries(spark, d), vectors(spark, d), K, exclude_self=True), "score")
 
 
 @query
 def ivf_full_probe(spark, d):
     v = vectors(spark, d)
     centers = dense.ivf_train(v, 16)
-    return rounded(dense.ivf_search(vector_queries(spark, d), v, centers, K, n_probe=len(centers)), "score")
+    return rounded(dense.ivf_search(vector_queries(spark, d), dense.ivf_cells(v, centers), centers, K, n_probe=len(centers)), "score")
+
+
+@query
+def ivf_saved(spark, d):
+    """A saved index of 16 cells, all of them probed."""
+    v, path = vectors(spark, d), scratch(spark, "ivf")
+    centers = dense.ivf_train(v, 16)
+    dense.ivf_save(dense.ivf_cells(v, centers), centers, path)
+    cells, centers = dense.ivf_load(spark, path)
+    return rounded(dense.ivf_search(vector_queries(spark, d), cells, centers, K, n_probe=len(centers)), "score")
 
 
 @query
@@ -216,9 +225,7 @@ def hnsw_recall(spark, d):
 
 @query
 def hnsw_levels(spark, d):
-    m = 16
-    level = F.floor(-F.log(F.greatest(F.rand(0), F.lit(1e-12))) / F.log(F.lit(float(m)))).cast("int")
-    return vectors(spark, d).select("doc_id", level.alias("level"))
+    return dense.hnsw_levels(vectors(spark, d).select("doc_id"))
 
 
 @query
@@ -306,6 +313,14 @@ def search_hybrid(spark, d):
     return rounded(searched(spark, d, strategy="hybrid", rerank=False), "score", digits=9)
 
 
+@query
+def search_hnsw(spark, d):
+    """Recall of the dense strategy over an HNSW index of all documents, by query, against the flat one."""
+    docs = documents(spark, d)
+    made = index.build_index("hnsw", search.encode(docs, "doc_id"))
+    return evaluate.recall_at_k(search.search_dense(made, asked(spark, d), K), search.search_dense(search.encode(docs, "doc_id"), asked(spark, d), K), K)
+
+
 @query
 def search_hybrid_overfetch(spark, d):
     return rounded(searched(spark, d, strategy="hybrid", rerank=True), "score", digits=9)
@@ -348,16 +363,16 @@ def keyed(spark, d):
 @query
 def embed_cache_lookup(spark, d):
     k = keyed(spark, d)
-    cache = k.filter("doc_id % 2 = 0").select("key", "dim").distinct()
+    cache = k.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("key", "dim").distinct()
     return stores.embedding_lookup(k, cache, 64)
 
 
 @query
 def embed_cache_upsert(spark, d):
     k = keyed(spark, d).select("key", F.col("doc_id").alias("version"))
-    stored = stores.keep_last(k.filter("version % 2 = 0"), ["key"], F.col("version"))
-    new = stores.keep_last(k.filter("version % 3 = 0"), ["key"], F.col("version"))
-    return stores.upsert(stored, new, ["key"])
+    again = k.join(table(spark, d, "labels").select(F.col("doc_id").alias("version")), "version", "left_semi").select("key", (F.col("version") + 1_000_000).alias("version"))
+    stored = stores.keep_last(k, ["key"], F.col("version"))
+    return stores.upsert(stored, stores.keep_last(again, ["key"], F.col("version")), ["key"])
 
 
 @query

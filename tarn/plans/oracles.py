@@ -160,8 +160,9 @@ _FLAT = """flat AS (
     SELECT q, c, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)
 )"""
 ORACLES["flat_topk"] = f"WITH {_FLAT} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM flat WHERE rank < 10"
-ORACLES["flat_search"] = f"WITH {_FLAT} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM flat WHERE rank < 10 AND query_id = 0"
-ORACLES["ivf_full_probe"] = ORACLES["flat_topk"]
+ORACLES["flat_search"] = f"""WITH {_FLAT} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM flat WHERE doc_id <> query_id) WHERE rank < 10"""
+ORACLES["ivf_full_probe"] = ORACLES["ivf_saved"] = ORACLES["flat_topk"]
 ORACLES["hnsw_dedupe"] = """
 SELECT vec_id AS doc_id, label FROM embeddings UNION ALL
 SELECT vec_id * 2, label + 100 FROM embeddings WHERE vec_id * 2 NOT IN (SELECT vec_id FROM embeddings)"""
@@ -199,10 +200,10 @@ FROM (SELECT doc_id AS chunk_id FROM labels UNION ALL SELECT -doc_id - 1 FROM la
 ORACLES["doc_store_upsert"] = """
 SELECT d.doc_id AS chunk_id, md5(CASE WHEN l.doc_id IS NULL THEN d.text ELSE 'quality ' || l.quality END) AS digest
 FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"""
-ORACLES["embed_cache_lookup"] = "SELECT sha256(text) AS key, bool_or(doc_id % 2 = 0) AS hit FROM documents GROUP BY 1"
+ORACLES["embed_cache_lookup"] = "SELECT sha256(text) AS key, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS hit FROM documents GROUP BY 1"
 ORACLES["embed_cache_upsert"] = """
-SELECT sha256(text) AS key, coalesce(max(doc_id) FILTER (WHERE doc_id % 3 = 0), max(doc_id) FILTER (WHERE doc_id % 2 = 0)) AS version
-FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY 1"""
+SELECT sha256(text) AS key, coalesce(max(d.doc_id) FILTER (WHERE l.doc_id IS NOT NULL) + 1000000, max(d.doc_id)) AS version
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1"""
 ORACLES["query_cache_ttl"] = "SELECT event_id FROM events WHERE ts + INTERVAL 3600 SECOND > TIMESTAMP '2024-01-15 12:00:00'"
 ORACLES["limit_docs"] = "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100"
 

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import bm25, dense, evaluate, feedback, fuse, search, stores
+from test_plans import plan
+
+from tarn.operators import bm25, dense, evaluate, feedback, fuse, index, search, stores
 
 
 def docs(spark, rows):
@@ -64,6 +66,33 @@ def test_flat(spark):
     assert dense.flat_search(v.withColumnRenamed("doc_id", "query_id"), v.limit(0), 3).count() == 0
 
 
+def test_flat_ties_blocks_and_bad_vectors(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [2.0, 0.0]), (51, None), (None, [3.0, 0.0])]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<double>").filter("doc_id is not null").repartition(3)
+    q = v.filter("doc_id < 20 OR doc_id = 51").withColumnRenamed("doc_id", "query_id")
+    for block in (4096, 3):
+        got = dense.flat_search(q, v, 4, block_queries=block).collect()
+        assert {r.query_id for r in got} == set(range(20))
+        assert sorted({(r["rank"], r.doc_id) for r in got}) == [(0, 50), (1, 0), (2, 1), (3, 2)]
+    odd = v.unionByName(spark.createDataFrame([(60, [1.0]), (61, [1.0, 2.0, 3.0])], "doc_id long, vector array<double>"))
+    with pytest.raises(Exception, match="in an index of 2"):
+        dense.flat_search(q, odd, 4).collect()
+
+
+def test_best_equals_a_full_sort():
+    r = np.random.Generator(np.random.PCG64(2))
+    best, docs, scores = dense.Best(7, 5), [], []
+    for _ in range(30):
+        d, s = r.integers(0, 1000, 9), np.round(r.normal(size=(7, 9)), 1)
+        best.offer(np.arange(7), d, s)
+        docs.append(d)
+        scores.append(s)
+    docs, scores = np.concatenate(docs), np.concatenate(scores, axis=1)
+    for q in range(7):
+        order = np.lexsort((docs, -scores[q]))[:5]
+        assert best.doc[best.query == q].tolist() == docs[order].tolist() and best.score[best.query == q].tolist() == scores[q][order].tolist()
+
+
 def test_hnsw_recall_and_round_trip(spark):
     m, q = unit(3000, 32, 0), unit(50, 32, 42)
     v = vectors(spark, m)
@@ -88,14 +117,18 @@ def test_hnsw_index():
     assert dense.Hnsw(16).search(m[0], 3) == []
 
 
-def test_ivf(spark):
+def test_ivf(spark, tmp_path):
     m = unit(400, 16, 5)
     v, q = vectors(spark, m), vectors(spark, m[:10]).withColumnRenamed("doc_id", "query_id")
     centers = dense.ivf_train(v, 8)
     exact = sorted(map(tuple, dense.flat_search(q, v, 5).select("query_id", "rank", "doc_id").collect()))
-    full = sorted(map(tuple, dense.ivf_search(q, v, centers, 5, n_probe=8).select("query_id", "rank", "doc_id").collect()))
+    full = sorted(map(tuple, dense.ivf_search(q, dense.ivf_cells(v, centers), centers, 5, n_probe=8).select("query_id", "rank", "doc_id").collect()))
     assert full == exact
-    some = dense.ivf_search(q, v, centers, 5, n_probe=2)
+    path = str(tmp_path / "ivf")
+    dense.ivf_save(dense.ivf_cells(v, centers), centers, path)
+    cells, centers = dense.ivf_load(spark, path)
+    some = dense.ivf_search(q, cells, centers, 5, n_probe=2)
+    assert "PartitionFilters: [isnotnull(cell" in plan(some) or "PartitionFilters: [cell" in plan(some)
     assert {(r.query_id, r.doc_id) for r in some.filter("rank = 0").collect()} == {(i, i) for i in range(10)}
 
 
@@ -139,11 +172,46 @@ def test_engine(spark, tmp_path):
     first = engine.search(q, k=1)
     assert [r.intent for r in first["intents"].collect()] == ["informational"] and not first["cache_hit"]
     assert engine.search(q, k=1)["cache_hit"]
+    # The same text under another id, and a new one beside it.
+    both = engine.search(spark.createDataFrame([(77, "what  FOX?"), (78, "the cat")], "query_id long, text string"), k=1)
+    assert {r.query_id: r.cache_hit for r in both["cached"].collect()} == {77: True, 78: False} and not both["cache_hit"]
+    hits = {r.query_id: r.doc_id for r in both["hits"].collect()}
+    assert hits[77] == order(first["hits"])[0] and hits.keys() == {77, 78}
     engine.save(str(tmp_path / "i"))
     loaded = search.Engine.load(spark, str(tmp_path / "i"))
     assert order(loaded.search(q, k=1)["hits"]) == order(first["hits"])
     more = engine.ingest(spark.createDataFrame([("c", "Another text."), ("a", "New words.")], "doc_id string, text string"), mode="replace")
     assert more.health()["size"] == 3 and engine.health()["size"] == 2
+    for bad in ("", "x" * 1025, None):
+        with pytest.raises(Exception, match="a query must have"):
+            engine.search(spark.createDataFrame([(0, bad)], "query_id long, text string"))
+    for row in (("", "text"), ("x" * 257, "text"), ("c", ""), ("c", None)):
+        with pytest.raises(Exception, match="must have"):
+            engine.ingest(spark.createDataFrame([row], "doc_id string, text string"))
+    with pytest.raises(ValueError):
+        search.Settings(backend="other")
+    events = str(tmp_path / "events")
+    assert engine.feedback(fb(spark, ("a", 0, "click")), events) == 1 and spark.read.parquet(events).count() == 1
+    with pytest.raises(Exception, match="invalid feedback"):
+        engine.feedback(fb(spark, ("a", 0, "hover")), events)
+
+
+@pytest.mark.parametrize("backend", ["flat", "hnsw", "ivf"])
+def test_backends(spark, tmp_path, backend):
+    m = unit(300, 8, 7)
+    v, q = vectors(spark, m), vectors(spark, m[:5]).withColumnRenamed("doc_id", "query_id")
+    parameters = {"ivf": {"n_cells": 4, "n_probe": 2}, "hnsw": {"m": 8, "shard_rows": 100}}.get(backend, {})
+    made = index.build_index(backend, v, **parameters)
+    made.save(str(tmp_path / "x"))
+    again = index.load_index(spark, str(tmp_path / "x"))
+    assert type(again) is type(made) and again.size() == 300
+    assert {(r.query_id, r.doc_id) for r in again.search(q, 3).filter("rank = 0").collect()} == {(i, i) for i in range(5)}
+    grown = again.add(vectors(spark, unit(10, 8, 9), first=1000))
+    assert grown.size() == 310
+    far = vectors(spark, unit(10, 8, 9)).withColumnRenamed("doc_id", "query_id")
+    assert {(r.query_id, r.doc_id) for r in grown.search(far, 1).collect()} == {(i, 1000 + i) for i in range(10)}
+    with pytest.raises(ValueError, match="unknown index kind"):
+        index.build_index("other", v)
 
 
 def test_metrics(spark):
