@@ -77,12 +77,33 @@ def html_id(source: Column) -> Column:
     return F.concat(F.lit("html-"), F.substring(F.sha1(source), 1, 12))
 
 
-@F.pandas_udf(T.StringType())
-def cache_key(parts: pd.DataFrame) -> pd.Series:
-    """Prefixed SHA-256 (32 digits) of the parts as a JSON list."""
-    plain = lambda v: v.item() if hasattr(v, "item") else v
-    made = [json.dumps([plain(v) for v in row], sort_keys=True, default=str) for row in parts.itertuples(index=False)]
-    return pd.Series([CACHE_PREFIX + hashlib.sha256(m.encode()).hexdigest()[:32] for m in made])
+def json_string(text: Column) -> Column:
+    """A JSON string as an ASCII writer puts it: other characters are ``\\uXXXX``, in two halves beyond 16 bits."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def character(c):
+        n = F.ascii(c)  # the code point, beyond ASCII too
+        out = F.when(n > 0xFFFF, F.concat(code(F.shiftright(n - 0x10000, 10) + 0xD800), code((n - 0x10000).bitwiseAND(0x3FF) + 0xDC00)))
+        for plain, escaped in short.items():
+            out = out.when(c == plain, escaped)
+        return out.when((n < 32) | (n > 126), code(n)).otherwise(c)
+
+    safe = ~text.rlike(r'[^ !#-\[\]-~]')
+    every = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), character), "")
+    return F.concat(F.lit('"'), F.when(safe, text).otherwise(every), F.lit('"'))
+
+
+def json_plain(value: Column) -> Column:
+    """A whole number or a truth value as JSON."""
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
+def cache_key(*parts: Column | str | int | float | bool | None) -> Column:
+    """Prefixed SHA-256 (32 digits) of the parts as a JSON list. Columns hold JSON, as of
+    ``json_string`` and ``json_plain``; other parts are constants."""
+    made = [F.coalesce(p, F.lit("null")) if isinstance(p, Column) else F.lit(json.dumps(p)) for p in parts]
+    return F.concat(F.lit(CACHE_PREFIX), F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *made), F.lit("]")), 256), 1, 32))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Upper bounds of the histogram buckets in seconds.
 REQUEST_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+RETRIEVAL_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5)
+RERANK_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 
 
 def _judged(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -62,13 +64,48 @@ def histogram(samples: DataFrame, value_col: str, buckets=REQUEST_BUCKETS, label
     return row.select(*labels, F.explode(bounds).alias("b"), "total", "sum").select(*labels, "b.le", "b.cumulative", "total", "sum")
 
 
-def exposition(histograms: DataFrame, name: str) -> DataFrame:
-    """Histogram rows as lines of the text exposition format."""
-    return histograms.select(F.concat(F.lit(f'{name}_bucket{{le="'), F.col("le"), F.lit('"} '), F.col("cumulative").cast("string")).alias("line"))
+def counter(events: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """``labels, value``: events by label, as of cache hits and misses by layer."""
+    return events.groupBy(*labels).agg(F.count("*").cast("double").alias("value"))
 
 
-def benchmark_report(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """One row ``recall, mrr, ndcg, n_queries``: means over all queries, zeros included."""
+def _sample(name: str, labels: tuple[str, ...], value, **more):
+    """A line ``name{label="value",...} number``; quotes, backslashes and line ends in values are escaped."""
+
+    def quoted(c):
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    parts = [F.concat(F.lit(f"{n}="), quoted(c)) for n, c in [*((x, F.col(x)) for x in labels), *more.items()]]
+    inside = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")) if parts else F.lit("")
+    return F.concat(F.lit(name), inside, F.lit(" "), value.cast("string"))
+
+
+def exposition(histograms: DataFrame, name: str, labels: tuple[str, ...] = (), help: str = "") -> DataFrame:
+    """Histogram rows as lines of the text exposition format: type, buckets, sum and count of each label set."""
+    head = histograms.sparkSession.createDataFrame([(line,) for line in ([f"# HELP {name} {help}"] if help else []) + [f"# TYPE {name} histogram"]], "line string")
+    buckets = histograms.select(_sample(f"{name}_bucket", labels, F.col("cumulative"), le=F.col("le")).alias("line"))
+    once = histograms.filter("le = '+Inf'")
+    sums = once.select(_sample(f"{name}_sum", labels, F.coalesce("sum", F.lit(0.0))).alias("line"))
+    return head.unionByName(buckets).unionByName(sums).unionByName(once.select(_sample(f"{name}_count", labels, F.col("total")).alias("line")))
+
+
+def samples(values: DataFrame, name: str, kind: str, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Counters (``kind`` counter) or gauges (gauge) with ``labels, value`` as lines of the text exposition format."""
+    head = values.sparkSession.createDataFrame([(f"# TYPE {name} {kind}",)], "line string")
+    return head.unionByName(values.select(_sample(name, labels, F.col("value").cast("double")).alias("line")))
+
+
+def benchmark_report(ranked: DataFrame, relevant: DataFrame, k: int = 10, baseline: DataFrame | None = None) -> DataFrame:
+    """One row ``recall, mrr, ndcg, n_queries``: means over all queries, zeros included.
+
+    With a ``baseline`` (hits of the exact search) its hits stand in for the queries
+    without judgements.
+    """
+    if baseline is not None:
+        relevant = with_pseudo_judgements(relevant, baseline)
     joined = recall_at_k(ranked, relevant, k).join(mrr_at_k(ranked, relevant, k), "query_id").join(ndcg_at_k(ranked, relevant, k), "query_id")
     return joined.agg(F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg"), F.count("*").alias("n_queries"))
 

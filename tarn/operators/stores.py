@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.runtime import materialise
+
 
 def keep_last(rows: DataFrame, keys: list[str], version: Column) -> DataFrame:
     """The row of the highest version of each key."""
@@ -32,6 +34,27 @@ def embedding_lookup(keys: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
     return keys.select("key").distinct().join(cached, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("hit"))
 
 
+def embed_cached(texts: DataFrame, cache: DataFrame, encode, dim: int, *, use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Vectors of ``texts`` (key, text), and the cache with what was missing.
+
+    The first table has a row ``key, vector, hit`` for each distinct key: vectors of
+    ``dim`` numbers come from ``cache`` (key, vector, dim), the others from
+    ``encode`` (rows of ``key, text`` to rows of ``key, vector``), which sees the
+    missing texts only, and each once. The second is the cache after them: a new
+    vector replaces a stored one of the same key. Without ``use_cache`` everything is
+    encoded and the cache stays as it is.
+    """
+    asked = texts.select("key", "text").dropDuplicates(["key"])
+    cached = cache.filter(F.col("dim") == dim).select("key", "vector")
+    missing = asked.join(cached.select("key"), "key", "left_anti") if use_cache else asked
+    # Encoding is the dear part: written, as both results read it.
+    made = materialise(encode(missing).select("key", "vector"), "encoded")
+    if not use_cache:
+        return made.withColumn("hit", F.lit(False)), cache
+    found = asked.select("key").join(cached, "key").withColumn("hit", F.lit(True))
+    return found.unionByName(made.withColumn("hit", F.lit(False))), upsert(cache, made.withColumn("dim", F.lit(dim)).select(*cache.columns), ["key"])
+
+
 def text_lookup(candidates: DataFrame, store: DataFrame) -> DataFrame:
     """Candidates with their text, empty where the store has none."""
     return candidates.join(store.select("chunk_id", "text"), "chunk_id", "left").withColumn("text", F.coalesce("text", F.lit("")))

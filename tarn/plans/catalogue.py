@@ -168,7 +168,7 @@ def jsonl_parse(spark, d):
 
 @query
 def cache_key(spark, d):
-    key = fn.cache_key(F.struct(F.lit("search").alias("a"), fn.normalize_query("text").alias("b"), F.lit(K).alias("c"), F.lit("hybrid").alias("d"), F.lit(True).alias("e")))
+    key = fn.cache_key("search", fn.json_string(fn.normalize_query("text")), K, "hybrid", True)
     return asked(spark, d).select("query_id", key.alias("cache_key"))
 
 
@@ -367,6 +367,17 @@ def embed_cache_lookup(spark, d):
     return stores.embedding_lookup(k, cache, 64)
 
 
+@query
+def embed_cached(spark, d):
+    """Vectors of all texts, those that ``labels`` covers from a cache that holds the vector of another text for them."""
+    texts = keyed(spark, d).join(documents(spark, d), "doc_id").select("doc_id", "key", "text")
+    known = texts.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("key", F.lit("the text of the cache").alias("text")).distinct()
+    encode = lambda rows: search.encode(rows, "key")
+    cache = encode(known).withColumn("dim", F.lit(64))
+    found, _ = stores.embed_cached(texts, cache, encode, 64)
+    return rounded(found.select("key", "hit", F.posexplode("vector").alias("bucket", "weight")).filter("weight <> 0"), "weight")
+
+
 @query
 def embed_cache_upsert(spark, d):
     k = keyed(spark, d).select("key", F.col("doc_id").alias("version"))
@@ -413,6 +424,14 @@ def benchmark_report(spark, d):
     return rounded(evaluate.benchmark_report(ranked(spark, d), same_label(spark, d), K), "recall", "mrr", "ndcg")
 
 
+@query
+def benchmark_pseudo(spark, d):
+    """The report where only queries of even labels have judgements: the exact hits stand in for the others."""
+    even = table(spark, d, "embeddings").filter("label % 2 = 0").select(F.col("vec_id").alias("query_id"))
+    report = evaluate.benchmark_report(ranked(spark, d), same_label(spark, d).join(even, "query_id", "left_semi"), K, baseline=ranked(spark, d))
+    return rounded(report, "recall", "mrr", "ndcg")
+
+
 @query
 def latency_percentiles(spark, d):
     return rounded(evaluate.latency_percentiles(table(spark, d, "events"), "value"), "p50", "p90", "p95", "p99", "mean")
@@ -424,6 +443,36 @@ def metrics_histogram(spark, d):
     return rounded(evaluate.histogram(seconds, "s", labels=("event_type",)), "sum")
 
 
+def timed(spark, d, buckets):
+    return evaluate.histogram(table(spark, d, "events").select("event_type", (F.col("value") / 1000).alias("s")), "s", buckets, labels=("event_type",))
+
+
+@query
+def metrics_retrieval(spark, d):
+    return rounded(timed(spark, d, evaluate.RETRIEVAL_BUCKETS), "sum")
+
+
+@query
+def metrics_rerank(spark, d):
+    return rounded(timed(spark, d, evaluate.RERANK_BUCKETS), "sum")
+
+
+@query
+def metrics_counters(spark, d):
+    """Hits and misses of the embedding cache as lines of the exposition format."""
+    k = keyed(spark, d)
+    cache = k.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("key", "dim").distinct()
+    looked = stores.embedding_lookup(k, cache, 64).select(F.lit("embedding").alias("layer"), F.when(F.col("hit"), "hit").otherwise("miss").alias("outcome"))
+    return evaluate.samples(evaluate.counter(looked, ("layer", "outcome")), "tarn_cache_lookups_total", "counter", ("layer", "outcome"))
+
+
+@query
+def metrics_exposition(spark, d):
+    """The request histogram's lines but for its sums, whose last digits depend on the order of adding."""
+    lines = evaluate.exposition(timed(spark, d, evaluate.REQUEST_BUCKETS), "tarn_request_duration_seconds", ("event_type",), "Request latency")
+    return lines.filter(~F.col("line").startswith("tarn_request_duration_seconds_sum"))
+
+
 # Feedback -------------------------------------------------------------------
 
 
@@ -497,6 +546,15 @@ def stream_ingest(spark, d):
     return spark.read.parquet(out).select("chunk_id", "doc_id", "pos", F.md5("text").alias("digest"))
 
 
+@query
+def stream_index(spark, d):
+    """Postings of a live index fed by a stream of documents."""
+    path = scratch(spark, "live")
+    ingest.index_stream(stream_of(spark, d, "documents").select("doc_id", "text"), path, scratch(spark, "stream-state")).awaitTermination()
+    _, _, made = ingest.live_index(spark, path)
+    return rounded(made.terms.select("term", "df", "idf"), "idf")
+
+
 @query
 def stream_feedback(spark, d):
     out = scratch(spark, "stream-feedback")

@@ -129,6 +129,11 @@ SELECT doc_id, (i - 1)::INTEGER AS pos, length(piece)::INTEGER AS n_chars, md5(p
 FROM (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) AS i FROM c)"""
 _NORMAL = rf"replace(lower(trim(regexp_replace(nfc_normalize(text), '{WHITE}', ' ', 'g'))), 'ß', 'ss')"
 ORACLES["normalize_query"] = f"SELECT conv_id, turn, {_NORMAL} AS normalized FROM conversations WHERE role = 'user'"
+# The queries of the test tables need escapes for letters beyond ASCII only.
+_ESCAPED = "list_aggregate(list_transform(string_split(q, ''), lambda c: CASE WHEN c IN ('\"', '\\') THEN '\\' || c WHEN unicode(c) > 126 THEN '\\u' || lower(lpad(to_hex(unicode(c)), 4, '0')) ELSE c END), 'string_agg', '')"
+ORACLES["cache_key"] = f"""
+SELECT item_id AS query_id, 'tarn:' || substr(sha256('["search", "' || coalesce({_ESCAPED}, '') || '", 10, "hybrid", true]'), 1, 32) AS cache_key
+FROM (SELECT item_id, {_NORMAL} AS q FROM benchmark)"""
 ORACLES["classify_intent"] = f"""
 SELECT conv_id, turn, CASE
   WHEN contains(q, 'site:') OR contains(q, 'page') OR contains(q, 'homepage') OR contains(q, 'official') OR contains(q, 'url') THEN 'navigational'
@@ -201,6 +206,12 @@ ORACLES["doc_store_upsert"] = """
 SELECT d.doc_id AS chunk_id, md5(CASE WHEN l.doc_id IS NULL THEN d.text ELSE 'quality ' || l.quality END) AS digest
 FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"""
 ORACLES["embed_cache_lookup"] = "SELECT sha256(text) AS key, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS hit FROM documents GROUP BY 1"
+ORACLES["embed_cached"] = f"""
+WITH {DOC_TOKENS}, {HASHED},
+k AS (SELECT sha256(text) AS key, min(doc_id) AS doc_id, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS hit FROM documents GROUP BY 1),
+c AS (SELECT ('0x' || substr(md5(term), 1, 7))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT unnest(['the', 'text', 'of', 'the', 'cache']) AS term) GROUP BY 1)
+SELECT key, hit, b::INTEGER AS bucket, round(w, 6) AS weight FROM k JOIN dw USING (doc_id) WHERE NOT hit
+UNION ALL SELECT key, hit, b::INTEGER, round(n / sqrt((SELECT sum(n * n) FROM c)), 6) FROM k CROSS JOIN c WHERE hit"""
 ORACLES["embed_cache_upsert"] = """
 SELECT sha256(text) AS key, coalesce(max(d.doc_id) FILTER (WHERE l.doc_id IS NOT NULL) + 1000000, max(d.doc_id)) AS version
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1"""
@@ -221,6 +232,11 @@ ORACLES["recall_at_k"] = f"WITH {_JUDGED} SELECT query_id, round(recall, 6) AS r
 ORACLES["mrr_at_k"] = f"WITH {_JUDGED} SELECT query_id, round(rr, 6) AS rr FROM per"
 ORACLES["ndcg_at_k"] = f"WITH {_JUDGED} SELECT query_id, round(ndcg, 6) AS ndcg FROM per"
 ORACLES["benchmark_report"] = f"WITH {_JUDGED} SELECT round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) AS n_queries FROM per"
+_PSEUDO = _JUDGED.replace("WHERE q.vec_id % 50 = 0\n), n AS", """WHERE q.vec_id % 50 = 0 AND q.label % 2 = 0
+  UNION ALL SELECT DISTINCT query_id, doc_id FROM flat JOIN embeddings e ON e.vec_id = query_id WHERE rank < 10 AND NOT (e.label % 2 = 0 AND EXISTS (
+    SELECT 1 FROM embeddings o WHERE o.label = e.label AND o.vec_id <> e.vec_id))
+), n AS""")
+ORACLES["benchmark_pseudo"] = f"WITH {_PSEUDO} SELECT round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) AS n_queries FROM per"
 ORACLES["latency_percentiles"] = """
 SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95,
        round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, count(value) AS n FROM events"""
@@ -229,6 +245,23 @@ WITH b AS (SELECT * FROM (VALUES ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.0
 SELECT event_type, le, count(*) FILTER (WHERE bound IS NULL OR value / 1000 <= bound::DOUBLE) AS cumulative, count(*) AS total, round(sum(value / 1000), 6) AS sum
 FROM events CROSS JOIN b GROUP BY ALL"""
 
+_HISTOGRAM = """
+WITH b AS (SELECT le, CASE WHEN le <> '+Inf' THEN le::DOUBLE END AS bound FROM (SELECT unnest([{}, '+Inf']) AS le))
+SELECT event_type, le, count(*) FILTER (WHERE bound IS NULL OR value / 1000 <= bound) AS cumulative, count(*) AS total, round(sum(value / 1000), 6) AS sum
+FROM events CROSS JOIN b GROUP BY ALL"""
+ORACLES["metrics_retrieval"] = _HISTOGRAM.format("'0.001', '0.005', '0.01', '0.025', '0.05', '0.1', '0.25', '0.5'")
+ORACLES["metrics_rerank"] = _HISTOGRAM.format("'0.005', '0.01', '0.025', '0.05', '0.1', '0.25', '0.5', '1.0'")
+ORACLES["metrics_counters"] = """
+SELECT '# TYPE tarn_cache_lookups_total counter' AS line UNION ALL
+SELECT 'tarn_cache_lookups_total{layer="embedding",outcome="' || CASE WHEN hit THEN 'hit' ELSE 'miss' END || '"} ' || count(*) || '.0'
+FROM (SELECT sha256(text) AS key, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS hit FROM documents GROUP BY 1) GROUP BY hit"""
+_REQUESTS = _HISTOGRAM.format("'0.005', '0.01', '0.025', '0.05', '0.1', '0.25', '0.5', '1.0', '2.5', '5.0'")
+ORACLES["metrics_exposition"] = f"""
+WITH h AS ({_REQUESTS})
+SELECT unnest(['# HELP tarn_request_duration_seconds Request latency', '# TYPE tarn_request_duration_seconds histogram']) AS line
+UNION ALL SELECT 'tarn_request_duration_seconds_bucket{{event_type="' || event_type || '",le="' || le || '"}} ' || cumulative FROM h
+UNION ALL SELECT 'tarn_request_duration_seconds_count{{event_type="' || event_type || '"}} ' || total FROM h WHERE le = '+Inf'"""
+
 # Feedback ----------------------------------------------------------------------------
 
 _EVENTS = """fb AS (
@@ -257,3 +290,6 @@ ORACLES["train_eval_split"] = f"""WITH {_TRIPLES}
 SELECT query_id, pos_doc_id, neg_doc_id, CASE WHEN r <= greatest(1, floor(n * 0.1)) THEN 'eval' ELSE 'train' END AS part FROM (
   SELECT *, row_number() OVER (ORDER BY md5('42|' || query_id || '|' || pos_doc_id || '|' || neg_doc_id)) AS r, count(*) OVER () AS n FROM triples)"""
 ORACLES["stream_feedback"] = "SELECT event_id, 'doc_' || json_extract_string(props, '$.k') AS doc_id, event_type, value FROM events"
+_CHUNKED = chunked(512, 32, "doc_id || '::' || (i - 1) AS doc_id, text").strip().removeprefix("WITH")
+ORACLES["stream_index"] = f"""WITH chunk AS (WITH {_CHUNKED}), {BM25.replace("FROM documents", "FROM chunk")}
+SELECT term, df, round(idf, 6) AS idf FROM idf"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.html import html_text
 from tarn.functions.text import html_id
+from tarn.runtime import materialise
 
 
 def parse_json_lines(lines: DataFrame, *, value: str = "value", id_field: str = "id", text_field: str = "text", where=None) -> DataFrame:
@@ -38,8 +39,28 @@ def parse_json_lines(lines: DataFrame, *, value: str = "value", id_field: str =
     return checked.select(required(id_field).alias("doc_id"), required(text_field).alias("text"), rest.alias("metadata"))
 
 
-def read_jsonl(spark: SparkSession, path: str, **fields: str) -> DataFrame:
-    """Documents of JSON line files."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, file, line`` of text files; lines count from 1 in their file.
+
+    A split's lines have consecutive numbers, so a line's place is its place in the
+    split and the lines of the file's earlier splits. Those come from a pass that
+    counts lines: a row for each split, and no text is shuffled.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    splits = materialise(splits.select("file", "block", "first", before.alias("before")), "splits")
+    return lines.join(splits, ["file", "block"]).select("value", "file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"))
+
+
+def read_jsonl(spark: SparkSession, path: str, *, numbered: bool = False, **fields: str) -> DataFrame:
+    """Documents of JSON line files. An error names the file, and with ``numbered`` the
+    line, which takes a pass that counts lines first."""
+    if numbered:
+        lines = numbered_lines(spark, path)
+        return parse_json_lines(lines, where=F.concat("file", F.lit(":"), F.col("line").cast("string")), **fields)
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
     return parse_json_lines(lines, where=F.col("file"), **fields)
 

@@ -1,12 +1,16 @@
-"""Structured Streaming: documents into chunks, feedback events into a table, running counts."""
+"""Structured Streaming: documents into chunks and live indexes, feedback events into a table, running counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tarn.functions.text import tokenize
+from tarn.operators import bm25
 from tarn.operators.chunk import chunk_documents
+from tarn.operators.search import encode
+from tarn.runtime import materialise
 
 
 def chunk_stream(documents: DataFrame, out: str, checkpoint: str, *, max_tokens: int = 512, overlap_tokens: int = 32) -> StreamingQuery:
@@ -15,6 +19,53 @@ def chunk_stream(documents: DataFrame, out: str, checkpoint: str, *, max_tokens:
     return chunked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_stream(documents: DataFrame, path: str, checkpoint: str, *, dim: int = 64, max_tokens: int = 512, overlap_tokens: int = 32) -> StreamingQuery:
+    """Arriving documents (doc_id, text) into a live index below ``path``.
+
+    Each micro-batch is chunked, encoded and counted, and appended as a folder
+    ``batch=<id>`` of the tables ``texts`` (chunk_id, doc_id, text), ``vectors``
+    (chunk_id, vector) and ``postings`` (chunk_id, dl, term, tf). A batch that is run
+    again after a failure writes the same folder again, so it counts once.
+    ``live_index`` reads the tables as they stand.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        made = chunk_documents(batch.select("doc_id", "text"), max_tokens, overlap_tokens)
+        chunks = materialise(made.select("chunk_id", F.col("doc_id").alias("parent"), "text"), "arrived")
+        rows = {
+            "texts": chunks.select("chunk_id", F.col("parent").alias("doc_id"), "text"),
+            "vectors": encode(chunks, "chunk_id", dim=dim),
+            "postings": bm25.postings_of(chunks, "chunk_id").withColumnRenamed("doc_id", "chunk_id"),
+        }
+        for name, df in rows.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bm25.Bm25Index]:
+    """Texts, vectors and BM25 index of what ``index_stream`` has written so far.
+
+    Of a chunk that arrived in several batches the last text and its postings count,
+    and the first vector; statistics are taken from the postings that count.
+    """
+
+    def of_batch(name: str, version) -> DataFrame:
+        df = spark.read.parquet(f"{path}/{name}")
+        chosen = df.groupBy("chunk_id").agg(version("batch").alias("batch"))
+        return df.join(chosen, ["chunk_id", "batch"], "left_semi").drop("batch")
+
+    # A chunk that arrives twice in one batch is repeated there.
+    texts = of_batch("texts", F.max).dropDuplicates(["chunk_id"])
+    vectors = of_batch("vectors", F.min).dropDuplicates(["chunk_id"])
+    counted = spark.read.parquet(f"{path}/postings")
+    last = spark.read.parquet(f"{path}/texts").groupBy("chunk_id").agg(F.max("batch").alias("batch"))
+    postings = materialise(counted.join(last, ["chunk_id", "batch"], "left_semi").select(F.col("chunk_id").alias("doc_id"), "dl", "term", "tf").dropDuplicates(["doc_id", "term"]), "postings")
+    lengths = texts.select(F.col("chunk_id").alias("doc_id"), F.size(tokenize(F.col("text"))).alias("dl"))
+    lengths = materialise(lengths, "lengths")
+    return texts, vectors, bm25.Bm25Index(postings, lengths, materialise(bm25.term_statistics(postings, lengths), "terms"))
+
+
 def feedback_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Arriving feedback events, appended as Parquet. Triples need whole queries, and stay a batch query."""
     return events.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

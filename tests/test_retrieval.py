@@ -40,6 +40,19 @@ def test_bm25(spark, text):
     assert [(round(r.score, 9), r.doc_id) for r in got] == bm25_model(CORPUS, text)
 
 
+def test_bm25_grows(spark):
+    more = docs(spark, [(4, "the cat again"), (9, "quick quick fox"), (10, None)])
+    grown = bm25.grow(bm25.build(docs(spark, CORPUS)), more)
+    want = bm25.build(docs(spark, CORPUS[:4]).unionByName(more))
+    for name in ("postings", "lengths", "terms"):
+        assert sorted(map(tuple, getattr(grown, name).collect())) == sorted(map(tuple, getattr(want, name).collect()))
+    assert {(r.term, r.tf) for r in grown.postings.filter("doc_id = 9").collect()} == {("quick", 2), ("fox", 1)}
+
+
+def test_bm25_counts_terms_without_a_shuffle(spark):
+    assert "Exchange" not in plan(bm25.postings_of(docs(spark, CORPUS)))
+
+
 def test_bm25_blank_query_and_single_document(spark):
     index = bm25.build(docs(spark, [(7, "Hello World")]))
     got = bm25.search(index, asked(spark, "   ", "hello"), 10).collect()
@@ -237,6 +250,15 @@ def test_latency(spark):
     assert 's_bucket{le="0.5"} 5' in lines and 's_bucket{le="+Inf"} 10' in lines
 
 
+def test_exposition(spark):
+    rows = spark.createDataFrame([('a"b\\', 0.003), ('a"b\\', 2.0), ("c\n", None)], "route string, v double")
+    lines = {x.line for x in evaluate.exposition(evaluate.histogram(rows, "v", labels=("route",)), "s", ("route",), "Seconds").collect()}
+    told = 'route="a\\"b\\\\"'
+    assert {"# HELP s Seconds", "# TYPE s histogram", f's_bucket{{{told},le="0.005"}} 1', f's_bucket{{{told},le="+Inf"}} 2', f"s_sum{{{told}}} 2.003", f"s_count{{{told}}} 2", 's_count{route="c\\n"} 0'} <= lines
+    counted = evaluate.samples(evaluate.counter(rows, ("route",)), "n_total", "counter", ("route",))
+    assert {x.line for x in counted.collect()} == {"# TYPE n_total counter", f"n_total{{{told}}} 2.0", 'n_total{route="c\\n"} 1.0'}
+
+
 def fb(spark, *rows):
     return spark.createDataFrame([("q", "test", d, r, e, None, 0.0) for d, r, e in rows], feedback.SCHEMA)
 
@@ -267,6 +289,27 @@ def test_training(spark):
     assert tuple(feedback.pairwise_mrr(scored).first()) == (0.75, 2)
 
 
+def test_reranker_report(spark):
+    texts = spark.createDataFrame([(f"d{i}", "red apple pie" if i % 2 else "blue whale song") for i in range(10)], "doc_id string, text string")
+    rows = [(f"q{i}", "red apple", f"d{1 + 2 * (i % 5)}", f"d{2 * (i % 3)}") for i in range(60)]
+    triples = spark.createDataFrame(rows, "query_id string, query_text string, pos_doc_id string, neg_doc_id string")
+    model, report = feedback.reranker_report(triples, texts)
+    assert (report["n_train"], report["n_eval"]) == (54, 6) and report["mrr_after"] == report["mrr_before"] == 1 and report["uplift"] == 0
+    with pytest.raises(ValueError, match="no training triples"):
+        feedback.reranker_report(triples.limit(0), texts)
+
+
+def test_embedding_cache(spark):
+    texts = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y"), ("c", "z")], "key string, text string")
+    cache = spark.createDataFrame([("a", [9.0, 9.0], 2), ("b", [1.0], 1)], "key string, vector array<double>, dim int")
+    encode = lambda rows: rows.select("key", F.array(F.lit(0.0), F.length("text").cast("double")).alias("vector"))
+    found, after = stores.embed_cached(texts, cache, encode, 2)
+    assert sorted(map(tuple, found.collect())) == [("a", [9.0, 9.0], True), ("b", [0.0, 1.0], False), ("c", [0.0, 1.0], False)]
+    assert sorted(map(tuple, after.collect())) == [("a", [9.0, 9.0], 2), ("b", [0.0, 1.0], 2), ("c", [0.0, 1.0], 2)]
+    found, after = stores.embed_cached(texts, cache, encode, 2, use_cache=False)
+    assert {r.hit for r in found.collect()} == {False} and found.count() == 3 and after.count() == 2
+
+
 def test_stores(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
     assert sorted(map(tuple, stores.upsert(rows(("a", 1), ("b", 2)), rows(("b", 3)), ["k"]).collect())) == [("a", 1), ("b", 3)]

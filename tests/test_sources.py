@@ -75,3 +75,51 @@ def test_running_counts(spark, sf_dir, tmp_path):
     run = counted.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == table(spark, sf_dir, "events").count()
+
+
+def test_jsonl_errors_name_the_line(spark, tmp_path):
+    row = '{"id": 1, "text": "x"}\n'
+    (tmp_path / "a.jsonl").write_text(row * 700 + "\n" + "{broken\n" + row)
+    (tmp_path / "b.jsonl").write_text(row * 3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = files.numbered_lines(spark, str(tmp_path)).collect()
+        assert sorted(r.line for r in lines if r.file.endswith("a.jsonl")) == list(range(1, 704))
+        assert sorted(r.line for r in lines if r.file.endswith("b.jsonl")) == [1, 2, 3]
+        with pytest.raises(Exception, match=r"a\.jsonl:702: invalid JSON"):
+            files.read_jsonl(spark, str(tmp_path), numbered=True).collect()
+        assert files.read_jsonl(spark, str(tmp_path / "b.jsonl"), numbered=True).count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_doc_store_round_trip(spark, tmp_path):
+    rows = [("a::0", "a", "one\ntwo \"x\""), ("a::1", "a", "é")]
+    files.write_jsonl(spark.createDataFrame(rows, "chunk_id string, doc_id string, text string"), str(tmp_path / "s"))
+    assert sorted(map(tuple, files.read_doc_store(spark, str(tmp_path / "s")).collect())) == sorted(rows)
+
+
+def test_live_index(spark, tmp_path):
+    """Two runs of a stream: the second brings a document again, with another text."""
+    from tarn.operators import bm25
+
+    source, live, state = (str(tmp_path / n) for n in ("in", "live", "state"))
+    schema = "doc_id long, text string"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ingest.index_stream(stream, live, state).awaitTermination()
+        return ingest.live_index(spark, live)
+
+    texts, vectors, index = arrive((1, "the cat sat"), (2, "a quick fox"))
+    first = {r.chunk_id: r.vector for r in vectors.collect()}
+    assert {r.chunk_id for r in texts.collect()} == first.keys() == {"1::0", "2::0"}
+    texts, vectors, index = arrive((2, "a slow dog"), (3, "the cat again"))
+    assert {r.chunk_id: r.text for r in texts.collect()} == {"1::0": "the cat sat", "2::0": "a slow dog", "3::0": "the cat again"}
+    assert {r.chunk_id: r.vector for r in vectors.filter("chunk_id = '2::0'").collect()} == {"2::0": first["2::0"]} and vectors.count() == 3
+    want = bm25.build(texts.withColumnRenamed("chunk_id", "c").select("c", "text"), id_col="c")
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, want.terms.collect()))
+    asked = spark.createDataFrame([(0, "dog")], "query_id long, text string")
+    assert bm25.search(index, asked, 1).first().doc_id == "2::0"

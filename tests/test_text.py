@@ -58,10 +58,16 @@ def test_approx_tokens(spark):
 
 def test_cache_key(spark):
     df = spark.createDataFrame([("é x", 10, True)], "q string, k int, r boolean")
-    got = df.select(fn.cache_key(F.struct(F.lit("search"), "q", "k", "r"))).first()[0]
+    got = df.select(fn.cache_key("search", fn.json_string(F.col("q")), fn.json_plain(F.col("k")), fn.json_plain(F.col("r")))).first()[0]
     assert got == fn.CACHE_PREFIX + hashlib.sha256(json.dumps(["search", "é x", 10, True]).encode()).hexdigest()[:32]
 
 
+def test_json_strings(spark):
+    texts = ["plain ~ text", "", 'q"b\\s/', "\n\r\t\b\f\x00\x1f\x7f", "é ß 日 \u2028", "😀a\U0010ffff", None]
+    got = column(spark, texts, fn.json_string)
+    assert got == [None if t is None else json.dumps(t) for t in texts]
+
+
 def test_html():
     page = "<title>T</title><nav>x<b>y</b></nav>a &amp; b<!-- c -->d<p>e<script>var t='</p>';</script>"
     assert html_text(page) == "T\na & b\nd\ne"
