@@ -3,16 +3,22 @@
 Host and path are cut out of the URL, rules match a host with its subdomains and
 the start of the path, and the longest rule decides. URLs that a rule decides are
 labelled examples: boosted trees learn their verdicts from lexical features
-(length, depth, digit ratio, entropy, parameter counts, suffix statistics) and
-decide the rest. Features, training and scoring are DataFrame and SQL
-expressions; the trained trees run as one expression per row.
+(length, depth, digit ratio, entropy, parameter counts, shapes of the path's
+segments, suffix statistics) and decide the rest. Features, training and scoring
+are DataFrame and SQL expressions; the trained trees run as one expression per row.
+
+Suffix statistics are the share of blocked URLs among the labelled ones of a host's
+last label, of a first path segment, and of both together. They are counted over
+all labelled URLs, in two halves by hash: a URL that is learnt from sees the shares
+of the other half, so that its own verdict is no part of them.
 
 The trees are fitted on at most ``sample_rows`` labelled URLs, those with the
-smallest hash. Suffix statistics are counted over all labelled URLs.
+smallest hash.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -32,7 +38,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["f_length", "f_host", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_query", "f_fragment", "f_extension", "f_suffix"]
+KEYS = {"f_suffix": ["suffix"], "f_segment": ["segment"], "f_both": ["suffix", "segment"]}
+FEATURES = ["f_length", "f_host", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_query", "f_fragment", "f_extension", "f_first", "f_lead", "f_run", *KEYS]
 
 
 def with_parts(df: DataFrame, url: Column) -> DataFrame:
@@ -75,11 +82,12 @@ def _entropy(text: Column) -> Column:
 
 
 def with_features(df: DataFrame, url: Column) -> DataFrame:
-    """Adds the lexical features, but for the suffix statistics, and ``suffix``."""
+    """Adds the lexical features, but for the statistics, and their keys ``suffix`` and ``segment``."""
     text = F.coalesce(url, F.lit(""))
     n = F.length(text).cast("double")
     count = lambda part: (n - F.length(F.replace(text, F.lit(part)))).cast("double")
     last = F.element_at(F.split("path", "/"), -1)
+    first = F.regexp_extract("path", "^/([^/]*)", 1)
     return df.select(
         "*",
         n.alias("f_length"),
@@ -92,11 +100,71 @@ def with_features(df: DataFrame, url: Column) -> DataFrame:
         count("?").alias("f_query"),
         count("#").alias("f_fragment"),
         F.length(F.regexp_extract(last, r"\.([^.]*)$", 1)).cast("double").alias("f_extension"),
+        F.length(first).cast("double").alias("f_first"),
+        F.coalesce(F.regexp_extract("path", r"([0-9])", 1).try_cast("double"), F.lit(-1.0)).alias("f_lead"),
+        F.coalesce(F.array_max(F.transform(F.split("path", "[^0-9]+"), F.length)), F.lit(0)).cast("double").alias("f_run"),
         F.substring_index("host", ".", -1).alias("suffix"),
+        first.alias("segment"),
     )
 
 
-def judge(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int = 8, depth: int = 3, seed: int = 11, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+@dataclass(frozen=True)
+class Learned:
+    """Statistics by key, and the trees; without trees, one probability for all."""
+
+    statistics: dict[str, DataFrame]
+    model: object
+    constant: float
+
+
+def _half() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(3)), F.lit(2))
+
+
+def _label() -> Column:
+    return (F.col("rule_verdict") == "block").cast("double")
+
+
+def with_statistics(featured: DataFrame, statistics: dict[str, DataFrame], own_half: bool) -> DataFrame:
+    """Adds the smoothed share of blocked URLs of each key, of the other half only where a row has part in them."""
+    for name, keys in KEYS.items():
+        featured = featured.join(statistics[name], keys, "left")
+        n, blocked = ((F.coalesce(c + "0", F.lit(0)), F.coalesce(c + "1", F.lit(0))) for c in ("n", "b"))
+        seen, bad = ((F.when(_half() == 0, x[1]).otherwise(x[0]) if own_half else x[0] + x[1]) for x in (n, blocked))
+        featured = featured.withColumn(name, (bad + 1.0) / (seen + 2.0)).drop("n0", "n1", "b0", "b1")
+    return featured
+
+
+def learn(labelled: DataFrame, *, sample_rows: int, trees: int, depth: int, seed: int) -> Learned:
+    """Statistics and trees of featured URLs with a ``rule_verdict``."""
+    statistics = {}
+    for name, keys in KEYS.items():
+        counts = [F.count_if(_half() == h).alias(f"n{h}") for h in (0, 1)] + [F.sum(F.when(_half() == h, _label()).otherwise(0.0)).alias(f"b{h}") for h in (0, 1)]
+        statistics[name] = materialise(labelled.groupBy(*keys).agg(*counts), "url-" + name)
+    total = statistics["f_suffix"].agg(F.coalesce(F.sum(F.col("n0") + F.col("n1")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("b0") + F.col("b1")), F.lit(0.0)).alias("b")).first()
+    if total.b in (0, total.n):
+        return Learned(statistics, None, float(total.b > 0))
+    examples = with_statistics(labelled, statistics, own_half=True).select("url", *FEATURES, _label().alias("label"))
+    sample = materialise(examples.orderBy(F.xxhash64("url"), "url").limit(sample_rows), "url-sample")
+    if sample.select("label").distinct().count() < 2:
+        # A bounded sample without one of the verdicts: take as many of each.
+        halves = [examples.filter(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(sample_rows // 2) for v in (0.0, 1.0)]
+        sample = materialise(reduce(DataFrame.unionByName, halves), "url-sample")
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", maxBins=32).fit(assembler.transform(sample).select("features", "label"))
+    return Learned(statistics, fitted, 0.0)
+
+
+def scored(featured: DataFrame, learned: Learned) -> DataFrame:
+    """Adds ``p_block`` to featured URLs that were not learnt from."""
+    if learned.model is None:
+        return featured.withColumn("p_block", F.lit(learned.constant))
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    complete = assembler.transform(with_statistics(featured, learned.statistics, own_half=False))
+    return learned.model.transform(complete).withColumn("p_block", vector_to_array("probability")[1])
+
+
+def judge(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int = 8, depth: int = 4, seed: int = 11, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page row: ``page_id, host, path, rule, verdict, p_block``.
 
     ``p_block`` is the trees' probability of a block, null where a rule decides.
@@ -111,30 +179,25 @@ def judge(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     ruled = with_rule(with_parts(rows, F.col("url")), rules)
     featured = with_features(ruled, F.col("url"))
-
-    label = (F.col("rule_verdict") == "block").cast("double")
-    statistics = featured.filter("rule is not null").groupBy("suffix").agg(((F.sum(label) + 1) / (F.count("*") + 2)).alias("f_suffix"), F.count("*").alias("n"), F.sum(label).alias("blocked"))
-    statistics = materialise(statistics, "url-suffixes")
-    totals = statistics.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("blocked")).first()
-
+    learned = learn(featured.filter("rule is not null"), sample_rows=sample_rows, trees=trees, depth=depth, seed=seed)
     out = ["page_id", "host", "path", "rule"]
-    if totals.blocked in (0, totals.n):
-        verdict = "block" if totals.n and totals.blocked else "allow"
-        share = F.when(F.col("rule").isNull(), F.lit(float(verdict == "block")))
-        return ruled.select(*out, F.coalesce("rule_verdict", F.lit(verdict)).alias("verdict"), share.alias("p_block"))
-
-    complete = featured.join(statistics.select("suffix", "f_suffix"), "suffix", "left").fillna(0.5, ["f_suffix"])
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    labelled = complete.filter("rule is not null").select("url", *FEATURES, label.alias("label"))
-    sample = materialise(labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows), "url-sample")
-    both = {r.label for r in sample.select("label").distinct().collect()}
-    if len(both) < 2:
-        # A bounded sample without one of the verdicts: take as many of each.
-        halves = [labelled.filter(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(sample_rows // 2) for v in (0.0, 1.0)]
-        sample = materialise(reduce(DataFrame.unionByName, halves), "url-sample")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", maxBins=32).fit(assembler.transform(sample).select("features", "label"))
-
-    rest = model.transform(assembler.transform(complete.filter("rule is null"))).withColumn("p_block", vector_to_array("probability")[1])
-    judged = rest.select(*out, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow").alias("verdict"), "p_block")
+    judged = scored(featured.filter("rule is null"), learned).select(*out, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow").alias("verdict"), "p_block")
     decided = ruled.filter("rule is not null").select(*out, F.col("rule_verdict").alias("verdict"), F.lit(None).cast("double").alias("p_block"))
     return decided.unionByName(judged)
+
+
+def quality(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int = 8, depth: int = 4, seed: int = 11, id_col: str = "page_id", url_col: str = "url") -> dict[str, float]:
+    """How well the trees tell the rules' verdicts of URLs that they haven't seen.
+
+    Half of the distinct labelled URLs, by hash, are learnt from; the other half is
+    judged as if no rule fitted. ``accuracy``, that of the more frequent verdict
+    alone (``constant``), the share of blocked URLs that are found
+    (``block_recall``), and the number of URLs judged (``n``).
+    """
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).dropDuplicates(["url"])
+    labelled = with_features(with_rule(with_parts(rows, F.col("url")), rules), F.col("url")).filter("rule is not null")
+    part = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(2))
+    learned = learn(labelled.filter(part == 0), sample_rows=sample_rows, trees=trees, depth=depth, seed=seed)
+    told = scored(labelled.filter(part == 1), learned).select((F.col("p_block") >= 0.5).alias("told"), (_label() == 1).alias("is"))
+    row = told.agg(F.count("*").alias("n"), F.count_if(F.col("told") == F.col("is")).alias("right"), F.count_if("is").alias("blocks"), F.count_if(F.col("told") & F.col("is")).alias("found")).first()
+    return {"n": row.n, "accuracy": row.right / max(row.n, 1), "constant": max(row.blocks, row.n - row.blocks) / max(row.n, 1), "block_recall": row.found / max(row.blocks, 1)}
