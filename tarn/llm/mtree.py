@@ -1,10 +1,11 @@
 """Exact top-k inner-product search over a paged M-tree.
 
-Vectors are dealt to shards of bounded size. Every shard is bulk-loaded into an
-M-tree: pages with a routing vector, a covering radius, the distance to the
-parent page's routing vector, the largest norm below, and, in leaves, the
-entries with their distances to the routing vector. The tree is stored as one
-table row per page.
+Vectors are dealt to shards of bounded size, by their place, so that repeated rows
+spread as others do. Every shard is bulk-loaded into an M-tree: pages with a
+routing vector, a covering radius, the distance to the parent page's routing
+vector, the largest norm below, and, in leaves, the entries with their distances
+to the routing vector. The trees are written once, a shard's pages in one table
+row, and searches read them as they lie, without an exchange.
 
 A query visits pages best first. For a page at distance at least ``lb`` from the
 query, ``<q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2`` gives a bound on every score
@@ -13,8 +14,10 @@ stored parent distance alone: ``|d(q, parent) - d(child, parent)| - radius``;
 leaf entries are held back in the same way. What the bounds can't discard is
 computed exactly, so the result is exact.
 
-Queries are taken in blocks of bounded size; only a block is broadcast. Each
-shard returns its ``k`` best per query, and these are ranked per query.
+Queries are taken in blocks of bounded size; only a block is broadcast. Each query
+is first asked of one shard, and its ``k``-th score there is the bound with which
+it comes to all the others. Each shard returns its ``k`` best per query that reach
+the bound, and these are ranked per query.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.runtime import materialise
+from tarn.runtime import materialise, spread
 
-PAGES = (
-    "dim int, shard int, page int, parent int, leaf boolean, center array<double>, radius double, "
-    "to_parent double, norm2 double, ids array<long>, entries array<double>, to_center array<double>"
+SHARDS = (
+    "dim int, shard int, pages array<struct<page: int, parent: int, leaf: boolean, center: array<double>, radius: double, "
+    "to_parent: double, norm2: double, ids: array<long>, entries: array<double>, to_center: array<double>>>"
 )
 
 
@@ -114,12 +118,11 @@ class Shard:
         self.to_center = [np.asarray(p["to_center"], dtype=np.float64) for p in pages]
         self.computed = 0
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best but ``own``; ties to the smaller id."""
+    def search(self, q: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best but ``own`` that score ``least`` or more; ties to the smaller id."""
         q2 = float(q @ q)
         qn = q2**0.5
         top_id, top = np.empty(0, dtype=np.int64), np.empty(0)
-        least = -np.inf
         slack = 1e-9 * (q2 + float(self.norm2.max(initial=0.0)) + 1)
         d0 = max(0.0, q2 - 2 * float(q @ self.center[0]) + self.center2[0]) ** 0.5
         heap = [(-np.inf, 0, d0)]
@@ -135,15 +138,14 @@ class Shard:
                 ids = self.ids[page][may]
                 self.computed += len(ids)
                 scores = np.rint(self.entries[page][may] @ q)
-                if len(top) == k:
-                    keep = scores >= least
-                    ids, scores = ids[keep], scores[keep]
+                keep = scores >= least
+                ids, scores = ids[keep], scores[keep]
                 if len(ids):
                     ids, scores = np.concatenate([top_id, ids]), np.concatenate([top, scores])
                     best = np.lexsort((ids, -scores))[:k]
                     top_id, top = ids[best], scores[best]
                     if len(top) == k:
-                        least = top[-1]
+                        least = max(least, top[-1])
                 continue
             kids = self.children[page]
             lb = np.maximum(0.0, np.abs(d - self.to_parent[kids]) - self.radius[kids])
@@ -160,40 +162,43 @@ class Shard:
 
 
 def build_index(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard_rows: int = 8192, page_rows: int = 128, fanout: int = 16) -> DataFrame:
-    """The paged M-trees of all vectors: one row per page."""
+    """The paged M-trees of all vectors: one row per shard, with its pages. Shards of a
+    length of vectors are numbered from 0."""
     vectors = quantised(df, id_col, vector_col, scale).withColumn("dim", F.size("v"))
-    shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    sizes = {r.dim: r["count"] for r in vectors.groupBy("dim").count().collect()}
+    shards = F.lit(1)
+    for dim, n in sizes.items():
+        shards = F.when(F.col("dim") == dim, -(-n // shard_rows)).otherwise(shards)
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), shards).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         vectors = np.stack(pdf["v"].to_numpy()).reshape(len(pdf), -1)
         pages = build_pages(pdf["vec_id"].to_numpy(dtype=np.int64), vectors, page_rows=page_rows, fanout=fanout)
-        out = pd.DataFrame(pages)
-        out["entries"] = [e.ravel() for e in out["entries"]]
-        out["dim"], out["shard"] = int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0])
-        return out[[c.split()[0] for c in PAGES.split(", ")]]
-
-    return dealt.groupBy("dim", "shard").applyInPandas(build, PAGES)
-
-
-def _searcher(held, k: int):
-    """Searches a shard's pages for a broadcast block of queries."""
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, prints, vectors = held.value.get(int(pdf["dim"].iloc[0]), ([], [], np.empty((0, 0))))
-        shard = Shard(pdf.to_dict("records"))
-        found = [shard.search(q, own, k) for own, q in zip(ids, vectors)]
-        n = [len(got) for got, _ in found]
-        none = [np.empty(0)]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(np.array(ids, dtype=np.int64), n),
-                "print": np.repeat(np.array(prints, dtype=np.int64), n),
-                "vec_id": np.concatenate([got for got, _ in found] or none).astype(np.int64),
-                "score": np.concatenate([scores for _, scores in found] or none).astype(np.int64),
-            }
-        )
+        plain = [{k: v.ravel().tolist() if isinstance(v, np.ndarray) else v for k, v in p.items()} for p in pages]
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "pages": [plain]})
+
+    return dealt.groupBy("dim", "shard").applyInPandas(build, SHARDS)
+
+
+def _searcher(held, k: int, first: bool):
+    """Searches the shards for a broadcast block of queries. ``first``: a query is asked
+    of one shard only, and its ``k``-th score there is the answer."""
+
+    def search(batches):
+        for batch in batches:
+            for dim, number, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids, prints, vectors, least, shards = held.value.get(dim, ([], [], [], [], 1))
+                asked = [i for i, p in enumerate(prints) if p % shards == number] if first else range(len(ids))
+                shard = Shard(pages.as_py()) if len(asked) else None
+                out = [[], [], [], []]
+                for i in asked:
+                    got, scores = shard.search(vectors[i], ids[i], k, least[i])
+                    if first:
+                        got, scores = got[k - 1 : k], scores[k - 1 : k]
+                    for column, values in zip(out, ([ids[i]] * len(got), [prints[i]] * len(got), got.tolist(), scores.tolist())):
+                        column += values
+                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in out], ["query_id", "print", "vec_id", "score"])
 
     return search
 
@@ -201,7 +206,9 @@ def _searcher(held, k: int):
 def search_index(index: DataFrame, queries: DataFrame, k: int = 20, *, block_queries: int = 20_000) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries`` (vec_id, v) against a built index."""
     spark = index.sparkSession
+    context, schema = spark.sparkContext, "query_id long, print long, vec_id long, score long"
     asked = queries.select("vec_id", "v", F.xxhash64("v").alias("print")).dropDuplicates(["vec_id", "print"])
+    shards = {r.dim: r.n for r in index.groupBy("dim").agg((F.max("shard") + 1).alias("n")).collect()}
     blocks = max(1, -(-asked.count() // block_queries))
     found = None
     for block in range(blocks):
@@ -209,11 +216,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, *, block_que
         by_dim: dict = {}
         for r in part.collect():
             by_dim.setdefault(len(r.v), []).append((r.vec_id, r.print, r.v))
-        held = spark.sparkContext.broadcast(
-            {d: ([x[0] for x in q], [x[1] for x in q], np.array([x[2] for x in q], dtype=np.float64).reshape(len(q), d)) for d, q in by_dim.items()}
-        )
 
-        got = index.groupBy("dim", "shard").applyInPandas(_searcher(held, k), "query_id long, print long, vec_id long, score long")
+        def block_of(least: dict):
+            return {
+                d: ([x[0] for x in q], [x[1] for x in q], np.array([x[2] for x in q], dtype=np.float64).reshape(len(q), d), [least.get(x[:2], -np.inf) for x in q], shards.get(d, 1))
+                for d, q in by_dim.items()
+            }
+
+        # A bound for each query of the block.
+        tried = index.mapInArrow(_searcher(context.broadcast(block_of({})), k, True), schema) if max(shards.values(), default=1) > 1 else None
+        least = {(r.query_id, r.print): float(r.score) for r in tried.collect()} if tried else {}
+        got = index.mapInArrow(_searcher(context.broadcast(block_of(least)), k, False), schema)
         found = got if found is None else found.unionByName(got)
     order = Window.partitionBy("query_id", "print").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -232,6 +245,6 @@ def top_k(df: DataFrame, k: int = 20, *, every: int = 20, id_col: str = "vec_id"
     its own and no candidates. Other columns are not read; an empty table gives
     an empty result.
     """
-    index = materialise(build_index(df, id_col=id_col, vector_col=vector_col, scale=scale, **sizes), "mtree")
+    index = spread(materialise(build_index(df, id_col=id_col, vector_col=vector_col, scale=scale, **sizes), "mtree"), "shard")
     queries = quantised(df, id_col, vector_col, scale).filter(F.col("vec_id") % every == 0)
     return search_index(index, queries, k)

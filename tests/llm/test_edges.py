@@ -88,6 +88,10 @@ def test_sharding_is_uniform_and_exact():
     assert m.sum(axis=1).tolist() == [10, 0, 33, 7] and m.sum(axis=0).tolist() == [13, 13, 12, 12]
     means = np.mean([shard.communication_matrix([40, 40], 4, seed=s)[0] for s in range(300)], axis=0)
     assert np.abs(means - 10).max() < 0.5
+    one = [shard.communication_matrix([1, 1, 1, 3], 3, seed=s)[1].argmax() for s in range(600)]
+    assert min(np.bincount(one)) > 150  # a row goes to each shard alike
+    big = shard.communication_matrix([7 * 10**9, 3, 5 * 10**9 + 1], 4, seed=1)
+    assert big.sum(axis=1).tolist() == [7 * 10**9, 3, 5 * 10**9 + 1] and big.sum(axis=0).tolist() == [3 * 10**9 + 1] * 4 and big.min() >= 0
     row = np.array([3, 4, 5])
     s, c, k = shard.labels(row, 2, seed=1, partition=7)
     assert np.bincount(s).tolist() == [3, 4, 5] and all((a == b).all() for a, b in zip((s, c, k), shard.labels(row, 2, seed=1, partition=7)))
@@ -149,6 +153,14 @@ def test_topk_ties_and_bad_vectors(spark):
     assert len(rows(mtree.top_k(d, 50))) == 60
 
 
+def test_topk_spreads_repeated_rows(spark):
+    d = frame(spark, [(7, [1.0, 2.0])] * 3000 + [(20, [3.0, 1.0]), (40, [1.0])], "vec_id long, embedding array<double>")
+    index = mtree.build_index(d, shard_rows=500, page_rows=64)
+    sizes = [sum(len(p["ids"]) for p in r.pages) for r in index.filter("dim = 2").collect()]
+    assert sum(sizes) == 3001 and max(sizes) < 700
+    assert rows(mtree.top_k(d, 3, shard_rows=500, page_rows=64)) == [(20, k, 7, 64 * 64 * 5) for k in (1, 2, 3)]
+
+
 def test_topk_skips_pages():
     rng = np.random.Generator(np.random.PCG64(1))
     centers = rng.normal(size=(20, 8)) * 200
