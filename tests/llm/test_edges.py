@@ -508,6 +508,19 @@ def planted_copies():
     return [*texts, "", "", "two words", "two words", "two"]
 
 
+def test_signatures_never_discard_similar_sets():
+    r = np.random.Generator(np.random.PCG64(4))
+    base = r.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.permutation(400)[:360]], r.integers(0, 2**64, 40, dtype=np.uint64)])) for _ in range(60)]
+    bits = np.array([near_copies.signature(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    kept, apart = near_copies.alike(np.array([len(s) for s in sets]), bits, i, j)
+    assert all(apart <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i[kept], j[kept])])
+    kept = set(kept.tolist())
+    close = [k for k in range(len(i)) if near_copies.similar(sets[i[k]], sets[j[k]])]
+    assert close and kept.issuperset(close)
+
+
 @pytest.mark.parametrize("small", [64, 2])
 def test_near_copies_are_all_pairs(spark, small):
     texts = planted_copies()
