@@ -511,7 +511,7 @@ def planted_copies():
 def test_signatures_never_discard_similar_sets():
     r = np.random.Generator(np.random.PCG64(4))
     base = r.integers(0, 2**64, 400, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[r.permutation(400)[:360]], r.integers(0, 2**64, 40, dtype=np.uint64)])) for _ in range(60)]
+    sets = [np.unique(np.concatenate([base[r.permutation(400)[:380]], r.integers(0, 2**64, 20, dtype=np.uint64)])) for _ in range(60)]
     bits = np.array([near_copies.signature(s) for s in sets])
     i, j = np.triu_indices(len(sets), 1)
     kept, apart = near_copies.alike(np.array([len(s) for s in sets]), bits, i, j)
