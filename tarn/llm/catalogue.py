@@ -1,4 +1,4 @@
-"""Queries ``op1_...`` to ``op10_...``: each operator over its whole table."""
+"""Queries ``op1_...`` to ``op12_...``: each operator over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, packing, shard, simhash, url_filter
+from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, packing, periodic, shard, simhash, url_filter
 from tarn.llm.oracles import ORACLES
 from tarn.runtime import table
 
@@ -83,6 +83,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, by the checksum of the id, repeat a part of theirs to the end.
+
+    Documents with a null id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    cut = docs.select("doc_id", "text", g.alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    # Words before a, then the first p from there on, over and over.
+    part = F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int"))
+    over = F.slice(F.flatten(F.array_repeat(part, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), over), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(planted_runs(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periodic.strongest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(periodic.listed(F.col("runs")), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,5 +126,6 @@ QUERIES = {
         op8_packing,
         op9_simhash,
         op10_language,
+        op11_periodic_runs,
     )
 }
