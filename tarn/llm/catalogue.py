@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, packing, periodic, shard, simhash, url_filter
+from tarn.llm import chat, decontaminate, html_extract, language, line_dedup, mtree, near_vectors, packing, periodic, shard, simhash, url_filter
 from tarn.llm.oracles import ORACLES
 from tarn.runtime import table
 
@@ -113,6 +113,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,5 +131,6 @@ QUERIES = {
         op9_simhash,
         op10_language,
         op11_periodic_runs,
+        op12_embedding_dedup,
     )
 }
