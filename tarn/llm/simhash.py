@@ -221,13 +221,27 @@ def links(distinct: DataFrame, *, distance: int = 4, n_pivots: int = 16, cell_ro
     return gathered.select("rows").mapInArrow(within, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _connected(batches):
+    """``node, root`` of a partition's links."""
+    empty = np.zeros(0, dtype=np.int64)
+    held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    a, b = (np.concatenate([empty, *(h[k] for h in held)]) for k in range(2))
+    node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = forest(len(node), [(place[: len(a)], place[len(a) :])])
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+
+def components(edges: DataFrame, *, together: int = 1 << 20) -> DataFrame:
     """``node, root``: the smallest node connected to each node of ``edges`` (a, b).
 
     Alternates large and small stars until the links no longer change. A round
-    is a group-by and a join over the links, written to the shared folder.
+    is a group-by and a join over the links, written to the shared folder. At most
+    ``together`` links, some megabytes, are connected in one task instead, with the
+    same result.
     """
     links_now = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
+    if links_now.count() <= together:
+        return links_now.coalesce(1).mapInArrow(_connected, "node long, root long")
     seen = None
     while True:
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour.

@@ -521,8 +521,8 @@ def test_signatures_never_discard_similar_sets():
     assert close and kept.issuperset(close)
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_near_copies_are_all_pairs(spark, small):
+@pytest.mark.parametrize("small,block", [(64, 8192), (2, 8192), (2, 6)])
+def test_near_copies_are_all_pairs(spark, small, block):
     texts = planted_copies()
     sets = [set(near_copies.shingle_set(t.encode(), 5).tolist()) for t in texts]
     root = list(range(len(texts)))
@@ -543,7 +543,7 @@ def test_near_copies_are_all_pairs(spark, small):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     keys = {x.row: x.doc_id for x in df.select("doc_id", near_copies.row_key(["doc_id", "text"]).alias("row")).collect()}
     got: dict = {}
-    for x in near_copies.near_copies(df, small=small).collect():
+    for x in near_copies.near_copies(df, small=small, block=block).collect():
         got.setdefault(x.component, set()).add(keys[x.row])
     want: dict = {}
     for i in range(len(texts)):
@@ -551,6 +551,50 @@ def test_near_copies_are_all_pairs(spark, small):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_large_groups_are_spread(spark):
+    """A group of more sets than a block has is cut, and each two of its blocks meet once."""
+    cells = spark.range(100_000).selectExpr("7L AS token", "id AS node", "10 AS n", "0 AS pos")
+    cut = near_copies.blocked(cells.unionByName(cells.limit(50).selectExpr("8L AS token", "node", "n", "pos")), 8192)
+    parts = near_copies.parted(cut).groupBy("token", "part").count().collect()
+    hot = [r["count"] for r in parts if r.token == 7]
+    blocks = -(-100_000 // 8192)
+    assert len(hot) == blocks * (blocks + 1) // 2 and max(hot) < 2.2 * 8192
+    assert [r["count"] for r in parts if r.token == 8] == [50]
+
+
+def test_equal_texts_are_one_set(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'one two three four five six seven' AS text")
+    seen = []
+    real = near_copies.blocked
+    near_copies.blocked = lambda cells, block: seen.append(cells.count()) or real(cells, block)
+    try:
+        found = near_copies.near_copies(df)
+        assert found.count() == 20_000 and found.select("component").distinct().count() == 1
+    finally:
+        near_copies.blocked = real
+    assert seen == [1]  # three shingles, a prefix of one
+
+
+@pytest.mark.parametrize("together", [0, 1 << 20])
+def test_components_by_stars_and_in_one_task(spark, together):
+    r = random.Random(4)
+    pairs = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.node: r.root for r in simhash.components(edges, together=together).collect()} == {x: find(x) for x in root}
+    assert simhash.components(edges.limit(0), together=together).count() == 0
+
+
 def test_pipeline_drops_edited_copies(spark, sf_dir):
     r = random.Random(12)
     word = lambda: "".join(r.choices("abcdefgh", k=6))
