@@ -17,6 +17,31 @@ def validated(events: DataFrame) -> DataFrame:
     return events.filter(F.when(ok, True).otherwise(F.raise_error(F.lit("invalid feedback event")).cast("boolean")))
 
 
+def from_events(events: DataFrame) -> DataFrame:
+    """The raw event table (event_id, ts, user_id, event_type, value, props) as feedback
+    without ranks: a user's day is a query. ``at`` is the time in microseconds, ``day``
+    the date; an event of another type has a null type."""
+    kinds = {"click": "click", "view": "skip", "purchase": "dwell", "error": "exit", "signup": "skip"}
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    user, day = F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")
+    return events.select(
+        "event_id",
+        F.concat(user, F.lit("-"), day).alias("query_id"),
+        F.concat(F.lit("user "), user).alias("query_text"),
+        F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("doc_id"),
+        kind[F.col("event_type")].alias("event_type"),
+        F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 100).cast("int")).alias("dwell_ms"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        day.alias("day"),
+    )
+
+
+def with_rank(events: DataFrame) -> DataFrame:
+    """Adds the ``rank`` of each event in its query by time, and its ``timestamp`` in seconds."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "event_id")) - 1
+    return events.withColumn("rank", rank).withColumn("timestamp", F.col("at") / 1e6)
+
+
 def groups(events: DataFrame) -> DataFrame:
     """``query_id, events``: events of a query by rank."""
     item = F.struct("rank", "doc_id", "event_type")

@@ -64,25 +64,8 @@ def same_label(spark, d):
 
 def events(spark, d):
     """The event table as feedback: a user's day is a query."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "events")
-    kind = F.create_map(*(F.lit(x) for p in (("click", "click"), ("view", "skip"), ("purchase", "dwell"), ("error", "exit"), ("signup", "skip")) for x in p))
-    typed = e.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("query_id"),
-        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query_text"),
-        F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("doc_id"),
-        kind[F.col("event_type")].alias("event_type"),
-        "value",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        "event_id",
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "event_id")) - 1
-    return typed.select(
-        "query_id", "query_text", "doc_id", rank.alias("rank"), "event_type",
-        F.when(F.col("event_type") == "dwell", F.floor(F.col("value") * 100).cast("int")).alias("dwell_ms"),
-        (F.col("at") / 1e6).alias("timestamp"),
-    )
+    ranked = feedback.with_rank(feedback.from_events(table(spark, d, "events")))
+    return ranked.select("query_id", "query_text", "doc_id", "rank", "event_type", "dwell_ms", "timestamp")
 
 
 def scratch(spark, label):
