@@ -512,7 +512,7 @@ def test_signatures_never_discard_similar_sets():
     r = np.random.Generator(np.random.PCG64(4))
     base = r.integers(0, 2**64, 400, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[r.permutation(400)[:380]], r.integers(0, 2**64, 20, dtype=np.uint64)])) for _ in range(60)]
-    bits = np.array([near_copies.signature(s) for s in sets])
+    bits = np.array([near_copies.folded(near_copies.signature(s), near_copies.SIGNATURE // 64) for s in sets])
     i, j = np.triu_indices(len(sets), 1)
     kept, apart = near_copies.alike(np.array([len(s) for s in sets]), bits, i, j)
     assert all(apart <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i[kept], j[kept])])
@@ -521,6 +521,24 @@ def test_signatures_never_discard_similar_sets():
     assert close and kept.issuperset(close)
 
 
+def test_full_signatures_of_sets_of_different_size():
+    r = np.random.Generator(np.random.PCG64(9))
+    for n, m in ((900, 1100), (2000, 2100), (5000, 4100), (300, 9000)):
+        base = r.integers(0, 2**64, max(n, m), dtype=np.uint64)
+        for common in (0, min(n, m) // 2, min(n, m)):
+            a = np.unique(base[:n])
+            b = np.unique(np.concatenate([base[:common], r.integers(0, 2**64, m - common, dtype=np.uint64)]))
+            x, y = near_copies.signature(a), near_copies.signature(b)
+            assert len(x) * 64 >= len(a) and len(x) * 64 <= max(1024, 2 * len(a))
+            k = min(len(x), len(y))
+            apart = int(np.bitwise_count((near_copies.folded(x, k) ^ near_copies.folded(y, k)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            if near_copies.similar(a, b):
+                assert 9 * apart <= n + m
+            elif common == 0 and n < 2 * m and m < 2 * n:
+                assert 9 * apart > n + m  # sets with nothing in common are told apart without their texts
+
+
 @pytest.mark.parametrize("small,block", [(64, 8192), (2, 8192), (2, 6)])
 def test_near_copies_are_all_pairs(spark, small, block):
     texts = planted_copies()
