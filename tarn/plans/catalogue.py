@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as fn
-from tarn.operators import bm25, dense, evaluate, feedback, fuse, index, search, stores
+from tarn.operators import blockmax, bm25, dense, evaluate, feedback, fuse, index, search, stores
 from tarn.operators.chunk import chunk_documents, hard_split
 from tarn.plans.oracles import ORACLES  # noqa: F401
 from tarn.runtime import materialise, shared_dir, spread, table, written
@@ -266,6 +266,12 @@ def bm25_topk(spark, d):
     return rounded(sparse_list(spark, d, K), "score")
 
 
+@query
+def bm25_blockmax(spark, d):
+    """The hits of ``bm25_topk`` over postings in blocks."""
+    return rounded(blockmax.search(blockmax.build(bm25.build(documents(spark, d))), asked(spark, d), K), "score")
+
+
 @query
 def rrf_fuse(spark, d):
     return rounded(fuse.rrf_fuse([dense_list(spark, d, K), sparse_list(spark, d, K)]), "score", digits=9)

@@ -184,7 +184,7 @@ SELECT (SELECT count(*) FROM dl) AS n_docs, (SELECT sum(dl)::BIGINT FROM dl) AS
        (SELECT round(avg(dl), 6) FROM dl) AS avgdl, (SELECT round(avg(raw_idf), 6) FROM idf) AS mean_idf"""
 ORACLES["bm25_term_stats"] = f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf"
 _TOP = "SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, {}) AS score FROM {} WHERE rank < {}"
-ORACLES["bm25_topk"] = ORACLES["search_sparse"] = f"WITH {SPARSE} " + _TOP.format(6, "sparse", 10)
+ORACLES["bm25_topk"] = ORACLES["bm25_blockmax"] = ORACLES["search_sparse"] = f"WITH {SPARSE} " + _TOP.format(6, "sparse", 10)
 ORACLES["search_dense"] = ORACLES["search_fallback"] = f"WITH {DOC_TOKENS}, {QUERY_TOKENS}, {DENSE} " + _TOP.format(6, "dense", 10)
 ORACLES["rrf_fuse"] = f"WITH {SPARSE}, {DENSE}, {fused(10)} " + _TOP.format(9, "rrf", 1000)
 ORACLES["rrf_top_k"] = f"WITH {SPARSE}, {DENSE}, {fused(10)} " + _TOP.format(9, "rrf", 5)
