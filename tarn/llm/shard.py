@@ -34,23 +34,35 @@ def shard_sizes(total: int, shards: int) -> np.ndarray:
     return np.array([total // shards + (k < total % shards) for k in range(shards)], dtype=np.int64)
 
 
+def some_of(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` things fall on each kind, drawn one by one without return from ``counts`` of them."""
+    ends = np.cumsum(counts)
+    taken = np.zeros(0, dtype=np.int64)
+    while len(taken) < n:
+        # As many more as are missing: the first ``n`` different ones of a sequence.
+        taken = np.unique(np.concatenate([taken, rng.integers(0, int(ends[-1]), n - len(taken))]))
+    return np.bincount(np.searchsorted(ends, taken, side="right"), minlength=len(counts))
+
+
 def drawn(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
-    """How many of ``n`` rows, drawn without return, fall on each shard's room.
+    """How many of ``n`` rows, drawn without return, fall on each shard's room: exact at any size.
 
-    From 10**9 rows on, where the library has no exact draw, a shard's number is
-    drawn from the normal distribution of the same mean and variance, rounded; the
-    sums stay exact.
+    The library draws hypergeometric numbers below 10**9. Above, each place is taken by
+    itself with a chance of ``n`` by all, which is a binomial number for each shard, and
+    as many places as are too many or too few in all, about the square root of all, are
+    drawn one by one out of the taken or the free ones. Of places taken in this way any
+    ``n`` are equally likely, as no step prefers a place, so the law is the same.
     """
+    total = int(room.sum())
+    if total >= 10**9:
+        taken = rng.binomial(room, n / total)
+        over = int(taken.sum()) - n
+        return taken - some_of(rng, taken, over) if over >= 0 else taken + some_of(rng, room - taken, -over)
     out = np.zeros(len(room), dtype=np.int64)
-    rest = int(room.sum())
+    rest = total
     for k, good in enumerate(room.tolist()):
         bad = rest - good
-        if rest < 10**9:
-            x = int(rng.hypergeometric(good, bad, n)) if n and good else 0
-        else:
-            spread = n * (good / rest) * (bad / rest) * ((rest - n) / (rest - 1))
-            x = round(rng.normal(n * (good / rest), spread**0.5))
-        out[k] = x = min(max(x, n - bad), good, n)
+        out[k] = x = int(rng.hypergeometric(good, bad, n)) if n and good else 0
         rest, n = bad, n - x
     return out
 
@@ -92,7 +104,9 @@ def shard_rows(df: DataFrame, shards: int = 24, *, seed: int = 20, cell_rows: in
 
     ``df`` must give the same rows per partition each time it is read, as a scan
     or a written table does; a task that finds another number of rows than was
-    counted fails instead of returning uneven shards.
+    counted fails instead of returning uneven shards. Of the same number of other rows,
+    or of rows in another order, each still goes to one slot, but a task that is run
+    again may not repeat itself: write such an upstream first.
     """
     spark = df.sparkSession
     counted = df.groupBy(F.spark_partition_id().alias("p")).count().collect()

@@ -97,6 +97,43 @@ def test_sharding_is_uniform_and_exact():
     assert np.bincount(s).tolist() == [3, 4, 5] and all((a == b).all() for a, b in zip((s, c, k), shard.labels(row, 2, seed=1, partition=7)))
 
 
+def test_sharding_is_even_beside_billions_of_rows():
+    """Three rows before a partition of 5e9 go to each of 24 shards alike, and their pairs as without return."""
+    counts, seeds = [3, 5 * 10**9], 4000
+    first = np.zeros(24)
+    twice = 0
+    for s in range(seeds):
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        row = shard.matrix_row(ends, 24, s, 0)
+        assert row.sum() == 3
+        first += row
+        twice += (row >= 2).any()
+    even = 3 * seeds / 24
+    assert ((first - even) ** 2 / even).sum() < 49.7  # chi-square of 23 degrees, one in a thousand
+    # Any two of three rows in one shard: 1 - (23/24) (22/24).
+    assert abs(twice / seeds - (1 - 23 * 22 / 24**2)) < 0.02
+
+
+def test_large_and_small_draws_have_one_law():
+    """The draw for large rooms, held against the hypergeometric law on rooms where that is known."""
+    room, n, seeds = np.array([40, 25, 35]), 30, 6000
+    got = []
+    for s in range(seeds):
+        rng = np.random.Generator(np.random.PCG64([s]))
+        taken = rng.binomial(room, n / room.sum())
+        over = int(taken.sum()) - n
+        got.append(taken - shard.some_of(rng, taken, over) if over >= 0 else taken + shard.some_of(rng, room - taken, -over))
+    got = np.array(got)
+    assert (got.sum(axis=1) == n).all() and (got >= 0).all() and (got <= room).all()
+    exact = np.array([math.comb(40, x) * math.comb(60, n - x) / math.comb(100, n) for x in range(n + 1)])
+    seen = np.bincount(got[:, 0], minlength=n + 1)
+    some = exact * seeds > 5
+    assert ((seen[some] - exact[some] * seeds) ** 2 / (exact[some] * seeds)).sum() < 40
+    wide = np.array([shard.drawn(np.random.Generator(np.random.PCG64([s])), np.array([2 * 10**9, 10**9]), 10**9)[0] for s in range(400)])
+    spread = (10**9 * (2 / 3) * (1 / 3) * (2 / 3)) ** 0.5
+    assert abs(wide.mean() - 2e9 / 3) < 4 * spread / 20 and 0.85 < wide.std() / spread < 1.15
+
+
 def test_shard_cells(spark):
     d = spark.range(1000).withColumnRenamed("id", "doc_id")
     got = shard.shard_rows(d.repartition(5).sortWithinPartitions("doc_id"), 7, cell_rows=20).collect()
