@@ -28,6 +28,7 @@ SKIP = frozenset("script style textarea title xmp iframe noframes noscript templ
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+FOREIGN = ("svg", "math")
 LANDMARK = frozenset("nav footer aside form dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -64,6 +65,8 @@ _COMMENT_END = re.compile("--!?>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: An unquoted value, with the slash that may end it.
+_VALUE_END = re.compile(r"""=\s*[^\s"'>]+$""")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 #: References to characters by numbers with leading zeros, or of more digits than any character has.
 _ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
@@ -135,7 +138,7 @@ class Page:
                 yield "close", name, ""
                 continue
             yield "open", name, inside
-            if name in RAW and not inside.endswith("/"):
+            if name in RAW:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 yield "text", page[at : stop.start() if stop else end], ""
                 at = stop.start() if stop else end
@@ -180,11 +183,23 @@ class Block:
 class Mark:
     """An element that speaks for boilerplate, below the marked element that holds it."""
 
-    __slots__ = ("up", "landmark", "bad", "form", "size", "blocks", "inside", "void")
+    __slots__ = ("up", "landmark", "bad", "form", "size", "blocks", "inside", "void", "depth", "below")
 
     def __init__(self, up, landmark, bad, form):
         self.up, self.landmark, self.bad, self.form = up, landmark, bad, form
         self.size, self.blocks, self.inside, self.void = 0, [], [], False
+        # How many marks there are from here outwards, and whether a landmark other than a form is one of them.
+        self.depth = up.depth + 1 if up else 1
+        self.below = landmark and not form or bool(up and up.below)
+
+
+class Article:
+    """An article that is marked, or inside a marked element, and what lies in it."""
+
+    __slots__ = ("up", "marks", "blocks", "open")
+
+    def __init__(self, up):
+        self.up, self.marks, self.blocks, self.open = up, [], [], True
 
 
 class Element:
@@ -200,6 +215,7 @@ class Reader:
     def __init__(self):
         self.out: list[Block] = []
         self.marks: list[Mark] = []
+        self.articles: list[Article] = []
         self.stack = [Element("#root", None, False, 0)]
         self.at_name: dict[str, list[int]] = {}
         self.block_level = [0]  # places of the block-level elements in the stack
@@ -216,6 +232,8 @@ class Reader:
                 grand = self.stack[self.block_level[-2]].number if len(self.block_level) > 1 else 0
                 links = min(1.0, self.links / len(text))
                 self.out.append(Block(text, self.mains > 0, self.mark(), self.goods > 0, holder.name in HEADING, links, holder.number, grand))
+                if self.mains and self.articles and self.articles[-1].open:
+                    self.articles[-1].blocks.append(self.out[-1])
         self.links = 0
 
     def mark(self) -> Mark | None:
@@ -240,6 +258,8 @@ class Reader:
                 self.block_level.pop()
             self.skip -= gone.name in SKIP
             self.mains -= gone.name in MAIN
+            if not self.mains and self.articles:
+                self.articles[-1].open = False
             self.in_link -= gone.name == "a"
             self.goods -= gone.good
         self.cleared = min(self.cleared, len(self.stack))
@@ -267,14 +287,18 @@ class Reader:
                 self.close_to(place)
             if name == "body":
                 self.close_to(1)
-        if name in VOID or attributes.endswith("/") and name not in INLINE and name not in MAIN:
+        if name in VOID:
+            return
+        # A slash ends an element only where the page is no HTML: in pictures and formulas.
+        if attributes.endswith("/") and (name in FOREIGN or self.last(FOREIGN)) and not _VALUE_END.search(attributes):
             return
         self.number += 1
         bad = good = False
         if attributes and name not in ("body", "html"):
             bad, good = _marks(attributes)
         up = self.mark()
-        if name in MAIN and not self.mains:
+        outermost = name in MAIN and not self.mains
+        if outermost and name == "main":
             # What holds the main text is no sidebar, whatever it is called.
             self.cleared = len(self.stack) + 1
             bad, up = False, None
@@ -282,6 +306,11 @@ class Reader:
         if bad or landmark:
             up = Mark(up, landmark, bad, name == "form")
             self.marks.append(up)
+            if self.mains and self.articles and self.articles[-1].open:
+                self.articles[-1].marks.append(up)
+        if outermost and up:
+            # Whether an article lies in a sidebar or among comments, and is one, can be told at the end only.
+            self.articles.append(Article(up))
         self.push(Element(name, up, good and name not in MAIN, self.number))
 
     def close(self, name: str):
@@ -306,10 +335,30 @@ def blocks_of(page: str) -> list[Block]:
         else:
             reader.close(name)
     reader.flush()
+    free_article(reader.out, reader.articles)
     clear_wrappers(reader.out, reader.marks)
     return reader.out
 
 
+def free_article(blocks: list[Block], articles: list[Article]) -> None:
+    """An article that holds most of the page's text is the main one: marks around it don't
+    count, those in it do. Where none does and nothing unmarked scores as content, it is
+    the one with the fewest marks around it, of these the longest, unless it lies in a
+    landmark. Others keep theirs, as comments do and what stands in sidebars."""
+    size = [sum(len(b.text) for b in a.blocks) for a in articles]
+    total = sum(len(b.text) for b in blocks)
+    free = [a for a, n in zip(articles, size) if 2 * n > total]
+    if not free and not any(score(b) > 0 for b in blocks if not b.mark):
+        free = [a for a, _ in sorted(zip(articles, size), key=lambda x: (x[0].up.depth, -x[1])) if not a.up.below][:1]
+    for a in free:
+        for b in a.blocks:
+            if b.mark is a.up:
+                b.mark = None
+        for m in a.marks:
+            if m.up is a.up:
+                m.up = None
+
+
 def clear_wrappers(blocks: list[Block], marks: list[Mark]) -> None:
     """Turns the marked elements around each block into its two flags.
 

@@ -250,6 +250,32 @@ def test_html_layouts(wrap):
     assert " ".join(html_extract.main_blocks(PAGE % (wrap % BODY))) == TEXT
 
 
+COMMENT = "<p>What a good text this is, I have read it twice and passed it on to all of my friends.</p>"
+
+
+@pytest.mark.parametrize("around", [
+    '<div id="comments" class="comments-area"><ol class="comment-list"><li><article class="comment-body">%s</article></li><li><article>%s</article></li></ol></div>',
+    '<aside class="sidebar"><article>%s</article><article>%s</article></aside>',
+    "<footer><article>%s</article></footer><nav><article>%s</article></nav>",
+    '<article class="comment">%s</article><article class="comment">%s</article>',
+])
+@pytest.mark.parametrize("main", ["<div class=entry>%s</div>", "<article>%s</article>", '<div class="with-sidebar"><article class="post">%s</article></div>', "<form><article>%s</article></form>"])
+def test_html_articles_among_boilerplate(around, main):
+    page = "<body>" + main % BODY + around % (COMMENT, COMMENT) + "</body>"
+    assert " ".join(html_extract.main_blocks(page)) == TEXT
+
+
+@pytest.mark.parametrize("odd", [
+    '<script src="a.js"/>var text = "It looks like a sentence, and it is long enough to be one of them.";</script>',
+    "<style/>p { content: 'It looks like a sentence, and it is long enough to be one of them.'; }</style>",
+    "<nav data-u=/a/><p>It looks like a sentence, and it is long enough to be one of them.</p></nav>",
+    "<nav/><p>It looks like a sentence, and it is long enough to be one of them.</p></nav>",
+    '<svg width=1/><path d="M0 0"/></svg>', "<svg/>", '<math><mi/></math>',
+])
+def test_html_slashes_mean_nothing(odd):
+    assert " ".join(html_extract.main_blocks(f"<body>{odd}<div>{BODY}</div></body>")) == TEXT
+
+
 def test_html_odd_pages(spark):
     d = frame(spark, [(1, "u", None), (2, None, ""), (3, "u", "plain text only, and nothing but text in it."), (4, "u", "<p>" * 5000 + "<b" + "<div>" * 300), (5, "u", "a < b <!-- <p>no</p>")], "page_id long, url string, html string, text string, n_chars int")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(d).collect()}
