@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.graph import NONE, Graph
 from tarn.runtime import materialise
 
 HITS = "query_id long, doc_id long, score double"
@@ -115,181 +112,116 @@ def _scorer(held, k: int, exclude_self: bool, tile: int = 4_000_000):
     return run
 
 
-class Hnsw:
-    """A navigable small-world graph over unit vectors; distance is one minus the inner product.
+#: A row for each shard: its ids and vectors, and the links of all layers, as plain arrays.
+GRAPH = "shard int, n int, dim int, m int, entry int, layers int, ids binary, vectors binary, links binary"
+_TYPES = pa.schema([(c, pa.binary() if t == "binary" else pa.int32()) for c, t in (x.split() for x in GRAPH.split(", "))])
+
+
+def _row(shard: int, graph: Graph, ids: np.ndarray) -> dict:
+    links = b"".join(x.tobytes() for x in graph.links)
+    return {"shard": shard, "n": len(graph), "dim": graph.dim, "m": graph.m, "entry": graph.entry, "layers": len(graph.links), "ids": ids.tobytes(), "vectors": graph.data.tobytes(), "links": links}
+
+
+def _opened(row: dict, **parameters: int) -> tuple[Graph, np.ndarray]:
+    """A shard's graph and the ids of its nodes."""
+    graph, n, at = Graph(row["dim"], row["m"], **parameters), row["n"], 0
+    graph.data = np.frombuffer(row["vectors"], dtype=np.float32).reshape(n, row["dim"])
+    graph.entry = row["entry"]
+    flat = np.frombuffer(row["links"], dtype=np.int32)
+    for layer in range(row["layers"]):
+        size = n * graph.width(layer)
+        graph.links.append(flat[at : at + size].reshape(n, -1).copy())
+        at += size
+    return graph, np.frombuffer(row["ids"], dtype=np.int64)
 
-    Inserting an id a second time changes nothing. Neighbours are chosen for
-    spread: a candidate that is nearer to a chosen neighbour than to the new node
-    is passed over.
-    """
 
-    def __init__(self, dim: int, m: int = 16, ef_construction: int = 200, ef_search: int = 100, seed: int = 0):
-        self.dim, self.m, self.ef_construction, self.ef_search = dim, m, ef_construction, ef_search
-        self.rng = random.Random(seed)
-        self.scale = 1 / math.log(m)
-        self.data = np.empty((0, dim), dtype=np.float32)
-        self.ids: list = []
-        self.known: dict = {}
-        self.near: list[list[list[int]]] = []  # node -> layer -> neighbours
-        self.entry = -1
-
-    def __len__(self):
-        return len(self.ids)
-
-    def draw_level(self) -> int:
-        return int(-math.log(max(self.rng.random(), 1e-12)) * self.scale)
-
-    def distances(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        return 1.0 - self.data[nodes] @ q
-
-    def beam(self, q: np.ndarray, start: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
-        """The ``ef`` nearest nodes that a best-first walk finds in a layer, in order."""
-        seen = set(start)
-        first = list(zip(self.distances(q, start).tolist(), start))
-        queue = list(first)
-        heapq.heapify(queue)
-        best = [(-d, -n) for d, n in first]
-        heapq.heapify(best)
-        while len(best) > ef:
-            heapq.heappop(best)
-        while queue:
-            d, node = heapq.heappop(queue)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            new = [x for x in self.near[node][layer] if x not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for dx, x in zip(self.distances(q, new).tolist(), new):
-                if len(best) < ef or dx < -best[0][0]:
-                    heapq.heappush(queue, (dx, x))
-                    heapq.heappush(best, (-dx, -x))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, -n) for d, n in best)
-
-    def spread(self, candidates: list[tuple[float, int]], limit: int) -> list[int]:
-        chosen: list[int] = []
-        for d, n in sorted(candidates):
-            if len(chosen) >= limit:
-                break
-            if not chosen or not (self.distances(self.data[n], chosen) < d).any():
-                chosen.append(n)
-        return chosen
-
-    def add(self, doc_id, vector: np.ndarray) -> None:
-        if doc_id in self.known:
-            return
-        if len(vector) != self.dim:
-            raise ValueError(f"a vector of {len(vector)} in an index of {self.dim}")
-        node, level = len(self.ids), self.draw_level()
-        if node == len(self.data):
-            self.data = np.concatenate([self.data, np.zeros((max(64, len(self.data)), self.dim), dtype=np.float32)])
-        self.data[node] = vector
-        self.ids.append(doc_id)
-        self.known[doc_id] = node
-        self.near.append([[] for _ in range(level + 1)])
-        if self.entry < 0:
-            self.entry = node
-            return
-        q, at = self.data[node], [self.entry]
-        top = len(self.near[self.entry]) - 1
-        for layer in range(top, level, -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        for layer in range(min(level, top), -1, -1):
-            found = self.beam(q, at, self.ef_construction, layer)
-            limit = self.m if layer else 2 * self.m
-            for other in (chosen := self.spread(found, limit)):
-                links = self.near[other][layer]
-                links.append(node)
-                if len(links) > limit:
-                    d = self.distances(self.data[other], links).tolist()
-                    self.near[other][layer] = self.spread(list(zip(d, links)), limit)
-            self.near[node][layer] = chosen
-            at = [n for _, n in found]
-        if level > top:
-            self.entry = node
-
-    def search(self, q: np.ndarray, k: int) -> list[tuple[object, float]]:
-        """Ids and scores, best first; may be fewer than ``k``."""
-        if self.entry < 0:
-            return []
-        q = np.asarray(q, dtype=np.float32)
-        at = [self.entry]
-        for layer in range(len(self.near[self.entry]) - 1, 0, -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        return [(self.ids[n], 1.0 - d) for d, n in self.beam(q, at, max(self.ef_search, k), 0)[:k]]
-
-    def rows(self) -> list[dict]:
-        """The graph as table rows, one per node."""
-        return [
-            {"node": i, "doc_id": d, "vector": self.data[i].tolist(), "neighbors": {layer: list(n) for layer, n in enumerate(self.near[i])}, "entry": i == self.entry}
-            for i, d in enumerate(self.ids)
-        ]
-
-    @classmethod
-    def from_rows(cls, rows: list[dict], dim: int, **parameters: int) -> Hnsw:
-        index = cls(dim, **parameters)
-        for r in sorted(rows, key=lambda r: r["node"]):
-            near = dict(r["neighbors"])
-            index.known[r["doc_id"]] = len(index.ids)
-            index.ids.append(r["doc_id"])
-            index.near.append([list(near.get(layer, ())) for layer in range(max(near, default=0) + 1)])
-            if r["entry"]:
-                index.entry = r["node"]
-        index.data = np.array([r["vector"] for r in sorted(rows, key=lambda r: r["node"])], dtype=np.float32).reshape(-1, dim)
-        return index
-
-
-GRAPH = "shard int, node int, doc_id long, vector array<float>, neighbors map<int, array<int>>, entry boolean"
-
-
-def hnsw_build(vectors: DataFrame, *, shard_rows: int = 20_000, seed: int = 0, first_shard: int = 0, **parameters: int) -> DataFrame:
-    """Graphs of all vectors, one per shard of bounded size, as one row per node."""
+def _filled(seed: int, m: int, ef_construction: int):
+    """Adds a shard's new rows (shard, doc_id, vector) to its graph, or to an empty one."""
+
+    def add(rows: pa.Table, stored: list[dict]) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        shard = rows.column("shard")[0].as_py()
+        vectors = rows.column("vector").combine_chunks()
+        sizes = np.unique(vectors.value_lengths().to_numpy())
+        if stored:
+            graph, ids = _opened(stored[0], ef_construction=ef_construction, seed=seed + shard)
+        else:
+            graph, ids = Graph(int(sizes[0]), m, ef_construction, seed + shard), np.zeros(0, dtype=np.int64)
+        if sizes.tolist() != [graph.dim]:
+            raise ValueError(f"a vector of {sizes[sizes != graph.dim][0]} in an index of {graph.dim}")
+        new, first = np.unique(rows.column("doc_id").to_numpy(), return_index=True)  # an id counts once
+        graph.add(_matrix(vectors, graph.dim)[first])
+        return pa.Table.from_pylist([_row(shard, graph, np.concatenate([ids, new]))], schema=_TYPES)
+
+    return add
+
+
+def hnsw_build(vectors: DataFrame, *, shard_rows: int = 20_000, seed: int = 0, first_shard: int = 0, m: int = 16, ef_construction: int = 200) -> DataFrame:
+    """Graphs of all vectors, one per shard of bounded size, a row each. A null vector is no document."""
+    vectors = vectors.filter("vector is not null")
     shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = vectors.select((F.pmod(F.xxhash64("doc_id"), F.lit(shards)) + first_shard).cast("int").alias("shard"), "doc_id", "vector")
+    dealt = vectors.select((F.pmod(F.xxhash64("doc_id"), F.lit(shards)) + first_shard).cast("int").alias("shard"), "doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    add = _filled(seed, m, ef_construction)
+    return dealt.groupBy("shard").applyInArrow(lambda rows: add(rows, []), GRAPH)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        shard = int(pdf["shard"].iloc[0])
-        index = Hnsw(len(pdf["vector"].iloc[0]), seed=seed + shard, **parameters)
-        for d, v in zip(pdf["doc_id"].tolist(), pdf["vector"]):
-            index.add(d, np.asarray(v, dtype=np.float32))
-        return pd.DataFrame(index.rows()).assign(shard=shard)[["shard", "node", "doc_id", "vector", "neighbors", "entry"]]
 
-    return dealt.groupBy("shard").applyInPandas(build, GRAPH)
+def hnsw_ids(graph: DataFrame) -> DataFrame:
+    """``doc_id`` of all nodes."""
 
+    def run(batches):
+        for batch in batches:
+            for ids in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_py(), dtype=np.int64))], ["doc_id"])
 
-def hnsw_levels(ids: DataFrame, *, m: int = 16, seed: int = 0) -> DataFrame:
-    """Adds the ``level`` that an inserted node draws: geometric, a layer up with a chance of one in ``m``."""
-    return ids.withColumn("level", F.floor(-F.log(F.greatest(F.rand(seed), F.lit(1e-12))) / math.log(m)).cast("int"))
+    return graph.select("ids").mapInArrow(run, "doc_id long")
 
 
-def hnsw_search(graph: DataFrame, queries: DataFrame, k: int = 10, *, block_queries: int = 4096, **parameters: int) -> DataFrame:
-    """``query_id, rank, doc_id, score``: every shard is searched, the best are merged.
+def hnsw_layers(graph: DataFrame) -> DataFrame:
+    """``layer, nodes``: how many nodes each layer of the graphs has, those of one link or more."""
 
-    The nodes of a shard are brought together once, however many blocks of queries there are.
-    """
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                opened, _ = _opened(batch.slice(i, 1).to_pylist()[0])
+                nodes = [len(opened)] + [int((x != NONE).any(axis=1).sum()) for x in opened.links[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(nodes)), pa.int32()), pa.array(nodes, pa.int64())], ["layer", "nodes"])
+
+    return graph.mapInArrow(run, "layer int, nodes long").groupBy("layer").agg(F.sum("nodes").alias("nodes"))
+
+
+def hnsw_insert(graph: DataFrame, vectors: DataFrame, shards: list[int], *, seed: int = 0, ef_construction: int = 200, m: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The rows of the ``shards`` that new vectors fall on, with these inserted, and the rows of the others."""
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(len(shards))) + 1
+    dealt = vectors.filter("vector is not null").select(F.element_at(F.array(*map(F.lit, shards)), number.cast("int")).alias("shard"), "doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    dealt = materialise(dealt, "arrived")
+    touched = F.broadcast(dealt.select("shard").distinct())  # at most a row for each shard
+    add = _filled(seed, m, ef_construction)
+    old = graph.join(touched, "shard", "left_semi")
+    grown = dealt.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(lambda rows, stored: add(rows, stored.to_pylist()), GRAPH)
+    return grown, graph.join(touched, "shard", "left_anti")
+
+
+def hnsw_search(graph: DataFrame, queries: DataFrame, k: int = 10, *, block_queries: int = 4096, ef_search: int = 100) -> DataFrame:
+    """``query_id, rank, doc_id, score``: every shard is searched where it lies, the best are merged."""
     spark = graph.sparkSession
-    shards = graph.groupBy("shard").agg(F.collect_list(F.struct("node", "doc_id", "vector", "neighbors", "entry")).alias("nodes"))
-    if queries.count() > block_queries:
-        shards = materialise(shards, "graph-shards")
     found = None
     for ids, matrix in query_blocks(queries.select("query_id", "vector"), block_queries):
-        part = shards.select("nodes").mapInArrow(_walker(spark.sparkContext.broadcast((ids, matrix)), k, parameters), HITS)
+        part = graph.mapInArrow(_walker(spark.sparkContext.broadcast((ids, matrix)), k, ef_search), HITS)
         found = part if found is None else found.unionByName(part)
     return _ranked(found if found is not None else spark.createDataFrame([], HITS), k)
 
 
-def _walker(held, k: int, parameters: dict):
+def _walker(held, k: int, ef_search: int):
     def run(batches):
         ids, matrix = held.value
         for batch in batches:
-            for nodes in batch.column(0):
-                index = Hnsw.from_rows(nodes.as_py(), matrix.shape[1], **parameters)
-                hits = [(int(q), d, s) for q, v in zip(ids, matrix) for d, s in index.search(v, k)]
-                columns = list(zip(*hits)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "doc_id", "score"])
+            for i in range(batch.num_rows):
+                graph, docs = _opened(batch.slice(i, 1).to_pylist()[0])
+                if graph.dim != matrix.shape[1]:
+                    raise ValueError(f"a vector of {matrix.shape[1]} in an index of {graph.dim}")
+                node, distance = graph.search(matrix, k, ef_search)
+                q, c = np.nonzero(node != NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[node[q, c]]), pa.array(1.0 - distance[q, c].astype(np.float64))], ["query_id", "doc_id", "score"])
 
     return run
 

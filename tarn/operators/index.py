@@ -61,7 +61,9 @@ class FlatIndex:
 
 @dataclass(frozen=True)
 class HnswIndex:
-    """Graphs over shards of bounded size. An id keeps its first vector; new ones make new shards."""
+    """Graphs over shards of bounded size. An id keeps its first vector. New vectors are
+    inserted into the graphs of the shards they fall on, as long as these have room, and
+    make new shards after that."""
 
     graph: DataFrame
     parameters: dict = field(default_factory=dict)
@@ -69,21 +71,33 @@ class HnswIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, **parameters: int) -> HnswIndex:
-        return cls(dense.materialise(dense.hnsw_build(vectors.filter("vector is not null"), **parameters), "graph"), parameters)
+        making = {p: n for p, n in parameters.items() if p != "ef_search"}
+        return cls(dense.materialise(dense.hnsw_build(vectors, **making), "graph", max_records=1), parameters)
 
     def add(self, vectors: DataFrame) -> HnswIndex:
-        first = self.graph.agg(F.max("shard")).first()[0]
-        grown = dense.hnsw_build(_new(vectors.filter("vector is not null"), self.graph), first_shard=0 if first is None else first + 1, **self.parameters)
-        return replace(self, graph=self.graph.unionByName(dense.materialise(grown, "graph")))
+        making = {p: n for p, n in self.parameters.items() if p != "ef_search"}
+        new = dense.materialise(_new(vectors.filter("vector is not null"), dense.hnsw_ids(self.graph)), "new-vectors")
+        # A row for each shard.
+        sizes = {r.shard: r.n for r in self.graph.select("shard", "n").collect()}
+        shard_rows = making.pop("shard_rows", 20_000)
+        open_ = sorted(s for s, n in sizes.items() if n < shard_rows)
+        arriving = new.count()
+        if not arriving:
+            return self
+        if open_ and arriving <= sum(shard_rows - sizes[s] for s in open_):
+            grown, kept = dense.hnsw_insert(self.graph, new, open_, **making)
+        else:
+            grown, kept = dense.hnsw_build(new, shard_rows=shard_rows, first_shard=max(sizes, default=-1) + 1, **making), self.graph
+        return replace(self, graph=kept.unionByName(dense.materialise(grown, "graph", max_records=1)))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return dense.hnsw_search(self.graph, queries, k, **{p: n for p, n in self.parameters.items() if p not in ("shard_rows", "seed")})
+        return dense.hnsw_search(self.graph, queries, k, **{p: n for p, n in self.parameters.items() if p == "ef_search"})
 
     def size(self) -> int:
-        return self.graph.count()
+        return self.graph.agg(F.sum("n")).first()[0] or 0
 
     def save(self, path: str) -> None:
-        self.graph.write.mode("overwrite").parquet(f"{path}/graph")
+        self.graph.write.mode("overwrite").option("maxRecordsPerFile", 1).parquet(f"{path}/graph")
         _manifest(self.graph.sparkSession, path, self.kind, self.parameters)
 
     @classmethod

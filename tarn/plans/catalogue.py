@@ -208,7 +208,9 @@ def hnsw_recall(spark, d):
 
 @query
 def hnsw_levels(spark, d):
-    return dense.hnsw_levels(vectors(spark, d).select("doc_id"))
+    """The levels that an index draws for its nodes: at each, the share of nodes there, against one in 16 a layer up."""
+    v = vectors(spark, d)
+    return dense.hnsw_layers(materialise(dense.hnsw_build(v), "graph", max_records=1))
 
 
 @query

@@ -79,8 +79,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str = "table", codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder, partitioned by some columns if asked, and return the written table.
+def materialise(df: DataFrame, label: str = "table", codec: str = "zstd", max_records: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder, in files of ``max_records`` if asked, and return the written table.
 
     The written table has file sizes that the optimizer can see, so a join with
     a small one becomes a broadcast below the session's threshold and a shuffle
@@ -89,7 +89,7 @@ def materialise(df: DataFrame, label: str = "table", codec: str = "zstd", partit
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written().append(path)
-    df.write.option("compression", codec).parquet(path, partitionBy=partition_by)
+    df.write.option("compression", codec).option("maxRecordsPerFile", max_records).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -106,28 +106,42 @@ def test_best_equals_a_full_sort():
         assert best.doc[best.query == q].tolist() == docs[order].tolist() and best.score[best.query == q].tolist() == scores[q][order].tolist()
 
 
-def test_hnsw_recall_and_round_trip(spark):
-    m, q = unit(3000, 32, 0), unit(50, 32, 42)
+def test_hnsw_recall(spark):
+    """10,000 vectors of 64 numbers, 100 queries, in one shard and in several."""
+    m, q = unit(10_000, 64, 0), unit(100, 64, 42)
     v = vectors(spark, m)
     queries = vectors(spark, q).withColumnRenamed("doc_id", "query_id")
-    graph = dense.hnsw_build(v, shard_rows=1000)
-    found = dense.hnsw_search(graph, queries, 10, ef_search=200)
     exact = dense.flat_search(queries, v, 10).select("query_id", "doc_id")
-    assert evaluate.recall_at_k(found, exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
+    for shard_rows in (20_000, 4000):
+        made = index.HnswIndex.build(v, shard_rows=shard_rows, ef_search=200)
+        assert evaluate.recall_at_k(made.search(queries, 10), exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
+    assert "Exchange" not in plan(made.graph.mapInArrow(lambda b: b, dense.GRAPH))
 
 
-def test_hnsw_index():
+def test_hnsw_index(spark):
     m = unit(200, 16, 3)
-    index = dense.Hnsw(16, m=8, ef_construction=50, ef_search=50)
-    for i, v in enumerate(m):
-        index.add(f"d{i}", v)
-    index.add("d0", m[1])
-    assert len(index) == 200 and index.search(m[0], 1)[0][0] == "d0"
-    again = dense.Hnsw.from_rows(index.rows(), 16, m=8, ef_search=50)
-    assert again.search(m[5], 5) == index.search(m[5], 5)
-    with pytest.raises(ValueError):
-        index.add("x", np.zeros(3))
-    assert dense.Hnsw(16).search(m[0], 3) == []
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(0, m[1].tolist()), (999, None)], "doc_id long, vector array<float>")
+    made = index.HnswIndex.build(rows.filter("doc_id < 150 or doc_id = 999"), m=8, ef_construction=50, ef_search=50, shard_rows=90)
+    shards = lambda x: {r.shard: r.n for r in x.graph.select("shard", "n").collect()}
+    assert made.size() == 150 and len(shards(made)) == 2
+    queries = lambda ids: spark.createDataFrame([(i, m[i].tolist()) for i in ids], "query_id long, vector array<float>")
+    best = lambda x, ids: {r.query_id: r.doc_id for r in x.search(queries(ids), 1).collect()}
+    assert best(made, range(150)) == {i: i for i in range(150)}
+    # Twenty more go into the graphs that are there; what was in them is found as before.
+    grown = made.add(rows.filter("doc_id < 170"))
+    assert grown.size() == 170 and set(shards(grown)) == set(shards(made))
+    assert best(grown, range(170)) == {i: i for i in range(170)}
+    # One more touches one shard only.
+    one = grown.add(rows.filter("doc_id = 170"))
+    assert sum(shards(one)[s] != shards(grown)[s] for s in shards(one)) == 1
+    # Nothing new changes nothing; more than there is room for makes new shards.
+    assert one.add(rows.filter("doc_id < 5")) is one
+    full = one.add(rows.filter("doc_id >= 170"))
+    assert full.size() == 200 and len(shards(full)) == 3
+    assert best(full, range(200)) == {i: i for i in range(200)}
+    with pytest.raises(Exception, match="in an index of 16"):
+        full.add(spark.createDataFrame([(5000, [1.0, 0.0])], "doc_id long, vector array<float>")).size()
+    assert index.HnswIndex.build(rows.limit(0)).search(queries([1]), 3).count() == 0
 
 
 def test_ivf(spark, tmp_path):
