@@ -64,6 +64,17 @@ def triples(events: DataFrame, n: int = 1) -> DataFrame:
     return clicks.join(others, on).select("c.query_id", "c.query_text", F.col("c.doc_id").alias("pos_doc_id"), F.col("o.doc_id").alias("neg_doc_id"))
 
 
+def triples_of(queries: DataFrame, n: int = 1) -> DataFrame:
+    """``triples`` of whole queries as arrays: ``query_id``, and ``e``, its events in their
+    order with ``doc_id, event_type, query_text``. No join, as nothing lies elsewhere."""
+    clicked = lambda x: x["event_type"] == "click"
+    places = F.filter(F.sequence(F.lit(0), F.size("e") - 1), lambda i: clicked(F.get("e", i)))
+    above = lambda i: F.filter(F.slice("e", F.lit(1), i), lambda x: ~clicked(x))
+    pairs = F.transform(places, lambda i: F.transform(above(i), lambda x: F.struct(F.get("e", i)["query_text"].alias("query_text"), F.get("e", i)["doc_id"].alias("pos_doc_id"), x["doc_id"].alias("neg_doc_id"))))
+    enough = queries.filter((F.size("e") > 0) & (F.size(F.filter("e", clicked)) >= n))
+    return enough.select("query_id", F.explode(F.flatten(pairs)).alias("p")).select("query_id", "p.*")
+
+
 def training_pairs(mined: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """``query_text, doc_id, label``: a positive and a negative row per triple,
     with the document's text where ``documents`` (doc_id, text) are given."""

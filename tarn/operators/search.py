@@ -6,7 +6,6 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from tarn.operators import bm25, fuse, stores
 from tarn.operators.chunk import chunk_documents
 from tarn.operators.feedback import validated
 from tarn.operators.index import BACKENDS, DenseIndex, FlatIndex, build_index, load_index
-from tarn.runtime import materialise
+from tarn.runtime import delete, last_written, materialise, release, written
 
 
 @dataclass(frozen=True)
@@ -52,39 +51,48 @@ def valid(rows: DataFrame, column: str, least: int, most: int | None, what: str)
     return rows.filter(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(told)).cast("boolean")))
 
 
-def search(vectors: DataFrame | DenseIndex | None, index: bm25.Bm25Index | None, queries: DataFrame, *, k: int = 10, strategy: str = "hybrid", rerank: bool = True, documents: DataFrame | None = None, reranker=None, dim: int = 64) -> DataFrame:
+def search(vectors: DataFrame | DenseIndex | None, index: bm25.Bm25Index | None, queries: DataFrame, *, k: int = 10, strategy: str = "hybrid", rerank: bool = True, documents: DataFrame | None = None, reranker=None, dim: int = 64, timings: dict | None = None) -> DataFrame:
     """``query_id, rank, doc_id, score`` for a batch of queries (query_id, text).
 
     With ``rerank`` each retriever gives ``max(5k, 50)`` candidates, also where
     there is no reranker; the lists are fused where both have hits, else the one
     with hits passes on raw; then the reranker, if any, or the order so far cuts
-    to ``k``. A strategy without its index has no hits.
+    to ``k``. A strategy without its index has no hits. ``timings`` gets the milliseconds
+    of each stage that ran (``dense``, ``sparse``, ``fuse``, ``rerank``); each is then
+    written when it is done.
     """
+
+    def stage(name: str, df: DataFrame, write: bool = False) -> DataFrame:
+        if timings is None:
+            return materialise(df, f"{name}-hits") if write else df
+        began = time.perf_counter()
+        df = materialise(df, f"{name}-hits")
+        timings[name] = 1000 * (time.perf_counter() - began)
+        return df
+
     if vectors is None and index is None:
         raise RuntimeError("no index is loaded")
     fuse.checked_options(k, strategy)
     fetch = fuse.fetch_size(k, rerank)
     empty = queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    by_vector = search_dense(vectors, queries, fetch, dim) if vectors is not None and strategy != "sparse" else empty
-    by_term = bm25.search(index, queries, fetch) if index is not None and strategy != "dense" else empty
-    if strategy == "hybrid":
-        # Fusing reads each list several times: a list is a few rows per query.
-        hits = fuse.hybrid(materialise(by_vector, "dense-hits"), materialise(by_term, "sparse-hits"), fetch)
+    both = strategy == "hybrid"  # fusing reads each list several times: a list is a few rows per query
+    by_vector = stage("dense", search_dense(vectors, queries, fetch, dim), both) if vectors is not None and strategy != "sparse" else empty
+    by_term = stage("sparse", bm25.search(index, queries, fetch), both) if index is not None and strategy != "dense" else empty
+    if both:
+        hits = stage("fuse", fuse.hybrid(by_vector, by_term, fetch))
     else:
         hits = by_vector if strategy == "dense" else by_term
     if rerank and reranker is not None and documents is not None:
-        return fuse.rerank(hits, queries, documents, top=k, scorer=reranker)
+        return stage("rerank", fuse.rerank(hits, queries, documents, top=k, scorer=reranker))
     return hits.filter(F.col("rank") < k)
 
 
 @dataclass(frozen=True)
 class Answered:
-    """Texts that were searched with some options, and their hits, for as long as they count."""
+    """What was found with some options: a row for each text and hit, and one without a hit for each text."""
 
-    expires: float
-    options: tuple
-    texts: DataFrame  # text_key
-    hits: DataFrame  # text_key, rank, doc_id, score
+    hits: DataFrame  # text_key, expires, rank, doc_id, score
+    path: str
 
 
 @dataclass
@@ -96,7 +104,7 @@ class Engine:
     vectors: DenseIndex | None = None
     terms: bm25.Bm25Index | None = None
     reranker: object = None
-    _cache: list[Answered] = field(default_factory=list)
+    _cache: dict[tuple, Answered] = field(default_factory=dict)
 
     @classmethod
     def build(cls, documents: DataFrame, settings: Settings = Settings(), **parts) -> Engine:
@@ -111,34 +119,45 @@ class Engine:
         Queries have 1 to 1,024 characters. Hits are kept by normalised text and
         options for ``cache_ttl`` seconds: a text that was asked before, under
         whatever id, is answered from there (``cached`` tells which), and the others
-        are searched once each. ``cache_hit`` is true if nothing was searched.
+        are searched once each. ``cache_hit`` is true if nothing was searched. There is
+        one table of kept answers for each set of options: each search that finds
+        something new writes it anew without what has run out, and deletes the one
+        before and its own intermediates. ``timings_ms`` has the stages that ran, and ``total``.
         """
         fuse.checked_options(k, strategy)
         began = time.perf_counter()
-        now, options = time.time(), (k, strategy, rerank)
-        self._cache = [a for a in self._cache if now < a.expires]
-        kept = [a for a in self._cache if a.options == options]
+        spark, since = queries.sparkSession, written()
+        now, options, timings = time.time(), (k, strategy, rerank), {}
         asked = valid(queries.select("query_id", "text"), "text", 1, 1024, "a query")
         asked = materialise(asked.withColumn("text_key", normalize_query("text")), "asked")
-        known = reduce(DataFrame.unionByName, (a.texts for a in kept)) if kept else asked.select("text_key").limit(0)
+        before = self._cache.get(options)
+        none = spark.createDataFrame([], "text_key string, expires double, rank int, doc_id long, score double")
+        kept = before.hits.filter(F.col("expires") > now) if before else none
+        known = materialise(kept.select("text_key").distinct().join(asked, "text_key", "left_semi"), "known")
         new = asked.join(known, "text_key", "left_anti").groupBy("text_key").agg(F.min_by("text", "query_id").alias("text"), F.min("query_id").alias("query_id"))
         new = materialise(new, "new-texts")
         searched = new.count()
         if searched:
-            found = search(self.vectors, self.terms, new.select("query_id", "text"), k=k, strategy=strategy, rerank=rerank, documents=self.documents, reranker=self.reranker, dim=self.settings.dim)
-            found = materialise(found.join(new.select("query_id", "text_key"), "query_id").select("text_key", "rank", "doc_id", "score"), "hits")
-            kept = [*kept, Answered(now + self.settings.cache_ttl, options, new.select("text_key"), found)]
-            if self.settings.cache_ttl:
-                self._cache.append(kept[-1])
-        elif not kept:
-            kept = [Answered(now, options, known, asked.select("text_key", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0))]
-        hits = asked.join(reduce(DataFrame.unionByName, (a.hits for a in kept)), "text_key")
+            found = search(self.vectors, self.terms, new.select("query_id", "text"), k=k, strategy=strategy, rerank=rerank, documents=self.documents, reranker=self.reranker, dim=self.settings.dim, timings=timings)
+            found = new.select("query_id", "text_key").join(found, "query_id", "left").withColumn("expires", F.lit(now + self.settings.cache_ttl))
+            kept = materialise(kept.unionByName(found.select("text_key", "expires", "rank", "doc_id", "score")), "answers")
+            answers = last_written()
+        hits = asked.join(kept.filter("doc_id is not null"), "text_key").select("query_id", "rank", "doc_id", "score")
+        flags = asked.join(known.withColumn("cache_hit", F.lit(True)), "text_key", "left").select("query_id", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), classify_intent(F.col("text_key")).alias("intent"))
+        # What the result reads is of this search alone, and written last.
+        hits, flags = materialise(hits, "hits"), materialise(flags, "asked-flags")
+        stays = searched and self.settings.cache_ttl
+        release(spark, since, keep=2, but=answers if stays else "")
+        if stays:
+            self._cache[options] = Answered(kept, answers)
+            if before:
+                delete(spark, before.path)
         return {
             "search_id": str(uuid.uuid4()),
-            "hits": hits.select("query_id", "rank", "doc_id", "score"),
-            "intents": asked.select("query_id", classify_intent(F.col("text_key")).alias("intent")),
-            "cached": asked.join(known.withColumn("cache_hit", F.lit(True)), "text_key", "left").select("query_id", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit")),
-            "timings_ms": {"search": 1000 * (time.perf_counter() - began)},
+            "hits": hits,
+            "intents": flags.select("query_id", "intent"),
+            "cached": flags.select("query_id", "cache_hit"),
+            "timings_ms": timings | {"total": 1000 * (time.perf_counter() - began)},
             "cache_hit": not searched,
         }
 
@@ -151,7 +170,7 @@ class Engine:
         if mode not in ("append", "replace"):
             raise ValueError("mode must be append or replace")
         documents = materialise(valid(valid(documents.select("doc_id", "text"), "doc_id", 1, 256, "an id"), "text", 1, None, "a text"), "arrived")
-        new = stored_chunks(documents, self.settings)
+        new = materialise(stored_chunks(documents, self.settings).dropDuplicates(["doc_id"]), "new-chunks")
         old = self.documents
         if mode == "replace":
             old = old.join(documents.select(F.col("doc_id").alias("parent")), "parent", "left_anti").select(*self.documents.columns)
@@ -161,7 +180,8 @@ class Engine:
             vectors = build_index(self.settings.backend, encode(stored, "doc_id", dim=self.settings.dim))
         else:
             vectors = self.vectors.add(encode(new.join(self.documents, "doc_id", "left_anti"), "doc_id", dim=self.settings.dim))
-        return replace(self, documents=stored, vectors=vectors, terms=bm25.build(stored), _cache=[])
+        gone = self.documents.join(stored.select("doc_id"), "doc_id", "left_anti").select("doc_id") if mode == "replace" else None
+        return replace(self, documents=stored, vectors=vectors, terms=bm25.grow(self.terms, new, gone=gone), _cache={})
 
     def feedback(self, events: DataFrame, path: str) -> int:
         """Appends valid events to the table at ``path``; their number."""

@@ -250,9 +250,16 @@ def bm25_corpus_stats(spark, d):
     return rounded(bm25.corpus_statistics(bm25.build(documents(spark, d))), "avgdl", "mean_idf")
 
 
+def term_digests(terms):
+    """All terms with their statistics, by 256 buckets of their hash: numbers, and a digest over every row in the order of terms."""
+    line = F.concat_ws(":", "term", F.col("df").cast("string"), F.round(F.col("idf") * 1_000_000).cast("long").cast("string"))
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("term", line.alias("line")))), lambda x: x["line"]), ",")
+    return terms.groupBy(F.substring(F.md5("term"), 1, 2).alias("bucket")).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.md5(told).alias("digest"))
+
+
 @query
 def bm25_term_stats(spark, d):
-    return rounded(bm25.build(documents(spark, d)).terms.select("term", "df", "idf"), "idf")
+    return term_digests(bm25.build(documents(spark, d)).terms)
 
 
 def sparse_list(spark, d, k):
@@ -539,11 +546,11 @@ def stream_ingest(spark, d):
 
 @query
 def stream_index(spark, d):
-    """Postings of a live index fed by a stream of documents."""
+    """Term statistics of a live index fed by a stream of documents."""
     path = scratch(spark, "live")
     ingest.index_stream(stream_of(spark, d, "documents").select("doc_id", "text"), path, scratch(spark, "stream-state")).awaitTermination()
     _, _, made = ingest.live_index(spark, path)
-    return rounded(made.terms.select("term", "df", "idf"), "idf")
+    return term_digests(made.terms)
 
 
 @query
@@ -552,3 +559,16 @@ def stream_feedback(spark, d):
     rows = stream_of(spark, d, "events").select("event_id", F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("doc_id"), "event_type", "value")
     ingest.feedback_stream(rows, out, scratch(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query
+def stream_triples(spark, d):
+    """Triples of complete queries out of a stream of events. A last event, a month on, tells that all before it are complete."""
+    state, beat = scratch(spark, "stream-state"), scratch(spark, "heartbeat")
+    raw = table(spark, d, "events")
+    far = raw.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(None).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"))
+    far.write.parquet(beat)
+    arriving = stream_of(spark, d, "events").select(*far.columns).unionByName(spark.readStream.schema(far.schema).parquet(beat))
+    out = scratch(spark, "stream-triples")
+    ingest.triple_stream(feedback.from_events(arriving).withColumn("ts", F.timestamp_micros("at")), out, state).awaitTermination()
+    return spark.read.schema("query_id string, query_text string, pos_doc_id string, neg_doc_id string").parquet(out)

@@ -182,7 +182,9 @@ ORACLES["bm25_doc_lengths"] = f"WITH {DOC_TOKENS} SELECT doc_id, len(t)::BIGINT
 ORACLES["bm25_corpus_stats"] = f"""WITH {BM25}
 SELECT (SELECT count(*) FROM dl) AS n_docs, (SELECT sum(dl)::BIGINT FROM dl) AS n_tokens, (SELECT count(*) FROM idf) AS n_terms,
        (SELECT round(avg(dl), 6) FROM dl) AS avgdl, (SELECT round(avg(raw_idf), 6) FROM idf) AS mean_idf"""
-ORACLES["bm25_term_stats"] = f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf"
+_TERMS = """SELECT substr(md5(term), 1, 2) AS bucket, count(*) AS n_terms, sum(df)::BIGINT AS n_postings,
+       md5(string_agg(term || ':' || df || ':' || round(idf * 1000000)::BIGINT, ',' ORDER BY term)) AS digest FROM idf GROUP BY 1"""
+ORACLES["bm25_term_stats"] = f"WITH {BM25} {_TERMS}"
 _TOP = "SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, {}) AS score FROM {} WHERE rank < {}"
 ORACLES["bm25_topk"] = ORACLES["bm25_blockmax"] = ORACLES["search_sparse"] = f"WITH {SPARSE} " + _TOP.format(6, "sparse", 10)
 ORACLES["search_dense"] = ORACLES["search_fallback"] = f"WITH {DOC_TOKENS}, {QUERY_TOKENS}, {DENSE} " + _TOP.format(6, "dense", 10)
@@ -281,7 +283,7 @@ ORACLES["feedback_groups"] = f"""WITH {_EVENTS}
 SELECT query_id, count(*) AS n, string_agg(rank || ':' || doc_id || ':' || event_type, ',' ORDER BY rank) AS events FROM fb GROUP BY 1"""
 ORACLES["feedback_event_counts"] = f"WITH {_EVENTS} SELECT event_type, count(*) AS n FROM fb GROUP BY 1"
 ORACLES["feedback_min_clicks"] = f"WITH {_EVENTS} SELECT query_id, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM fb GROUP BY 1 HAVING clicks >= 2"
-ORACLES["feedback_triples"] = f"WITH {_TRIPLES} SELECT * FROM triples"
+ORACLES["feedback_triples"] = ORACLES["stream_triples"] = f"WITH {_TRIPLES} SELECT * FROM triples"
 ORACLES["training_pairs"] = f"""WITH {_TRIPLES}
 SELECT query_text, pos_doc_id AS doc_id, 1.0::DOUBLE AS label FROM triples UNION ALL SELECT query_text, neg_doc_id, 0.0::DOUBLE FROM triples"""
 ORACLES["pairwise_mrr"] = f"""WITH {_TRIPLES}
@@ -291,5 +293,4 @@ SELECT query_id, pos_doc_id, neg_doc_id, CASE WHEN r <= greatest(1, floor(n * 0.
   SELECT *, row_number() OVER (ORDER BY md5('42|' || query_id || '|' || pos_doc_id || '|' || neg_doc_id)) AS r, count(*) OVER () AS n FROM triples)"""
 ORACLES["stream_feedback"] = "SELECT event_id, 'doc_' || json_extract_string(props, '$.k') AS doc_id, event_type, value FROM events"
 _CHUNKED = chunked(512, 32, "doc_id || '::' || (i - 1) AS doc_id, text").strip().removeprefix("WITH")
-ORACLES["stream_index"] = f"""WITH chunk AS (WITH {_CHUNKED}), {BM25.replace("FROM documents", "FROM chunk")}
-SELECT term, df, round(idf, 6) AS idf FROM idf"""
+ORACLES["stream_index"] = f"""WITH chunk AS (WITH {_CHUNKED}), {BM25.replace("FROM documents", "FROM chunk")} {_TERMS}"""

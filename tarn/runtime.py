@@ -104,19 +104,26 @@ def written() -> int:
     return len(_written())
 
 
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+def last_written() -> str:
+    """The path of the intermediate that this thread wrote last."""
+    return _written()[-1]
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes an intermediate, wherever it lies."""
+    if path in _written():
+        _written().remove(path)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0, but: str = "") -> int:
     """Deletes the intermediates that this thread has written after the first
-    ``since``, but for the last ``keep``, once results that read them are stored.
-    Returns their number."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    ``since``, but for the last ``keep`` and the one at ``but``, once results that read
+    them are stored. Returns their number."""
     paths = _written()
-    gone = paths[since : len(paths) - keep]
-    del paths[since : len(paths) - keep]
-    done = 0
-    for name in gone:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        done += bool(path.getFileSystem(conf).delete(path, True))
-    return done
+    gone = [p for p in paths[since : len(paths) - keep] if p != but]
+    return sum(delete(spark, p) for p in gone)
 
 
 def settle(df: DataFrame, label: str, since: int) -> DataFrame:

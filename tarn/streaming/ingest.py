@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarn.functions.text import tokenize
-from tarn.operators import bm25
+from tarn.operators import bm25, feedback
 from tarn.operators.chunk import chunk_documents
 from tarn.operators.search import encode
 from tarn.runtime import materialise
@@ -67,10 +67,26 @@ def live_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bm
 
 
 def feedback_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Arriving feedback events, appended as Parquet. Triples need whole queries, and stay a batch query."""
+    """Arriving feedback events, appended as Parquet."""
     return events.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def triple_stream(events: DataFrame, out: str, checkpoint: str, *, gap: str = "24 hours", late: str = "1 hour", n: int = 1) -> StreamingQuery:
+    """Triples of arriving events (query_id, query_text, doc_id, event_type, at, event_id, ts), appended as Parquet.
+
+    A query is complete when ``gap`` has passed after its last event by the events' own
+    time: its events are a session, kept in the state store until the watermark,
+    ``late`` behind the latest event seen, has passed its end. Then its triples, those of
+    ``feedback.triples`` with at least ``n`` clicks, go out once and its state goes. An
+    event that comes later than that, behind the watermark, is dropped; one that comes
+    late but before it takes its place in the order of time. A query that goes on after
+    a longer pause is a query of its own. Events that arrive twice count twice.
+    """
+    item = F.struct("at", "event_id", "doc_id", "event_type", "query_text")
+    sessions = events.withWatermark("ts", late).groupBy("query_id", F.session_window("ts", gap)).agg(F.sort_array(F.collect_list(item)).alias("e"))
+    return feedback.triples_of(sessions, n).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def running_counts(events: DataFrame, ts_col: str, label: str, *, window: str = "5 seconds", late: str = "1 minute") -> DataFrame:
     """Events by label in tumbling windows; windows close ``late`` after their end."""
     return (
