@@ -201,7 +201,7 @@ def ivf_saved(spark, d):
 @query
 def hnsw_recall(spark, d):
     v, q = vectors(spark, d), vector_queries(spark, d)
-    found = dense.hnsw_search(dense.hnsw_build(v), q, K)
+    found = materialise(index.build_index("hnsw", v).search(q, K), "hits")
     exact = dense.flat_search(q, v, K).select("query_id", "doc_id")
     return evaluate.recall_at_k(found, exact, K)
 
@@ -316,7 +316,7 @@ def search_hnsw(spark, d):
     """Recall of the dense strategy over an HNSW index of all documents, by query, against the flat one."""
     docs = documents(spark, d)
     made = index.build_index("hnsw", search.encode(docs, "doc_id"))
-    return evaluate.recall_at_k(search.search_dense(made, asked(spark, d), K), search.search_dense(search.encode(docs, "doc_id"), asked(spark, d), K), K)
+    return evaluate.recall_at_k(materialise(search.search_dense(made, asked(spark, d), K), "hits"), search.search_dense(search.encode(docs, "doc_id"), asked(spark, d), K), K)
 
 
 @query
@@ -435,6 +435,12 @@ def latency_percentiles(spark, d):
     return rounded(evaluate.latency_percentiles(table(spark, d, "events"), "value"), "p50", "p90", "p95", "p99", "mean")
 
 
+@query
+def latency_by_type(spark, d):
+    """Percentiles by event type, in buffers of a hundred values at most."""
+    return rounded(evaluate.percentiles(table(spark, d, "events"), "value", labels=("event_type",), hold=100), "value")
+
+
 @query
 def metrics_histogram(spark, d):
     seconds = table(spark, d, "events").select("event_type", (F.col("value") / 1000).alias("s"))

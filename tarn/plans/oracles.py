@@ -242,6 +242,9 @@ ORACLES["benchmark_pseudo"] = f"WITH {_PSEUDO} SELECT round(avg(recall), 6) AS r
 ORACLES["latency_percentiles"] = """
 SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95,
        round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, count(value) AS n FROM events"""
+ORACLES["latency_by_type"] = """
+WITH q AS (SELECT event_type, quantile_cont(value, [0.5, 0.9, 0.95, 0.99]) AS q, count(value) AS n FROM events GROUP BY 1)
+SELECT event_type, [0.5, 0.9, 0.95, 0.99][i]::DOUBLE AS p, round(q[i], 6) AS value, n FROM (SELECT *, unnest([1, 2, 3, 4]) AS i FROM q)"""
 ORACLES["metrics_histogram"] = """
 WITH b AS (SELECT * FROM (VALUES ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.5', 2.5), ('5.0', 5.0), ('+Inf', NULL)) t(le, bound))
 SELECT event_type, le, count(*) FILTER (WHERE bound IS NULL OR value / 1000 <= bound::DOUBLE) AS cumulative, count(*) AS total, round(sum(value / 1000), 6) AS sum

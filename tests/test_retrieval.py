@@ -332,3 +332,18 @@ def test_stores(spark):
     cache = spark.createDataFrame([("x", [1.0], 1), ("y", [1.0, 2.0], 2)], "key string, vec array<float>, dim int")
     got = stores.embedding_lookup(spark.createDataFrame([("x",), ("y",), ("y",)], "key string"), cache, 2).collect()
     assert sorted(map(tuple, got)) == [("x", False), ("y", True)]
+
+
+@pytest.mark.parametrize("hold", [100, 65_536])
+def test_percentiles_in_bounded_buffers(spark, hold):
+    r = np.random.default_rng(6)
+    groups = {"a": r.normal(size=1500).tolist(), "b": [1.0] * 990 + [2.0] * 30, "c": [5.0], None: r.integers(0, 4, 500).astype(float).tolist(), "d": [-1e300, 0.0, 1e300]}
+    rows = [(k, x) for k, v in groups.items() for x in v] + [("a", None), ("a", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "kind string, v double").repartition(3)
+    got = {(x.kind, x.p): (x.value, x.n) for x in evaluate.percentiles(df, "v", labels=("kind",), points=(0.0, 0.5, 0.99, 1.0), hold=hold).collect()}
+    assert len(got) == 4 * len(groups)
+    for (kind, p), (value, n) in got.items():
+        assert n == len(groups[kind]) and value == pytest.approx(np.percentile(groups[kind], 100 * p), rel=1e-12, abs=1e-12)
+    one = evaluate.percentiles(df.filter("kind = 'a'"), "v", points=(0.5,), hold=hold).collect()
+    assert len(one) == 1 and one[0].value == pytest.approx(np.median(groups["a"]))
+    assert evaluate.percentiles(df.limit(0), "v", labels=("kind",), hold=hold).count() == 0
