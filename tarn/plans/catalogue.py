@@ -18,7 +18,7 @@ from tarn.operators.chunk import chunk_documents, hard_split
 from tarn.plans.oracles import ORACLES  # noqa: F401
 from tarn.runtime import materialise, shared_dir, spread, table, written
 from tarn.sources import files
-from tarn.streaming import ingest
+from tarn.streaming import expiry, ingest, observed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = 10
@@ -578,3 +578,32 @@ def stream_triples(spark, d):
     out = scratch(spark, "stream-triples")
     ingest.triple_stream(feedback.from_events(arriving).withColumn("ts", F.timestamp_micros("at")), out, state).awaitTermination()
     return spark.read.schema("query_id string, query_text string, pos_doc_id string, neg_doc_id string").parquet(out)
+
+
+@query
+def stream_cache_ttl(spark, d):
+    """A cache with a time to live as the state of a stream: what has run out by noon of 15 January, and what is alive then.
+
+    An entry is a user's answer of a kind, put by each event up to then; a last put, at noon, tells the time.
+    """
+    keys, noon, beat = ["user_id", "event_type"], F.lit("2024-01-15 12:00:00").cast("timestamp"), scratch(spark, "clock")
+    table(spark, d, "events").agg(F.count("*")).select(F.lit(None).cast("long").alias("user_id"), F.lit("clock").alias("event_type"), noon.alias("ts"), F.lit(-1).cast("long").alias("value")).write.parquet(beat)
+    clock = spark.read.parquet(beat)
+    puts = stream_of(spark, d, "events").select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("value")).filter(F.col("ts") <= noon)
+    out, state = scratch(spark, "expired"), scratch(spark, "stream-state")
+    expiry.entry_stream(puts.unionByName(spark.readStream.schema(clock.schema).parquet(beat)), keys, out, state).awaitTermination()
+    alive = expiry.live_entries(spark, state, keys)
+    gone = spark.read.schema(alive.schema).parquet(out)
+    entries = gone.withColumn("alive", F.lit(False)).unionByName(alive.withColumn("alive", F.lit(True))).filter("NOT event_type <=> 'clock'")
+    micros = lambda c: F.unix_micros(c).alias(c)
+    return entries.select(*keys, "value", micros("first_put"), micros("last_put"), micros("runs_out"), "n_puts", "alive")
+
+
+@query
+def stream_metrics(spark, d):
+    """Sizes of the chunks that a stream of documents gives, as the stream itself has observed them."""
+    told = scratch(spark, "observed")
+    docs = stream_of(spark, d, "documents").select("doc_id", "text")
+    start = lambda: ingest.chunk_stream(docs, scratch(spark, "stream-chunks"), scratch(spark, "stream-state"), observe="tarn_chunks")
+    observed.reported(start, spark, "tarn_chunks", told, ingest.CHUNK_BUCKETS)
+    return observed.totals(spark, told, ingest.CHUNK_BUCKETS, "chunks")

@@ -297,3 +297,15 @@ SELECT query_id, pos_doc_id, neg_doc_id, CASE WHEN r <= greatest(1, floor(n * 0.
 ORACLES["stream_feedback"] = "SELECT event_id, 'doc_' || json_extract_string(props, '$.k') AS doc_id, event_type, value FROM events"
 _CHUNKED = chunked(512, 32, "doc_id || '::' || (i - 1) AS doc_id, text").strip().removeprefix("WITH")
 ORACLES["stream_index"] = f"""WITH chunk AS (WITH {_CHUNKED}), {BM25.replace("FROM documents", "FROM chunk")} {_TERMS}"""
+ORACLES["stream_cache_ttl"] = """
+WITH put AS (SELECT user_id, event_type, event_id, ts FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'),
+begun AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 3600 SECOND, true) AS fresh FROM put WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+numbered AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS entry FROM begun)
+SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS value, epoch_us(min(ts)) AS first_put, epoch_us(max(ts)) AS last_put, epoch_us(max(ts)) + 3600000000 AS runs_out,
+       count(*) AS n_puts, max(ts) + INTERVAL 3600 SECOND > TIMESTAMP '2024-01-15 12:00:00' AS alive
+FROM numbered GROUP BY user_id, event_type, entry"""
+ORACLES["stream_metrics"] = f"""
+WITH chunk AS (WITH {chunked(512, 32, "greatest(1, floor(length(text) / 4))::BIGINT AS n").strip().removeprefix("WITH")}),
+b AS (SELECT le, CASE WHEN le <> '+Inf' THEN le::BIGINT END AS bound FROM (SELECT unnest(['32', '64', '128', '256', '512', '+Inf']) AS le))
+SELECT 'chunks' AS stream, le, count(n) FILTER (WHERE bound IS NULL OR n <= bound) AS cumulative, count(n) AS total, coalesce(sum(n), 0)::DOUBLE AS sum
+FROM b LEFT JOIN chunk ON true GROUP BY le"""

@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tarn.functions.text import tokenize
+from tarn.functions.text import approx_tokens, tokenize
 from tarn.operators import bm25, feedback
 from tarn.operators.chunk import chunk_documents
 from tarn.operators.search import encode
 from tarn.runtime import materialise
+from tarn.streaming.observed import observed
 
 
-def chunk_stream(documents: DataFrame, out: str, checkpoint: str, *, max_tokens: int = 512, overlap_tokens: int = 32) -> StreamingQuery:
-    """Chunks of arriving documents, appended as Parquet; stateless, exactly once."""
+#: Bounds of chunk sizes in tokens.
+CHUNK_BUCKETS = (32, 64, 128, 256, 512)
+
+
+def chunk_stream(documents: DataFrame, out: str, checkpoint: str, *, max_tokens: int = 512, overlap_tokens: int = 32, observe: str = "") -> StreamingQuery:
+    """Chunks of arriving documents, appended as Parquet; stateless, exactly once. Their
+    number and sizes are observed under the name ``observe``, if it is given."""
     chunked = chunk_documents(documents, max_tokens, overlap_tokens)
+    if observe:
+        chunked = observed(chunked, observe, approx_tokens(F.col("text")), CHUNK_BUCKETS)
     return chunked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
