@@ -10,10 +10,15 @@ are DataFrame and SQL expressions; the trained trees run as one expression per r
 Suffix statistics are the share of blocked URLs among the labelled ones of a host's
 last label, of a first path segment, and of both together. They are counted over
 all labelled URLs, in two halves by hash: a URL that is learnt from sees the shares
-of the other half, so that its own verdict is no part of them.
+of the other half, so that its own verdict is no part of them. A share is smoothed by
+one URL of each verdict, so a key without labelled URLs has one half.
 
 The trees are fitted on at most ``sample_rows`` labelled URLs, those with the
-smallest hash.
+smallest hash. Only these are joined with the statistics; the URL alone chooses them.
+
+The labels are verdicts of rules on host and path, so some features hand the rules
+over: ``f_suffix`` the host's part of a rule, ``f_segment``, ``f_both``, ``f_first``
+and ``f_lead`` the path's. ``quality`` can leave features out to tell what others know.
 """
 
 from __future__ import annotations
@@ -110,11 +115,12 @@ def with_features(df: DataFrame, url: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Learned:
-    """Statistics by key, and the trees; without trees, one probability for all."""
+    """Statistics by key, and the trees with the features they take; without trees, one probability for all."""
 
     statistics: dict[str, DataFrame]
     model: object
     constant: float
+    features: tuple[str, ...] = tuple(FEATURES)
 
 
 def _half() -> Column:
@@ -135,32 +141,38 @@ def with_statistics(featured: DataFrame, statistics: dict[str, DataFrame], own_h
     return featured
 
 
-def learn(labelled: DataFrame, *, sample_rows: int, trees: int, depth: int, seed: int) -> Learned:
-    """Statistics and trees of featured URLs with a ``rule_verdict``."""
+def learn(labelled: DataFrame, *, sample_rows: int, trees: int, depth: int, seed: int, features: tuple[str, ...] = tuple(FEATURES)) -> Learned:
+    """Statistics and trees of URLs with ``host``, ``path`` and ``rule_verdict``."""
+    keyed = with_features(labelled, F.col("url"))
     statistics = {}
     for name, keys in KEYS.items():
         counts = [F.count_if(_half() == h).alias(f"n{h}") for h in (0, 1)] + [F.sum(F.when(_half() == h, _label()).otherwise(0.0)).alias(f"b{h}") for h in (0, 1)]
-        statistics[name] = materialise(labelled.groupBy(*keys).agg(*counts), "url-" + name)
+        statistics[name] = materialise(keyed.groupBy(*keys).agg(*counts), "url-" + name)
     total = statistics["f_suffix"].agg(F.coalesce(F.sum(F.col("n0") + F.col("n1")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("b0") + F.col("b1")), F.lit(0.0)).alias("b")).first()
     if total.b in (0, total.n):
-        return Learned(statistics, None, float(total.b > 0))
-    examples = with_statistics(labelled, statistics, own_half=True).select("url", *FEATURES, _label().alias("label"))
-    sample = materialise(examples.orderBy(F.xxhash64("url"), "url").limit(sample_rows), "url-sample")
-    if sample.select("label").distinct().count() < 2:
+        return Learned(statistics, None, float(total.b > 0), features)
+
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        return rows.select("url", "host", "path", "rule_verdict").orderBy(F.xxhash64("url"), "url").limit(n)
+
+    chosen = materialise(first(labelled, sample_rows), "url-chosen")
+    if chosen.select("rule_verdict").distinct().count() < 2:
         # A bounded sample without one of the verdicts: take as many of each.
-        halves = [examples.filter(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(sample_rows // 2) for v in (0.0, 1.0)]
-        sample = materialise(reduce(DataFrame.unionByName, halves), "url-sample")
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        halves = [first(labelled.filter(_label() == v), sample_rows // 2) for v in (0.0, 1.0)]
+        chosen = materialise(reduce(DataFrame.unionByName, halves), "url-chosen")
+    examples = with_statistics(with_features(chosen, F.col("url")), statistics, own_half=True)
+    sample = materialise(examples.select(*features, _label().alias("label")).coalesce(1), "url-sample")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", maxBins=32).fit(assembler.transform(sample).select("features", "label"))
-    return Learned(statistics, fitted, 0.0)
+    return Learned(statistics, fitted, 0.0, features)
 
 
-def scored(featured: DataFrame, learned: Learned) -> DataFrame:
-    """Adds ``p_block`` to featured URLs that were not learnt from."""
+def scored(ruled: DataFrame, learned: Learned) -> DataFrame:
+    """Adds ``p_block`` to URLs with ``host`` and ``path`` that were not learnt from."""
     if learned.model is None:
-        return featured.withColumn("p_block", F.lit(learned.constant))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    complete = assembler.transform(with_statistics(featured, learned.statistics, own_half=False))
+        return ruled.withColumn("p_block", F.lit(learned.constant))
+    assembler = VectorAssembler(inputCols=list(learned.features), outputCol="features")
+    complete = assembler.transform(with_statistics(with_features(ruled, F.col("url")), learned.statistics, own_half=False))
     return learned.model.transform(complete).withColumn("p_block", vector_to_array("probability")[1])
 
 
@@ -178,26 +190,25 @@ def judge(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     ruled = with_rule(with_parts(rows, F.col("url")), rules)
-    featured = with_features(ruled, F.col("url"))
-    learned = learn(featured.filter("rule is not null"), sample_rows=sample_rows, trees=trees, depth=depth, seed=seed)
+    learned = learn(ruled.filter("rule is not null"), sample_rows=sample_rows, trees=trees, depth=depth, seed=seed)
     out = ["page_id", "host", "path", "rule"]
-    judged = scored(featured.filter("rule is null"), learned).select(*out, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow").alias("verdict"), "p_block")
+    judged = scored(ruled.filter("rule is null"), learned).select(*out, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow").alias("verdict"), "p_block")
     decided = ruled.filter("rule is not null").select(*out, F.col("rule_verdict").alias("verdict"), F.lit(None).cast("double").alias("p_block"))
     return decided.unionByName(judged)
 
 
-def quality(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int = 8, depth: int = 4, seed: int = 11, id_col: str = "page_id", url_col: str = "url") -> dict[str, float]:
+def quality(pages: DataFrame, *, rules=RULES, sample_rows: int = 4096, trees: int = 8, depth: int = 4, seed: int = 11, without: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url") -> dict[str, float]:
     """How well the trees tell the rules' verdicts of URLs that they haven't seen.
 
     Half of the distinct labelled URLs, by hash, are learnt from; the other half is
-    judged as if no rule fitted. ``accuracy``, that of the more frequent verdict
+    judged as if no rule fitted, by all features but those named in ``without``. ``accuracy``, that of the more frequent verdict
     alone (``constant``), the share of blocked URLs that are found
     (``block_recall``), and the number of URLs judged (``n``).
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).dropDuplicates(["url"])
-    labelled = with_features(with_rule(with_parts(rows, F.col("url")), rules), F.col("url")).filter("rule is not null")
+    labelled = with_rule(with_parts(rows, F.col("url")), rules).filter("rule is not null")
     part = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(2))
-    learned = learn(labelled.filter(part == 0), sample_rows=sample_rows, trees=trees, depth=depth, seed=seed)
+    learned = learn(labelled.filter(part == 0), sample_rows=sample_rows, trees=trees, depth=depth, seed=seed, features=tuple(f for f in FEATURES if f not in without))
     told = scored(labelled.filter(part == 1), learned).select((F.col("p_block") >= 0.5).alias("told"), (_label() == 1).alias("is"))
     row = told.agg(F.count("*").alias("n"), F.count_if(F.col("told") == F.col("is")).alias("right"), F.count_if("is").alias("blocks"), F.count_if(F.col("told") & F.col("is")).alias("found")).first()
     return {"n": row.n, "accuracy": row.right / max(row.n, 1), "constant": max(row.blocks, row.n - row.blocks) / max(row.n, 1), "block_recall": row.found / max(row.blocks, 1)}
