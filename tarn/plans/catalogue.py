@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as fn
-from tarn.operators import blockmax, bm25, dense, evaluate, feedback, fuse, index, search, stores
+from tarn.operators import blockmax, bm25, dense, encoder, evaluate, feedback, fuse, index, search, stores
 from tarn.operators.chunk import chunk_documents, hard_split
 from tarn.plans.oracles import ORACLES  # noqa: F401
 from tarn.runtime import materialise, shared_dir, spread, table, written
@@ -607,3 +607,21 @@ def stream_metrics(spark, d):
     start = lambda: ingest.chunk_stream(docs, scratch(spark, "stream-chunks"), scratch(spark, "stream-state"), observe="tarn_chunks")
     observed.reported(start, spark, "tarn_chunks", told, ingest.CHUNK_BUCKETS)
     return observed.totals(spark, told, ingest.CHUNK_BUCKETS, "chunks")
+
+
+@query
+def encoder_known_item(spark, d):
+    """Known-item search with the learnt and the hashing encoder: of each document whose id is divisible by 50
+    the sentence in the middle is asked; found is a document of the same text among the first ten of all."""
+    docs = materialise(documents(spark, d).filter("text IS NOT NULL"), "texts")
+    s = docs.filter("doc_id % 50 = 0").withColumn("s", fn.sentences(F.col("text"))).filter("size(s) > 0")
+    asked_ = s.select(F.col("doc_id").alias("query_id"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("q"), F.md5("text").alias("item"))
+    asked_, keys = materialise(asked_, "asked"), docs.select("doc_id", F.md5("text").alias("found"))
+    learnt = encoder.fit(docs)
+    ways = {"hashing": search.encode, "learnt": learnt.encode}
+    rows = []
+    for name, encode in ways.items():
+        hits = dense.flat_search(encode(asked_, "query_id", "q"), encode(docs, "doc_id"), K)
+        seen = hits.join(keys, "doc_id").join(asked_.select("query_id", F.col("item").alias("found")), ["query_id", "found"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
+        rows.append(asked_.select("query_id").join(seen, "query_id", "left").select(F.lit(name).alias("encoder"), "query_id", "rank"))
+    return rows[0].unionByName(rows[1])
