@@ -53,6 +53,11 @@ def test_bm25_counts_terms_without_a_shuffle(spark):
     assert "Exchange" not in plan(bm25.postings_of(docs(spark, CORPUS)))
 
 
+def test_postings_sort_the_tokens_of_a_text_once(spark):
+    """No filter on the counts is pushed to the texts, where it would sort a text anew for each of its tokens."""
+    assert bm25.postings_of(docs(spark, CORPUS))._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+
+
 def test_bm25_blank_query_and_single_document(spark):
     index = bm25.build(docs(spark, [(7, "Hello World")]))
     got = bm25.search(index, asked(spark, "   ", "hello"), 10).collect()
