@@ -3,6 +3,9 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
+from tarn.functions import text as fn
 from tarn.plans import catalogue
 
 
@@ -38,3 +41,9 @@ def test_skip_above_is_an_equi_join(spark, sf_dir):
 
 def test_small_tables_are_dealt_out(spark, sf_dir):
     assert catalogue.documents(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_term_statistics_have_a_row_for_each_term(spark, sf_dir):
+    got = catalogue.QUERIES["bm25_term_stats"](spark, sf_dir)
+    words = catalogue.documents(spark, sf_dir).select(F.explode(fn.tokenize(F.col("text"))).alias("term")).distinct()
+    assert got.columns == ["term", "df", "idf"] and got.count() == words.count()
