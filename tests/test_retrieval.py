@@ -58,6 +58,65 @@ def test_postings_sort_the_tokens_of_a_text_once(spark):
     assert bm25.postings_of(docs(spark, CORPUS))._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
 
 
+def test_bm25_search_shuffles_only_the_best(spark):
+    text = plan(bm25.search(bm25.build(docs(spark, CORPUS)), asked(spark, "the cat", "fox"), 2)).split("\n\n")[0]
+    assert "Join" not in text and text.count("Exchange") == 1 and "Exchange" not in text[text.index("MapInArrow") :]
+
+
+def test_bm25_without_rows_of_counts_and_with_odd_ids(spark):
+    """Postings alone, repeated and null ids, ids that are strings, several blocks: as the sums over postings."""
+    rows = [(i % 7 or None, f"w{i % 5} w{i % 3} the cat w{i}") for i in range(40)] + [(50, ""), (51, None)]
+    queries = query_terms = asked(spark, "w1 the", "w4 w4 cat w39", "nothing here", "", "w2")
+    repeated = bm25.build(docs(spark, rows))
+    assert repeated.counts is None
+    idf = {r.term: r.idf for r in repeated.terms.collect()}
+    avg = repeated.lengths.agg(F.avg("dl")).first()[0]
+    want = {}
+    for q in bm25.query_terms(query_terms).collect():
+        mine = want.setdefault(q.query_id, {d: 0.0 for d, _ in rows})
+        for p in repeated.postings.collect():
+            if p.term == q.term:
+                mine[p.doc_id] += q.qtf * idf[p.term] * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / avg))
+    best = {q: sorted(((-round(s, 9), d is not None, d) for d, s in w.items()))[:6] for q, w in want.items()}
+    got = lambda found: {q: [(-round(r.score, 9), r.doc_id is not None, r.doc_id) for r in rs] for q, rs in by_query(found).items()}
+    assert got(bm25.search(repeated, queries, 6)) == best
+    assert got(bm25.search_terms(repeated, bm25.query_terms(queries), 6, block_queries=2)) == best
+    named = bm25.build(docs(spark, CORPUS).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert [r.doc_id for r in bm25.search(named, asked(spark, "cat"), 2).orderBy("rank").collect()] == ["d0", "d1"]
+    assert bm25.search(named, asked(spark, ""), 2).count() == 0 and bm25.search(bm25.build(docs(spark, [])), asked(spark, "cat"), 2).count() == 0
+
+
+def by_query(found):
+    hits = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        hits.setdefault(r.query_id, []).append(r)
+    return hits
+
+
+def test_flat_search_encodes_once_for_all_blocks(spark):
+    queries, encoded = search.encode(asked(spark, *(f"w{i}" for i in range(9))), "query_id"), search.encode(docs(spark, CORPUS), "doc_id")
+    found = dense.flat_search(queries, encoded, 2, block_queries=2)
+    text = plan(found)
+    assert "EvalPython" not in text and text.count("MapInArrow") > 2
+    assert sorted(found.collect()) == sorted(dense.flat_search(queries, encoded, 2).collect())
+
+
+def test_flat_search_of_long_and_odd_vectors(spark):
+    """Single precision only chooses: scores are those of double precision, also where it tells nothing."""
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e6, 1e200):
+        rows = (scale * np.repeat(rng.normal(size=(60, 8)), 2, axis=0) * (1 + 1e-8 * rng.integers(0, 2, size=(120, 1)))).tolist()
+        v = spark.createDataFrame([*enumerate(rows), (200, [float("nan")] * 8)], "doc_id long, vector array<double>").coalesce(1)
+        q = spark.createDataFrame(list(enumerate(rows[:3])), "query_id long, vector array<double>")
+        got = by_query(dense.flat_search(q, v, 5))
+        exact = np.array(rows[:3]) @ np.array(rows).T
+        for i in range(3):
+            order = sorted((-float(np.round(s, 9)), d) for d, s in enumerate(exact[i]) if np.isfinite(s))[:5]
+            assert np.allclose([r.score for r in got.get(i, [])], [-s for s, _ in order], rtol=1e-12)
+            if scale == 1.0:
+                assert [r.doc_id for r in got[i]] == [d for _, d in order]
+
+
 def test_bm25_blank_query_and_single_document(spark):
     index = bm25.build(docs(spark, [(7, "Hello World")]))
     got = bm25.search(index, asked(spark, "   ", "hello"), 10).collect()
