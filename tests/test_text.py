@@ -3,8 +3,11 @@
 import hashlib
 import json
 import re
+import tracemalloc
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +147,33 @@ def test_hard_split(spark):
 def test_overlap_must_be_smaller(spark):
     with pytest.raises(ValueError):
         chunk_documents(spark.createDataFrame([("a", "b")], "doc_id string, text string"), 5, 5)
+
+
+def peak(run):
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most / 2**20
+
+
+def test_encoder_holds_no_string_for_each_token():
+    """Two million tokens in a batch; as strings of Python they would take more than 100 MB."""
+    words = pa.array([f"word{i}" for i in range(1000)])
+    flat = words.take(pa.array(np.arange(2_000_000) % 1000))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2_000_001, 1000), pa.int32()), flat)
+    (vectors,), most = peak(lambda: list(fn.hashing_batches(64)(iter([lists]))))
+    assert len(vectors) == 2000 and most < 40
+    want = np.bincount([int(hashlib.md5(f"word{i}".encode()).hexdigest()[:7], 16) % 64 for i in range(1000)], minlength=64)
+    assert np.allclose(vectors[1999].as_py(), want / np.linalg.norm(want))
+    odd = pa.array([["a", "a", "b"], [], None, ["b"]], pa.list_(pa.string()))
+    (found,) = fn.hashing_batches(64)(iter([odd]))
+    assert [round(sum(x * x for x in v), 9) for v in found.to_pylist()] == [1, 0, 0, 1]
+
+
+def test_html_is_read_a_page_at_a_time():
+    from tarn.functions.html import extract_html
+
+    pages = pa.array(["<script>" + "x" * 20_000 + "</script><p>kept</p>"] * 1000 + [None])
+    found, most = peak(lambda: extract_html.func(pages))
+    assert found.to_pylist() == ["kept"] * 1000 + [""] and most < 5
