@@ -33,6 +33,8 @@ def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, n
     queries = queries.filter("vector is not null")
     n = queries.count()
     blocks = max(1, -(-n // block))
+    if blocks > 1:
+        queries = materialise(queries, "query-vectors")  # what gives the vectors runs once
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = part.collect()
@@ -46,20 +48,29 @@ class Best:
     """The ``k`` best documents of each query so far. Scores are compared to nine
     digits; ties go to the smaller id."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, ids: type = np.int64):
         self.k = k
-        self.query, self.doc, self.score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        self.query, self.doc, self.score = np.empty(0, dtype=np.int64), np.empty(0, dtype=ids), np.empty(0)
         self.least = np.full(queries, -np.inf)
 
-    def offer(self, at: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of the queries at places ``at`` (rows) with ``docs`` (columns)."""
-        key = np.round(scores, 9)
-        key[~np.isfinite(key)] = -np.inf
+    def offer(self, at: np.ndarray, docs: np.ndarray, scores: np.ndarray, slack: float = 1e-9, exact=None) -> None:
+        """Scores of the queries at places ``at`` (rows) with ``docs`` (columns).
+
+        Only scores that can be among the best are rounded and sorted. With ``exact``, a
+        function of rows and columns, ``scores`` are within ``slack`` of what it gives.
+        """
         floor = self.least[at]
-        if key.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(key, -self.k, axis=1)[:, -self.k])
-        i, j = np.nonzero((key >= floor[:, None]) & (key > -np.inf))
-        query, doc, score = (np.concatenate(x) for x in ((self.query, at[i]), (self.doc, docs[j]), (self.score, scores[i, j])))
+        if scores.shape[1] > self.k and not np.isfinite(floor).all():
+            finite = np.where(np.isfinite(scores), scores, -np.inf)
+            floor = np.maximum(floor, np.partition(finite, -self.k, axis=1)[:, -self.k] - slack)
+        # A score and its rounded value are less than 1e-9 apart.
+        i, j = np.nonzero(scores >= (floor - slack - 1e-9).astype(scores.dtype)[:, None])
+        found = np.concatenate([np.empty(0), *(exact(i[a : a + 50_000], j[a : a + 50_000]) for a in range(0, len(i), 50_000))]) if exact else scores[i, j]
+        some = np.isfinite(found) & (np.round(found, 9) >= self.least[at[i]])
+        if not some.any():
+            return
+        i, j, found = i[some], j[some], found[some]
+        query, doc, score = (np.concatenate(x) for x in ((self.query, at[i]), (self.doc, docs[j]), (self.score, found)))
         order = np.lexsort((doc, -np.round(score, 9), query))
         query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -85,8 +96,11 @@ def flat_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block_qu
     length than the queries' is an error.
     """
     spark = vectors.sparkSession
-    found = None
+    found, stored = None, False
     for ids, matrix in query_blocks(queries.select("query_id", "vector"), block_queries):
+        if len(ids) > block_queries // 2 and not stored:
+            # There may be more blocks: what gives the vectors, as an encoder, runs once.
+            vectors, stored = materialise(vectors.select("doc_id", "vector"), "searched-vectors"), True
         held = spark.sparkContext.broadcast((ids, matrix))
         part = checked(vectors.select("doc_id", "vector"), matrix.shape[1]).mapInArrow(_scorer(held, k, exclude_self), HITS)
         found = part if found is None else found.unionByName(part)
@@ -95,18 +109,30 @@ def flat_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block_qu
     return _ranked(found, k)
 
 
-def _scorer(held, k: int, exclude_self: bool, tile: int = 4_000_000):
+def _scorer(held, k: int, exclude_self: bool, tile: int = 1_000_000):
+    """Scores in single precision choose what is scored in double precision; the room left between them
+    covers the rounding of both, in proportion to the lengths of the vectors."""
+
     def run(batches):
         ids, matrix = held.value
         best, every = Best(len(ids), k), np.arange(len(ids))
+        rough = matrix.astype(np.float32)
+        longest = np.sqrt((matrix * matrix).sum(axis=1)).max(initial=0.0)
         rows = max(1, tile // len(ids))
         for batch in batches:
-            docs, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), matrix.shape[1])
+            docs, every_m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), matrix.shape[1])
             for a in range(0, len(docs), rows):
-                scores = matrix @ m[a : a + rows].T
+                m, there = every_m[a : a + rows], docs[a : a + rows]
+                slack = (matrix.shape[1] + 4) * 1.2e-7 * longest * np.sqrt((m * m).sum(axis=1)).max(initial=0.0)
+                if slack < 1e-3:
+                    scores = rough @ m.astype(np.float32).T
+                    exact = lambda i, j, m=m: np.einsum("nd,nd->n", matrix[i], m[j])
+                else:
+                    # Long vectors, or none that is finite: single precision would tell too little.
+                    scores, slack, exact = matrix @ m.T, 1e-9, None
                 if exclude_self:
-                    scores[ids[:, None] == docs[None, a : a + rows]] = -np.inf
-                best.offer(every, docs[a : a + rows], scores)
+                    scores[ids[:, None] == there[None, :]] = -np.inf
+                best.offer(every, there, scores, slack, exact)
         yield best.rows(ids)
 
     return run

@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,16 +105,17 @@ class Encoder:
         cut, project = _rows_of, _projector()
         pieces_of, dim = cut(self.idf), self.directions.shape[1]
 
-        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             _, directions = model()
             for lists in batches:
                 found = np.zeros((len(lists), dim))
-                for first, n, row, bucket, weight in pieces_of(pa.array(lists, pa.list_(pa.int32()))):
+                for first, n, row, bucket, weight in pieces_of(lists):
                     found[first : first + n] = project(n, row, bucket, weight, directions)
                 length = np.sqrt((found * found).sum(axis=1, keepdims=True))
-                yield pd.Series(list(found / np.where(length > 0, length, 1.0)), index=lists.index)
+                found /= np.where(length > 0, length, 1.0)
+                yield pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, found.ravel())
 
-        vector = F.pandas_udf(vectors, T.ArrayType(T.DoubleType()))
+        vector = F.arrow_udf(vectors, T.ArrayType(T.DoubleType()))
         return rows.select(id_col, vector(buckets_of(F.col(text_col), len(self.idf))).alias("vector"))
 
     def save(self, spark: SparkSession, path: str) -> None:
