@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.text import tokenize
-from tarn.runtime import materialise
+from tarn.runtime import materialise, text_batches
 
 
 def once_a_worker(load: Callable[[], object]) -> Callable[[], object]:
@@ -116,7 +116,7 @@ class Encoder:
                 yield pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, found.ravel())
 
         vector = F.arrow_udf(vectors, T.ArrayType(T.DoubleType()))
-        return rows.select(id_col, vector(buckets_of(F.col(text_col), len(self.idf))).alias("vector"))
+        return text_batches(rows).select(id_col, vector(buckets_of(F.col(text_col), len(self.idf))).alias("vector"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """A row for each bucket, and one with the singular values."""
