@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions.text import tokenize
+from tarn.functions.text import run_once, tokenize
 from tarn.runtime import materialise, text_batches
 
 
@@ -115,7 +115,7 @@ class Encoder:
                 found /= np.where(length > 0, length, 1.0)
                 yield pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, found.ravel())
 
-        vector = F.arrow_udf(vectors, T.ArrayType(T.DoubleType()))
+        vector = run_once(F.arrow_udf(vectors, T.ArrayType(T.DoubleType())))
         return text_batches(rows).select(id_col, vector(buckets_of(F.col(text_col), len(self.idf))).alias("vector"))
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -3,9 +3,11 @@
 import contextlib
 import io
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.functions import text as fn
+from tarn.operators import dense, encoder
 from tarn.plans import catalogue
 
 
@@ -47,3 +49,13 @@ def test_term_statistics_have_a_row_for_each_term(spark, sf_dir):
     got = catalogue.QUERIES["bm25_term_stats"](spark, sf_dir)
     words = catalogue.documents(spark, sf_dir).select(F.explode(fn.tokenize(F.col("text"))).alias("term")).distinct()
     assert got.columns == ["term", "df", "idf"] and got.count() == words.count()
+
+
+def test_texts_are_encoded_once(spark, sf_dir):
+    """A filter on a vector ran the encoder a second time, below the exchange of the texts."""
+    runs = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    for name in ("embed_hashing", "search_fallback", "rrf_fuse", "rrf_top_k"):
+        assert runs(catalogue.QUERIES[name](spark, sf_dir)) == 1, name
+    learnt = encoder.Encoder(np.ones(8), np.ones((8, 2)), np.ones(2))
+    docs = catalogue.documents(spark, sf_dir)
+    assert runs(dense.flat_search(learnt.encode(docs.filter("doc_id < 3"), "doc_id").withColumnRenamed("doc_id", "query_id"), learnt.encode(docs, "doc_id"))) == 1
