@@ -7,7 +7,8 @@ vector, the largest norm below, and, in leaves, the entries with their distances
 to the routing vector. The trees are written once, a shard's pages in one table
 row, and searches read them as they lie, without an exchange.
 
-A query visits pages best first. For a page at distance at least ``lb`` from the
+A query visits pages best first: one, then the best two of those that wait, four and so
+on, so that the queries of a block meet a page together, in a product of matrices. For a page at distance at least ``lb`` from the
 query, ``<q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2`` gives a bound on every score
 below it. Before any distance to a child is computed, ``lb`` comes from the
 stored parent distance alone: ``|d(q, parent) - d(child, parent)| - radius``;
@@ -22,8 +23,6 @@ the bound, and these are ranked per query.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -119,46 +118,81 @@ class Shard:
         self.computed = 0
 
     def search(self, q: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best but ``own`` that score ``least`` or more; ties to the smaller id."""
-        q2 = float(q @ q)
-        qn = q2**0.5
-        top_id, top = np.empty(0, dtype=np.int64), np.empty(0)
+        """``search_all`` for one query: its ids and scores."""
+        _, ids, scores = self.search_all(q[None, :], np.array([own]), k, np.array([least]))
+        return ids, scores
+
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray, cells: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores: of each query the ``k`` best but its ``own`` id
+        that score ``least`` or more; ties to the smaller id. Queries go in blocks of bounded size."""
+        step = max(1, min(4096, cells // len(self.radius)))
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        for a in range(0, len(queries), step):
+            place, ids, scores = self._search_block(queries[a : a + step], own[a : a + step], k, least[a : a + step].astype(np.float64))
+            found.append((place + a, ids, scores))
+        place, ids, scores = (np.concatenate(x) for x in zip(*found))
+        return place, ids, scores
+
+    def _search_block(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray):
+        q2 = np.einsum("ij,ij->i", q, q)
         slack = 1e-9 * (q2 + float(self.norm2.max(initial=0.0)) + 1)
-        d0 = max(0.0, q2 - 2 * float(q @ self.center[0]) + self.center2[0]) ** 0.5
-        heap = [(-np.inf, 0, d0)]
-        self.computed += 1
-        while heap:
-            bound, page, d = heapq.heappop(heap)
-            if -bound + slack < least:
+        top_id, top = np.zeros((len(q), k), dtype=np.int64), np.full((len(q), k), -np.inf)
+        # Of each query and page: the bound on its scores if the page waits for a visit, and the distance to its center.
+        bound, far = np.full((len(q), len(self.radius)), -np.inf), np.zeros((len(q), len(self.radius)))
+        bound[:, 0] = np.inf
+        far[:, 0] = np.sqrt(np.maximum(0.0, q2 - 2 * (q @ self.center[0]) + self.center2[0]))
+        self.computed += len(q)
+        width = 1
+        while True:
+            visit = (bound > -np.inf) & (bound + slack[:, None] >= least[:, None])
+            if not visit.any():
                 break
-            if self.leaf[page]:
-                gap = d - self.to_center[page]
-                may = (q2 + self.entry2[page] - gap * gap) * 0.5 + slack >= least
-                may &= self.ids[page] != own
-                ids = self.ids[page][may]
-                self.computed += len(ids)
-                scores = np.rint(self.entries[page][may] @ q)
-                keep = scores >= least
-                ids, scores = ids[keep], scores[keep]
-                if len(ids):
-                    ids, scores = np.concatenate([top_id, ids]), np.concatenate([top, scores])
-                    best = np.lexsort((ids, -scores))[:k]
-                    top_id, top = ids[best], scores[best]
-                    if len(top) == k:
-                        least = max(least, top[-1])
-                continue
-            kids = self.children[page]
-            lb = np.maximum(0.0, np.abs(d - self.to_parent[kids]) - self.radius[kids])
-            kids = kids[(q2 + self.norm2[kids] - lb * lb) * 0.5 + slack >= least]
-            dots = self.center[kids] @ q
-            self.computed += len(kids)
-            ds = np.sqrt(np.maximum(0.0, q2 - 2 * dots + self.center2[kids]))
-            lb = np.maximum(0.0, ds - self.radius[kids])
-            ub = np.minimum((q2 + self.norm2[kids] - lb * lb) * 0.5, dots + qn * self.radius[kids])
-            for u, c, dc in zip(ub.tolist(), kids.tolist(), ds.tolist()):
-                if u + slack >= least:
-                    heapq.heappush(heap, (-u, c, dc))
-        return top_id, top
+            if width < bound.shape[1]:
+                visit &= bound >= np.partition(bound, -width, axis=1)[:, -width][:, None]
+            width *= 2
+            for page in np.flatnonzero(visit.any(axis=0)):
+                at = np.flatnonzero(visit[:, page])
+                may = bound[at, page] + slack[at] >= least[at]  # pages before this one may have raised it
+                bound[at, page] = -np.inf
+                at = at[may]
+                if not len(at):
+                    continue
+                if self.leaf[page]:
+                    self._offer(page, at, q, q2, far[at, page], slack, own, least, top_id, top)
+                    continue
+                kids = self.children[page]
+                lb = np.maximum(0.0, np.abs(far[at, page][:, None] - self.to_parent[kids]) - self.radius[kids])
+                near = (q2[at, None] + self.norm2[kids] - lb * lb) * 0.5 + slack[at, None] >= least[at, None]
+                self.computed += int(near.sum())
+                dots = q[at] @ self.center[kids].T
+                ds = np.sqrt(np.maximum(0.0, q2[at, None] - 2 * dots + self.center2[kids]))
+                lb = np.maximum(0.0, ds - self.radius[kids])
+                ub = np.minimum((q2[at, None] + self.norm2[kids] - lb * lb) * 0.5, dots + np.sqrt(q2[at, None]) * self.radius[kids])
+                bound[np.ix_(at, kids)], far[np.ix_(at, kids)] = np.where(near, ub, -np.inf), ds
+        place, column = np.nonzero(top > -np.inf)
+        return place, top_id[place, column], top[place, column]
+
+    def _offer(self, page: int, at: np.ndarray, q, q2, d, slack, own, least, top_id, top) -> None:
+        """Entries of a leaf to the queries at places ``at``; changes ``least``, ``top_id`` and ``top``."""
+        gap = d[:, None] - self.to_center[page]
+        may = (q2[at, None] + self.entry2[page] - gap * gap) * 0.5 + slack[at, None] >= least[at, None]
+        may &= self.ids[page] != own[at, None]
+        self.computed += int(may.sum())
+        some = np.flatnonzero(may.any(axis=0))
+        scores = np.rint(q[at] @ self.entries[page][some].T)
+        i, j = np.nonzero(may[:, some] & (scores >= least[at, None]))
+        if not len(i):
+            return
+        rows, i_row = np.unique(i, return_inverse=True)
+        k = top.shape[1]
+        query = np.concatenate([np.repeat(np.arange(len(rows)), k), i_row])
+        ids = np.concatenate([top_id[at[rows]].ravel(), self.ids[page][some[j]]])
+        found = np.concatenate([top[at[rows]].ravel(), scores[i, j]])
+        order = np.lexsort((ids, -found, query))
+        # Each query has k places or more in this order; the first k of them stay.
+        best = order[np.searchsorted(query[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+        top_id[at[rows]], top[at[rows]] = ids[best], found[best]
+        least[at[rows]] = np.maximum(least[at[rows]], found[best[:, -1]])
 
 
 def build_index(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard_rows: int = 8192, page_rows: int = 128, fanout: int = 16) -> DataFrame:
@@ -181,6 +215,17 @@ def build_index(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     return dealt.groupBy("dim", "shard").applyInPandas(build, SHARDS)
 
 
+#: No queries.
+_NONE = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, 0)), np.empty(0), 1)
+
+
+def _pages(stored: pa.ListScalar) -> list[dict]:
+    """A shard's pages; numbers in lists stay arrays."""
+    fields = dict(zip((f.name for f in stored.type.value_type), stored.values.flatten()))
+    plain = {c: [x.values.to_numpy() for x in a] if pa.types.is_list(a.type) else a.to_pylist() for c, a in fields.items()}
+    return [dict(zip(plain, values)) for values in zip(*plain.values())]
+
+
 def _searcher(held, k: int, first: bool):
     """Searches the shards for a broadcast block of queries. ``first``: a query is asked
     of one shard only, and its ``k``-th score there is the answer."""
@@ -188,17 +233,17 @@ def _searcher(held, k: int, first: bool):
     def search(batches):
         for batch in batches:
             for dim, number, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids, prints, vectors, least, shards = held.value.get(dim, ([], [], [], [], 1))
-                asked = [i for i, p in enumerate(prints) if p % shards == number] if first else range(len(ids))
-                shard = Shard(pages.as_py()) if len(asked) else None
-                out = [[], [], [], []]
-                for i in asked:
-                    got, scores = shard.search(vectors[i], ids[i], k, least[i])
+                ids, prints, vectors, least, shards = held.value.get(dim, _NONE)
+                asked = np.flatnonzero(prints % shards == number) if first else np.arange(len(ids))
+                at, got, scores = asked[:0], ids[:0], least[:0]
+                if len(asked):
+                    at, got, scores = Shard(_pages(pages)).search_all(vectors[asked], ids[asked], k, least[asked])
                     if first:
-                        got, scores = got[k - 1 : k], scores[k - 1 : k]
-                    for column, values in zip(out, ([ids[i]] * len(got), [prints[i]] * len(got), got.tolist(), scores.tolist())):
-                        column += values
-                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in out], ["query_id", "print", "vec_id", "score"])
+                        # A query's hits lie one after the other, the best first.
+                        kth = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+                        at, got, scores = at[kth], got[kth], scores[kth]
+                columns = ids[asked[at]], prints[asked[at]], got, scores.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "print", "vec_id", "score"])
 
     return search
 
@@ -219,7 +264,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, *, block_que
 
         def block_of(least: dict):
             return {
-                d: ([x[0] for x in q], [x[1] for x in q], np.array([x[2] for x in q], dtype=np.float64).reshape(len(q), d), [least.get(x[:2], -np.inf) for x in q], shards.get(d, 1))
+                d: (
+                    np.array([x[0] for x in q], dtype=np.int64),
+                    np.array([x[1] for x in q], dtype=np.int64),
+                    np.array([x[2] for x in q], dtype=np.float64).reshape(len(q), d),
+                    np.array([least.get(x[:2], -np.inf) for x in q]),
+                    shards.get(d, 1),
+                )
                 for d, q in by_dim.items()
             }
 

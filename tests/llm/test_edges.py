@@ -212,6 +212,30 @@ def test_topk_skips_pages():
     assert tree.computed < 0.5 * 2000 * 21
 
 
+def test_topk_queries_of_a_block_meet_a_page_together(monkeypatch):
+    """Visits don't grow with the queries; each query, asked by itself, visited some fifty pages before."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    x = np.floor(rng.normal(size=(3000, 16)) * 20)
+    x[2000:2100] = x[:100]
+    ids = rng.permutation(3000)
+    tree = mtree.Shard(mtree.build_pages(ids, x, page_rows=64, fanout=8))
+    visits, offer = [], mtree.Shard._offer
+    monkeypatch.setattr(mtree.Shard, "_offer", lambda self, page, at, *rest: visits.append(len(at)) or offer(self, page, at, *rest))
+    least = np.where(np.arange(3000) % 3 == 0, 4000.0, -np.inf)
+    at, got, scores = tree.search_all(x, ids, 7, least)
+    pages = len(tree.leaf)
+    assert len(visits) < pages * np.log2(4 * pages) and sum(visits) > 3000
+    blocks = [a.tolist() for a in tree.search_all(x, ids, 7, least, cells=500 * pages)]
+    assert blocks == [at.tolist(), got.tolist(), scores.tolist()]
+    found = {}
+    for q, i, s in zip(at.tolist(), got.tolist(), scores.tolist()):
+        found.setdefault(q, []).append((i, s))
+    for q in range(3000):
+        s = x @ x[q]
+        best = [(ids[i], s[i]) for i in np.lexsort((ids, -s)) if ids[i] != ids[q] and s[i] >= least[q]][:7]
+        assert found.get(q, []) == best
+
+
 def test_url_parts(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q#f", "x://example.org/en/12", "x://notexample.org/es/", "x://org", "x://org?/a", "http://sub.com/de/1://b/", "y:///p", "z://h#/x", "x://example.org/en/1" + "a" * 50_000]
     d = frame(spark, list(enumerate(urls)), "page_id long, url string, rule string, verdict string, host string")
