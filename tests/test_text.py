@@ -171,6 +171,15 @@ def test_encoder_holds_no_string_for_each_token():
     assert [round(sum(x * x for x in v), 9) for v in found.to_pylist()] == [1, 0, 0, 1]
 
 
+def test_encoder_holds_no_more_for_more_batches_of_new_words():
+    def batches(n):
+        for b in range(n):
+            yield pa.ListArray.from_arrays(pa.array([0, 100_000], pa.int32()), pa.array([f"{b}word{i}" for i in range(100_000)]))
+
+    few, many = (peak(lambda: sum(len(v) for v in fn.hashing_batches(64)(batches(n)))) for n in (3, 6))
+    assert (few[0], many[0]) == (3, 6) and many[1] < 1.2 * few[1]
+
+
 def test_html_is_read_a_page_at_a_time():
     from tarn.functions.html import extract_html
 
