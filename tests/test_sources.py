@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import dense
 from tarn.plans import catalogue
-from tarn.runtime import table
+from tarn.runtime import shared_dir, table
 from tarn.sources import files
 from tarn.streaming import ingest
 
@@ -123,3 +123,38 @@ def test_live_index(spark, tmp_path):
     assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, want.terms.collect()))
     asked = spark.createDataFrame([(0, "dog")], "query_id long, text string")
     assert bm25.search(index, asked, 1).first().doc_id == "2::0"
+
+
+def test_live_index_copies_no_rows(spark, tmp_path):
+    """Without a chunk that came again the tables are read as they lie: neither an exchange nor a second copy of texts or postings."""
+    import os
+
+    source, live, state = (str(tmp_path / n) for n in ("in", "live", "state"))
+    schema = "doc_id long, text string"
+    held = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    before = held()
+    for first in (0, 50):
+        spark.createDataFrame([(i, f"The cat of house {i} sat.") for i in range(first, first + 50)], schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.index_stream(spark.readStream.schema(schema).parquet(source), live, state).awaitTermination()
+    texts, vectors, index = ingest.live_index(spark, live)
+    for df, rows in ((texts, 100), (vectors, 100), (index.lengths, 100), (index.postings, 600)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == rows
+    # What came again, and a row for each term; no folder of chunks, postings or lengths.
+    assert {n.rsplit("-", 1)[0] for n in held() - before if not n.startswith(".")} == {"arrived-again", "terms"}
+
+
+def test_live_index_counts_the_text_it_keeps(spark, tmp_path):
+    """A chunk that is twice in one batch has the terms of one text, the one that is kept; a document without an id has no chunk."""
+    source, live, state = (str(tmp_path / n) for n in ("in", "live", "state"))
+    schema = "doc_id long, text string"
+    made = spark.createDataFrame([(1, "red fox"), (1, "blue birds sing"), (2, "red fox"), (2, "red fox"), (None, "lost")], schema)
+    made.coalesce(1).write.parquet(source)
+    ingest.index_stream(spark.readStream.schema(schema).parquet(source), live, state).awaitTermination()
+    texts, vectors, index = ingest.live_index(spark, live)
+    kept = {r.chunk_id: set(r.text.split()) for r in texts.collect()}
+    assert kept.keys() == {"1::0", "2::0"} == {r.chunk_id for r in vectors.collect()} and vectors.count() == texts.count() == 2
+    terms = {}
+    for r in index.postings.collect():
+        terms.setdefault(r.doc_id, []).append(r.term)
+    assert {i: set(t) for i, t in terms.items()} == kept and all(len(t) == len(set(t)) for t in terms.values())
+    assert {r.doc_id: r.dl for r in index.lengths.collect()} == {i: len(t) for i, t in kept.items()}
